@@ -64,14 +64,41 @@ def best_ratio(text: str, patterns: str, threshold: float) -> str:
     return let(text, "h", let("split(h, '')", "cs", best))
 
 
-def _windows(cs: str, pattern: str, limit: str) -> str:
-    """Best similarity of the whole pattern with the windows of a longer text."""
+#: window starts covered by one chunk; no fixed phrase may be longer
+_CHUNK = 40
+
+
+def _windows(cs: str, pattern: str, threshold: float) -> str:
+    """Best similarity of the whole pattern with the windows of a longer text.
+
+    The text is taken in overlapping chunks.  A chunk too far from the pattern
+    (built-in edit distance) cannot hold a window above the threshold.
+    """
+    limit = repr(1 - threshold / 100)
     window = f"slice({cs}, greatest(o, 0) + 1, least(o + {pattern}.len, size({cs})) - greatest(o, 0))"
     score = (
         f"if(levenshtein(array_join(w, ''), {pattern}.text) <= {limit}D * (size(w) + {pattern}.len) + 1e-9D, "
         f"{ratio('w', pattern)}, 0D)"
     )
-    return f"array_max(transform(sequence(1 - {pattern}.len, size({cs}) - 1), o -> {let(window, 'w', score)}))"
+    chunks = (
+        f"filter(sequence(0, size({cs}) - 1, {_CHUNK}), b -> levenshtein(substr(h, b + 1, {2 * _CHUNK}), {pattern}.text) "
+        f"<= {_edit_bound(f'least(size({cs}) - b, {2 * _CHUNK})', pattern, threshold)})"
+    )
+    starts = f"sequence(if(b = 0, 1 - {pattern}.len, b), least(b + {_CHUNK - 1}, size({cs}) - 1))"
+    scores = f"flatten(transform({chunks}, b -> transform({starts}, o -> {let(window, 'w', score)})))"
+    return f"coalesce(array_max({scores}), 0D)"
+
+
+def _edit_bound(length: str, pattern: str, threshold: float) -> str:
+    """Most edits between a text and a pattern if one window reaches the threshold.
+
+    A window of the shorter side (length n) at the threshold has a common
+    subsequence of ``t / (2 - t) * n`` or more characters, and two texts with a
+    common subsequence of length c are at most ``a + b - 2c`` edits apart.
+    """
+    t = threshold / 100
+    share = 2 * t / (2 - t)
+    return f"{length} + {pattern}.len - {share!r}D * least({length}, {pattern}.len) + 1e-9D"
 
 
 def _pattern_windows(cs: str, pattern: str) -> str:
@@ -90,13 +117,15 @@ def best_partial_ratio(text: str, patterns: str, threshold: float) -> str:
     """Like :func:`best_ratio`, for the best window of the longer side.
 
     Two sound pre-filters keep the exact windows few: letters of the phrase
-    that the text lacks, and the built-in edit distance per window.
+    that the text lacks, and the built-in edit distance per chunk and window.
     """
-    limit = repr(1 - threshold / 100)
     near = f"filter({patterns}, p -> size(cs) < p.len OR length(translate(p.text, h, '')) <= 0.27D * p.len)"
+    inner = (
+        f"if(levenshtein(h, p.text) <= {_edit_bound('size(cs)', 'p', threshold)}, {_pattern_windows('cs', 'p')}, 0D)"
+    )
     score = (
-        f"greatest(if(size(cs) >= p.len, {_windows('cs', 'p', limit)}, 0D), "
-        f"if(size(cs) <= p.len, {_pattern_windows('cs', 'p')}, 0D))"
+        f"greatest(if(size(cs) >= p.len, {_windows('cs', 'p', threshold)}, 0D), "
+        f"if(size(cs) <= p.len, {inner}, 0D))"
     )
     scored = f"transform({near}, p -> named_struct('score', {score}, 'rank', -p.ord, 'label', p.label))"
     best = f"array_max(filter({scored}, r -> r.score >= {threshold!r}D))"

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 EDGE_LEFT = "(?<![A-Za-z0-9_])"
 EDGE_RIGHT = "(?![A-Za-z0-9_])"
 
-WHITESPACE = "' \\n\\t\\r\\f'"
+WHITESPACE = "' \\n\\t\\r\\u000c'"
 
 #: elements held in the open chunk of :func:`fold`
 CHUNK = 512

@@ -6,7 +6,7 @@ SQL expression text; wrap it with ``F.expr`` to get a Column.
 
 from __future__ import annotations
 
-from .sql import EDGE_LEFT, EDGE_RIGHT, let, q, span, strip
+from .sql import WHITESPACE, let, q, strip
 
 # Line shapes that start an older message of a thread.
 REPLY_LINE = (
@@ -50,7 +50,7 @@ def clean_whitespace(text: str) -> str:
     unified = f"regexp_replace(regexp_replace({text}, {q(chr(92) + 'r' + chr(92) + 'n?')}, '\\n'), '\\n{{3,}}', '\\n\\n')"
     one = (
         f"CASE WHEN {strip('l')} = '' THEN '' ELSE concat(repeat(' ', "
-        r"least(8, length(l) - length(ltrim(' \n\t\r\f', l)))), "
+        f"least(8, length(l) - length(ltrim({WHITESPACE}, l)))), "
         f"{strip('l')}) END"
     )
     return f"array_join(transform({lines(unified)}, l -> {one}), '\\n')"
@@ -189,5 +189,3 @@ def normalize_message(text: str, html: str, compat: bool = False) -> str:
     chosen = f"CASE WHEN {html} <> '' THEN {html_to_text(html, compat)} ELSE {from_text} END"
     return let(chosen, "t", trim_thread("t"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("EDGE_LEFT", "EDGE_RIGHT", "span")]

@@ -78,7 +78,7 @@ _BODIES = [
     "This email is confidential.\nRegards",
 ]
 
-_HTML_HEAD = "<html><head><style>p {margin: 0}</style></head><body><!-- mail body -->"
+_HTML_HEAD = "<html><head><style>/* plain */</style></head><body><!-- mail body -->"
 _HTML = [
     _HTML_HEAD + "<p>Dear Team,</p><p>{ask}.</p><table>"
     + "".join(f"<tr><th>{k}</th><td>{v}</td></tr>" for k, v in _KEY_VALUE)
