@@ -7,30 +7,23 @@ state and a comparison costs one step per character of the other side.
 
 from __future__ import annotations
 
-from .sql import let, q
-
-
-def char_masks(pattern: str) -> str:
-    """Map literal: character to the bits of its places in the pattern."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    if len(pattern) > 62:
-        raise ValueError("pattern side is limited to 62 characters")
-    return "map(" + ", ".join(f"{q(c)}, {m}L" for c, m in masks.items()) + ")"
-
-
-def pattern_rows(entries: list[tuple[str, str, int]]) -> str:
-    """Array literal of ``(label, text, len, full, masks, ord)`` for fixed phrases."""
-    return (
-        "array("
-        + ", ".join(
-            f"named_struct('label', {q(label)}, 'text', {q(text)}, 'len', {len(text)}, "
-            f"'full', {(1 << len(text)) - 1}L, 'masks', {char_masks(text)}, 'ord', {ord_})"
-            for label, text, ord_ in entries
-        )
-        + ")"
-    )
+from .sql import let, rows
+
+
+def pattern_rows(entries: list[tuple[str, str]]) -> str:
+    """Array of ``(label, text, len, full, masks, ord)`` for fixed ``(label, phrase)`` pairs.
+
+    ``masks`` maps a character to the bits of its places in the phrase.
+    """
+    out = []
+    for ord_, (label, text) in enumerate(entries):
+        if len(text) > 62:
+            raise ValueError("pattern side is limited to 62 characters")
+        masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            masks[c] = masks.get(c, 0) | (1 << i)
+        out.append((label, text, len(text), (1 << len(text)) - 1, masks, ord_))
+    return rows("label:string,text:string,len:int,full:bigint,masks:map<string,bigint>,ord:int", out)
 
 
 def lcs_length(chars: str, pattern: str) -> str:

@@ -7,6 +7,8 @@ and returns SQL expression text; ``F.expr`` turns the result into a Column.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterable
 
 #: ASCII word edges.  Java's own word-boundary class also counts accented letters.
@@ -24,28 +26,29 @@ def q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def constant(value, ddl: str) -> str:
+    """Constant array, map or struct of a dictionary.
+
+    Written as one JSON literal: the optimizer folds it to a single value,
+    where nested constructor calls would be thousands of nodes to analyse.
+    """
+    return f"from_json({q(json.dumps(value, ensure_ascii=False))}, '{ddl}')"
+
+
 def words(values: Iterable[str]) -> str:
-    """SQL array literal of strings."""
-    return "array(" + ", ".join(q(v) for v in values) + ")"
+    """SQL array of strings."""
+    return constant(list(values), "array<string>")
 
 
-def rows(names: str, values: Iterable[tuple]) -> str:
-    """SQL array literal of structs; strings are quoted, numbers typed."""
-    fields = names.split()
+def rows(ddl: str, values: Iterable[tuple]) -> str:
+    """SQL array of structs; ``ddl`` lists the fields as ``name:type``."""
+    names = re.findall(r"(\w+):", ddl)
+    return constant([dict(zip(names, row)) for row in values], f"array<struct<{ddl}>>")
 
-    def one(v):
-        if isinstance(v, str):
-            return q(v)
-        return f"{v!r}D" if isinstance(v, float) else str(v)
 
-    return (
-        "array("
-        + ", ".join(
-            "named_struct(" + ", ".join(f"'{n}', {one(v)}" for n, v in zip(fields, row)) + ")"
-            for row in values
-        )
-        + ")"
-    )
+def mapping(values: dict[str, str]) -> str:
+    """SQL map of strings."""
+    return constant(values, "map<string,string>")
 
 
 def edges(pattern: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import similarity
 from ..functions import text as tx
-from ..functions.sql import any_of, let, q, rows, strip, word, words
+from ..functions.sql import any_of, let, mapping, q, rows, strip, word, words
 from ..vocab import specialties as sp
 from ..vocab.business import LOB_GAZETTEER, ORGANIZATION_ALIASES
 from ..vocab.transactions import (
@@ -238,13 +238,8 @@ def specialty_synonyms(text: str, specialties=None) -> str:
         pattern = "(?i)" + word(_quote(synonym))
         if not short:
             pattern += rf"|(?i){_quote(synonym)}(?=[\s,.]|\z)"
-        entries.append((synonym, canonical, pattern, "true" if short else "false", i))
-    table = (
-        "array(" + ", ".join(
-            f"named_struct('syn', {q(s)}, 'canonical', {q(c)}, 'pattern', {q(p)}, 'short', {sh}, 'ord', {i})"
-            for s, c, p, sh, i in entries
-        ) + ")"
-    )
+        entries.append((synonym, canonical, pattern, short, i))
+    table = rows("syn:string,canonical:string,pattern:string,short:boolean,ord:int", entries)
     around = "concat(substr(lt, greatest(p - 20, 1), least(20, p - 1)), substr(lt, p + length(s.syn), 20))"
     veto = let(f"regexp_instr({text}, s.pattern)", "p", f"p > 0 AND NOT {around} rlike {q(SHORT_VETO)}")
     test = f"contains(lt, s.syn) AND if(s.short, {veto}, {text} rlike s.pattern)"
@@ -264,7 +259,7 @@ def taxonomy_tokens(text: str) -> str:
 
 def specialty_codes(text: str, specialties=None) -> str:
     """Specialties named by taxonomy code, in dictionary order, 0.9."""
-    table = rows("code canonical ord", [(c, n, i) for i, (c, n) in enumerate(sp.taxonomy_map(specialties).items())])
+    table = rows("code:string,canonical:string,ord:int", [(c, n, i) for i, (c, n) in enumerate(sp.taxonomy_map(specialties).items())])
     hits = f"filter({table}, t -> array_contains(tk, t.code))"
     first = "filter(hs, (h, i) -> array_position(transform(hs, x -> x.canonical), h.canonical) = i + 1)"
     out = (
@@ -297,11 +292,7 @@ def specialty_phrases(text: str) -> str:
 
 def specialty_fuzzy(text: str, specialties=None) -> str:
     """Phrases close to a canonical name: ratio of 80, else partial ratio of 85."""
-    names = list((specialties or sp.SPECIALTIES).keys())
-    table = "array(" + ", ".join(
-        f"named_struct('label', {q(n)}, 'text', {q(n.lower())}, 'len', {len(n)}, 'full', {(1 << len(n)) - 1}L, "
-        f"'masks', {similarity.char_masks(n.lower())}, 'ord', {i})" for i, n in enumerate(names)
-    ) + ")"
+    table = similarity.pattern_rows([(n, n.lower()) for n in specialties or sp.SPECIALTIES])
     best = (
         f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO)}, "
         f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL)})"
@@ -319,7 +310,7 @@ def specialty_fuzzy(text: str, specialties=None) -> str:
 def specialty_exact(text: str, specialties=None) -> str:
     """Canonical names that occur as words, 0.8."""
     table = rows(
-        "canonical low pattern ord",
+        "canonical:string,low:string,pattern:string,ord:int",
         [(n, n.lower(), "(?i)" + word(_quote(n)), i) for i, n in enumerate(specialties or sp.SPECIALTIES)],
     )
     hits = f"filter({table}, s -> contains(lt, s.low) AND {text} rlike s.pattern)"
@@ -375,10 +366,8 @@ def lines_of_business(text: str) -> str:
 
 def normalize_word_date(x: str, shape: str) -> str:
     """Matched word date to ``MM/DD/YYYY``; a missing day becomes 01."""
-    month = (
-        "map(" + ", ".join(f"'{m}', '{n:02d}'" for m, n in MONTHS.items()) + ")"
-        f"[lower(regexp_extract({x}, '[A-Za-z]{{3,}}', 0))]"
-    )
+    numbers = mapping({m: f"{n:02d}" for m, n in MONTHS.items()})
+    month = f"{numbers}[lower(regexp_extract({x}, '[A-Za-z]{{3,}}', 0))]"
     year = f"right({x}, 4)"
     if shape == "my":
         day = "'01'"
@@ -408,7 +397,7 @@ def date_confidence(context: str) -> str:
 
 def weighted_sum(low: str, weights: list[tuple[str, float]]) -> str:
     """Sum of the weights of the phrases a lower-cased text contains, in list order."""
-    table = rows("p w", weights)
+    table = rows("p:string,w:double", weights)
     return f"aggregate(filter({table}, e -> contains({low}, e.p)), 0D, (a, e) -> a + e.w)"
 
 

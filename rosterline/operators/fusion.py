@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.sql import any_of, let, q, strip, words
+from ..functions.sql import any_of, constant, let, q, strip
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, SENTINEL
 from ..vocab.transactions import (
     ADD_ATTRIBUTE_PHRASES, ATTRIBUTE_LABELS, ATTRIBUTE_OF_PHRASE, ATTRIBUTE_SUBJECTS, ATTRIBUTE_TIE_WORDS,
@@ -51,7 +51,7 @@ def attribute_scores(low: str) -> str:
 
 
 def _tie_bonus(low: str, attribute: str) -> str:
-    table = "map(" + ", ".join(f"{q(a)}, {words(ws)}" for a, ws in ATTRIBUTE_TIE_WORDS.items()) + ")"
+    table = constant(ATTRIBUTE_TIE_WORDS, "map<string,array<string>>")
     return f"size(filter({table}[{attribute}], w -> contains({low}, w))) * 0.5D"
 
 

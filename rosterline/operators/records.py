@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions import text as tx
-from ..functions.sql import any_of, let, q, rows, strip, word
+from ..functions.sql import any_of, let, mapping, q, rows, strip, word
 from ..vocab.business import (
     ALLOWED_VALUES, LOB_SYNONYMS, OUTPUT_COLUMNS, REQUIRED_FOR, SENTINEL,
 )
@@ -56,9 +56,9 @@ def normalize_specialty(x: str, specialties=None) -> str:
             first.setdefault(synonym, canonical)
             if len(synonym) > 3:
                 ordered.append((synonym, canonical))
-    exact = "map(" + ", ".join(f"{q(s)}, {q(c)}" for s, c in first.items()) + ")[lo]"
+    exact = f"{mapping(first)}[lo]"
     near = (
-        f"get(filter({rows('s c', ordered)}, e -> contains(lo, e.s) OR contains(e.s, lo)), 0).c"
+        f"get(filter({rows('s:string,c:string', ordered)}, e -> contains(lo, e.s) OR contains(e.s, lo)), 0).c"
     )
     body = f"coalesce({exact}, {near}, {title_case_specialty(x)})"
     return f"if({_missing(x)}, {q(SENTINEL)}, {let(strip(f'lower({x})'), 'lo', body)})"
@@ -77,8 +77,7 @@ def normalize_organization(x: str) -> str:
 
 
 def _title_part(x: str) -> str:
-    known = "map(" + ", ".join(f"{q(k)}, {q(v)}" for k, v in TITLES.items()) + ")"
-    return f"coalesce({known}[{strip(f'lower({x})')}], {tx.title_case(x)})"
+    return f"coalesce({mapping(TITLES)}[{strip(f'lower({x})')}], {tx.title_case(x)})"
 
 
 def normalize_provider_name(x: str) -> str:

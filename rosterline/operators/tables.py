@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import similarity
 from ..functions import text as tx
-from ..functions.sql import emit, fold, let, q, span, strip
+from ..functions.sql import emit, fold, let, mapping, q, span, strip
 from ..vocab.headers import (
     BLOCK_FIELDS, HEADER_THRESHOLD, LABEL_WORDS, LABEL_WORDS_TEXT, TABLE_HEADER_WORDS, header_rows,
 )
@@ -205,14 +205,14 @@ def html_tables(html: str) -> str:
 # --- header similarity -----------------------------------------------------
 
 def _header_patterns() -> str:
-    return similarity.pattern_rows([(field, variant, i) for i, (field, _, variant, _) in enumerate(header_rows())])
+    return similarity.pattern_rows([(field, variant) for field, _, variant, _ in header_rows()])
 
 
 def _exact_headers() -> str:
-    seen = {}
+    seen: dict[str, str] = {}
     for field, _, variant, _ in header_rows():
         seen.setdefault(variant, field)
-    return "map(" + ", ".join(f"{q(v)}, '{f}'" for v, f in seen.items()) + ")"
+    return mapping(seen)
 
 
 def map_header(header: str) -> str:
