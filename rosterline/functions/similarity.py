@@ -7,13 +7,24 @@ state and a comparison costs one step per character of the other side.
 
 from __future__ import annotations
 
-from .sql import let, rows
+from .sql import let, part, rows
 
 
-def pattern_rows(entries: list[tuple[str, str]]) -> str:
-    """Array of ``(label, text, len, full, masks, ord)`` for fixed ``(label, phrase)`` pairs.
+def _pieces(text: str, threshold: float) -> list[str]:
+    """Pieces of a phrase of which one stays whole in any window at the threshold.
 
-    ``masks`` maps a character to the bits of its places in the phrase.
+    A window as long as the phrase misses at most ``(1 - t) * len`` of its
+    characters and adds as many, so that many edits cannot touch every piece.
+    """
+    n = 2 * int((1 - threshold / 100) * len(text) + 1e-9) + 1
+    return [text[i * len(text) // n:(i + 1) * len(text) // n] for i in range(n)]
+
+
+def pattern_rows(entries: list[tuple[str, str]], partial: float = 85.0) -> str:
+    """Array of ``(label, text, len, full, masks, pieces, ord)`` for fixed ``(label, phrase)`` pairs.
+
+    ``masks`` maps a character to the bits of its places in the phrase;
+    ``pieces`` serve :func:`best_partial_ratio` at the threshold ``partial``.
     """
     out = []
     for ord_, (label, text) in enumerate(entries):
@@ -22,8 +33,9 @@ def pattern_rows(entries: list[tuple[str, str]]) -> str:
         masks: dict[str, int] = {}
         for i, c in enumerate(text):
             masks[c] = masks.get(c, 0) | (1 << i)
-        out.append((label, text, len(text), (1 << len(text)) - 1, masks, ord_))
-    return rows("label:string,text:string,len:int,full:bigint,masks:map<string,bigint>,ord:int", out)
+        out.append((label, text, len(text), (1 << len(text)) - 1, masks, _pieces(text, partial), ord_))
+    ddl = "label:string,text:string,len:int,full:bigint,masks:map<string,bigint>,pieces:array<string>,ord:int"
+    return rows(ddl, out)
 
 
 def lcs_length(chars: str, pattern: str) -> str:
@@ -57,28 +69,37 @@ def best_ratio(text: str, patterns: str, threshold: float) -> str:
     return let(text, "h", let("split(h, '')", "cs", best))
 
 
-#: window starts covered by one chunk; no fixed phrase may be longer
+#: least number of window starts one chunk covers
 _CHUNK = 40
 
 
-def _windows(cs: str, pattern: str, threshold: float) -> str:
-    """Best similarity of the whole pattern with the windows of a longer text.
+def _chunks(cs: str, stride: int) -> str:
+    """Overlapping pieces of a text, each two strides long: ``(edge, size, text)``."""
+    piece = let(
+        part(cs, "b", f"least(b + {2 * stride} - 1, size({cs}) - 1)"), "pc",
+        f"named_struct('first', b = 0, 'edge', b = 0 OR b + {2 * stride} >= size({cs}), 'size', size(pc), 'text', array_join(pc, ''))",
+    )
+    return f"transform(sequence(0, size({cs}) - 1, {stride}), b -> {piece})"
 
-    The text is taken in overlapping chunks.  A chunk too far from the pattern
-    (built-in edit distance) cannot hold a window above the threshold.
+
+def _windows(pattern: str, threshold: float, stride: int) -> str:
+    """Best similarity of the whole pattern with the windows of the chunks ``ch``.
+
+    A chunk that lacks every piece of the pattern, or is too far from it
+    (built-in edit distance), cannot hold a window above the threshold.
     """
     limit = repr(1 - threshold / 100)
-    window = f"slice({cs}, greatest(o, 0) + 1, least(o + {pattern}.len, size({cs})) - greatest(o, 0))"
+    window = f"substr(c.text, greatest(o, 0) + 1, least(o + {pattern}.len, c.size) - greatest(o, 0))"
     score = (
-        f"if(levenshtein(array_join(w, ''), {pattern}.text) <= {limit}D * (size(w) + {pattern}.len) + 1e-9D, "
-        f"{ratio('w', pattern)}, 0D)"
+        f"if(levenshtein(w, {pattern}.text) <= {limit}D * (length(w) + {pattern}.len) + 1e-9D, "
+        f"{let('split(w, ' + chr(39) * 2 + ')', 'wc', ratio('wc', pattern))}, 0D)"
     )
-    chunks = (
-        f"filter(sequence(0, size({cs}) - 1, {_CHUNK}), b -> levenshtein(substr(h, b + 1, {2 * _CHUNK}), {pattern}.text) "
-        f"<= {_edit_bound(f'least(size({cs}) - b, {2 * _CHUNK})', pattern, threshold)})"
+    near = (
+        f"filter(ch, c -> (c.edge OR exists({pattern}.pieces, e -> contains(c.text, e))) "
+        f"AND levenshtein(c.text, {pattern}.text) <= {_edit_bound('c.size', pattern, threshold)})"
     )
-    starts = f"sequence(if(b = 0, 1 - {pattern}.len, b), least(b + {_CHUNK - 1}, size({cs}) - 1))"
-    scores = f"flatten(transform({chunks}, b -> transform({starts}, o -> {let(window, 'w', score)})))"
+    starts = f"sequence(if(c.first, 1 - {pattern}.len, 0), least({stride}, c.size) - 1)"
+    scores = f"flatten(transform({near}, c -> transform({starts}, o -> {let(window, 'w', score)})))"
     return f"coalesce(array_max({scores}), 0D)"
 
 
@@ -106,20 +127,22 @@ def _pattern_windows(cs: str, pattern: str) -> str:
     return f"array_max(transform(sequence(1 - size({cs}), {pattern}.len - 1), o -> {score}))"
 
 
-def best_partial_ratio(text: str, patterns: str, threshold: float) -> str:
+def best_partial_ratio(text: str, patterns: str, threshold: float, longest: int = _CHUNK) -> str:
     """Like :func:`best_ratio`, for the best window of the longer side.
 
-    Two sound pre-filters keep the exact windows few: letters of the phrase
-    that the text lacks, and the built-in edit distance per chunk and window.
+    Sound pre-filters keep the exact windows few: letters of the phrase that
+    the text lacks, whole pieces, and the built-in edit distance.
+    ``longest`` is the length of the longest phrase.
     """
+    stride = max(_CHUNK, longest)
     near = f"filter({patterns}, p -> size(cs) < p.len OR length(translate(p.text, h, '')) <= 0.27D * p.len)"
     inner = (
         f"if(levenshtein(h, p.text) <= {_edit_bound('size(cs)', 'p', threshold)}, {_pattern_windows('cs', 'p')}, 0D)"
     )
     score = (
-        f"greatest(if(size(cs) >= p.len, {_windows('cs', 'p', threshold)}, 0D), "
+        f"greatest(if(size(cs) >= p.len, {_windows('p', threshold, stride)}, 0D), "
         f"if(size(cs) <= p.len, {inner}, 0D))"
     )
     scored = f"transform({near}, p -> named_struct('score', {score}, 'rank', -p.ord, 'label', p.label))"
     best = f"array_max(filter({scored}, r -> r.score >= {threshold!r}D))"
-    return let(text, "h", let("split(h, '')", "cs", best))
+    return let(text, "h", let("split(h, '')", "cs", let(_chunks("cs", stride), "ch", best)))

@@ -79,6 +79,11 @@ def span(first: str, last: str) -> str:
     return f"if({last} >= {first}, sequence({first}, {last}), cast(array() as array<int>))"
 
 
+def part(array: str, first: str, last: str) -> str:
+    """Elements ``first..last`` (0-based).  Costs what it returns; ``slice`` copies the whole array."""
+    return f"transform({span(first, last)}, k -> get({array}, k))"
+
+
 def any_of(text: str, phrases: Iterable[str]) -> str:
     """True when one of the plain phrases occurs in ``text``."""
     return "(" + " OR ".join(f"contains({text}, {q(p)})" for p in phrases) + ")"

@@ -292,13 +292,15 @@ def specialty_phrases(text: str) -> str:
 
 def specialty_fuzzy(text: str, specialties=None) -> str:
     """Phrases close to a canonical name: ratio of 80, else partial ratio of 85."""
-    table = similarity.pattern_rows([(n, n.lower()) for n in specialties or sp.SPECIALTIES])
+    names = list(specialties or sp.SPECIALTIES)
+    table = similarity.pattern_rows([(n, n.lower()) for n in names])
     best = (
         f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO)}, "
-        f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL)})"
+        f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL, max(map(len, names)))})"
     )
     hits = f"filter(transform({specialty_phrases(text)}, p -> {best}), b -> b IS NOT NULL)"
-    first = "filter(hs, (h, i) -> array_position(transform(hs, x -> x.label), h.label) = i + 1)"
+    # a text may hold very many phrases, but never more labels than the dictionary
+    first = "transform(array_distinct(transform(hs, x -> x.label)), l -> get(filter(hs, x -> x.label = l), 0))"
     out = (
         f"transform({first}, (h, i) -> named_struct('value', h.label, "
         "'confidence', CASE WHEN h.score >= 90D THEN 0.8D WHEN h.score >= 85D THEN 0.7D ELSE 0.6D END, "

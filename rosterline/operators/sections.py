@@ -9,7 +9,7 @@ other than the one that read it.
 from __future__ import annotations
 
 from ..functions import text as tx
-from ..functions.sql import emit, fold, let, q, span, strip, word
+from ..functions.sql import emit, fold, let, part, q, span, strip, word
 from ..vocab.transactions import SCOPE_WORDS
 
 # Cue patterns.
@@ -94,8 +94,8 @@ def _table() -> str:
 
 def _evidence(s: str) -> str:
     lo = f"greatest({s} - {EVIDENCE_LINES}, 0)"
-    near = f"slice(f, {lo} + 1, {s} + {EVIDENCE_LINES} - {lo} + 1)"
-    return f"aggregate({near}, 0, (a, y) -> a + y.hits)"
+    near = span(lo, f"least({s} + {EVIDENCE_LINES}, size(f) - 1)")
+    return f"aggregate({near}, 0, (a, k) -> a + get(f, k).hits)"
 
 
 def _soft() -> str:
@@ -118,7 +118,7 @@ def _marks() -> str:
 
 
 def _text(e: str) -> str:
-    raw = f"array_join(transform(slice(f, {e}.line + 1, {e}.stop - {e}.line + 1), y -> y.l), '\\n')"
+    raw = f"array_join(transform({span(f'{e}.line', f'{e}.stop')}, k -> get(f, k).l), '\\n')"
     return f"if({e}.kind = 2, get(f, {e}.line).t, {raw})"
 
 
@@ -185,7 +185,7 @@ def blocks(text: str, gap: int = 2) -> str:
     providers apart.
     """
     events = f"array_sort(concat({_marks()}, {_hard()}, {_table()}, {_soft()}))"
-    parts = "filter(slice(ev, r.first + 1, r.past - r.first), e -> e.kind > 0)"
+    parts = f"filter({part('ev', 'r.first', 'r.past - 1')}, e -> e.kind > 0)"
     out = let(
         parts, "es",
         f"named_struct('start_line', r.start, 'end_line', r.stop, "

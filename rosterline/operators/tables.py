@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import similarity
 from ..functions import text as tx
-from ..functions.sql import emit, fold, let, mapping, q, span, strip
+from ..functions.sql import emit, fold, let, mapping, part, q, span, strip
 from ..vocab.headers import (
     BLOCK_FIELDS, HEADER_THRESHOLD, LABEL_WORDS, LABEL_WORDS_TEXT, TABLE_HEADER_WORDS, header_rows,
 )
@@ -134,11 +134,11 @@ def text_tables(text: str) -> str:
     flat = let(
         split_row("get(g, d.start).t", "d.sep"), "hs",
         "named_struct('kind', 'horizontal', 'start', d.start, 'headers', hs, 'rows', "
-        f"transform(filter(transform(slice(g, d.start + 2, d.stop - d.start - 1), y -> {split_row('y.t', 'd.sep')}), "
+        f"transform(filter(transform({span('d.start + 1', 'd.stop - 1')}, k -> {split_row('get(g, k).t', 'd.sep')}), "
         "c -> size(c) BETWEEN 1 AND size(hs)), c -> concat(c, array_repeat('', size(hs) - size(c)))))",
     )
     tall = let(
-        "filter(slice(g, d.start + 1, d.stop - d.start), y -> y.pair)", "ps",
+        f"filter({part('g', 'd.start', 'd.stop - 1')}, y -> y.pair)", "ps",
         "named_struct('kind', 'vertical', 'start', d.start, 'headers', transform(ps, y -> y.field), "
         "'rows', array(transform(ps, y -> y.value)))",
     )
