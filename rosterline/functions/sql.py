@@ -17,8 +17,8 @@ EDGE_RIGHT = "(?![A-Za-z0-9_])"
 
 WHITESPACE = "' \\n\\t\\r\\u000c'"
 
-#: elements held in the open chunk of :func:`fold`
-CHUNK = 512
+#: items per chunk of :func:`fold`
+CHUNK = 256
 
 
 def q(text: str) -> str:
@@ -93,25 +93,25 @@ def fold(items: str, zero: str, advance: Callable[[str, str], str], element: str
     """Left-to-right scan that carries a state and emits elements.
 
     ``advance(state, item)`` is a struct ``(s, e)``: the next state and an
-    array with the elements to emit.  They go to chunks, so that a message with
-    very many lines costs little more than linear time (appending to one
-    growing array would copy it at every step).
+    array with the elements to emit.  ``aggregate`` copies its accumulator at
+    every step, so emitted elements are gathered per chunk of items and a
+    message with very many lines still costs little more than linear time.
     """
-    zero_acc = (
-        f"named_struct('s', {zero}, 'cur', cast(array() as array<{element}>), "
-        f"'done', cast(array() as array<array<{element}>>))"
+    empty = f"cast(array() as array<{element}>)"
+    # the innermost aggregate binds the result of one step to ``r``
+    step = (
+        f"aggregate(array({advance('cs.s', 'x')}), cs, "
+        "(a, r) -> named_struct('s', r.s, 'cur', if(size(r.e) = 0, a.cur, concat(a.cur, r.e))))"
     )
-    nxt = let(
-        advance("acc.s", "x"),
-        "r",
-        "CASE WHEN size(r.e) = 0 THEN named_struct('s', r.s, 'cur', acc.cur, 'done', acc.done) "
-        f"WHEN size(acc.cur) < {CHUNK} THEN named_struct('s', r.s, 'cur', concat(acc.cur, r.e), 'done', acc.done) "
-        "ELSE named_struct('s', r.s, 'cur', r.e, 'done', concat(acc.done, array(acc.cur))) END",
-    )
-    return (
-        f"aggregate({items}, {zero_acc}, (acc, x) -> {nxt}, "
-        "acc -> flatten(concat(acc.done, array(acc.cur))))"
+    chunk = part("its", f"b * {CHUNK}", f"least(b * {CHUNK} + {CHUNK - 1}, size(its) - 1)")
+    one = f"aggregate({chunk}, named_struct('s', acc.s, 'cur', {empty}), (cs, x) -> {step})"
+    whole = (
+        f"aggregate({span('0', f'cast(ceil(size(its) / {CHUNK}D) as int) - 1')}, "
+        f"named_struct('s', {zero}, 'done', cast(array() as array<array<{element}>>)), "
+        f"(acc, b) -> aggregate(array({one}), acc, (o, r) -> named_struct('s', r.s, 'done', concat(o.done, array(r.cur)))), "
+        "acc -> flatten(acc.done))"
     )
+    return let(items, "its", whole)
 
 
 def emit(condition: str, value: str, element: str) -> str:
@@ -119,16 +119,11 @@ def emit(condition: str, value: str, element: str) -> str:
     return f"if({condition}, array({value}), cast(array() as array<{element}>))"
 
 
-def match_starts(text: str, pattern: str) -> str:
-    """0-based start of every match: lengths of the gaps and matches before it."""
-    return let(
-        f"split({text}, {q(pattern)}, -1)",
-        "gaps",
-        fold(
-            f"transform(regexp_extract_all({text}, {q(pattern)}, 0), "
-            "(m, i) -> named_struct('gap', length(get(gaps, i)), 'len', length(m)))",
-            "0",
-            lambda s, x: f"named_struct('s', {s} + {x}.gap + {x}.len, 'e', array({s} + {x}.gap))",
-            "int",
-        ),
+def match_starts(gaps: str, hits: str) -> str:
+    """0-based starts of matches from the texts between them and the matches."""
+    return fold(
+        f"transform({hits}, (m, i) -> named_struct('gap', length(get({gaps}, i)), 'len', length(m)))",
+        "0",
+        lambda s, x: f"named_struct('s', {s} + {x}.gap + {x}.len, 'e', array({s} + {x}.gap))",
+        "int",
     )

@@ -7,8 +7,7 @@ order decides which candidate a record takes, so it is never re-sorted.
 from __future__ import annotations
 
 from ..functions import checks
-from ..functions import text as tx
-from ..functions.sql import edges, let, match_starts, q, strip
+from ..functions.sql import edges, let, match_starts, q, span, strip
 from ..vocab.transactions import LEXICON, NEGATION
 
 # Patterns per field, in scan order.
@@ -150,23 +149,47 @@ def scan(text: str, field: str, checksum: str = "standard") -> str:
     return let(found, "cs", let(ids, "ids", f"if(size(ids) > 1, array({combined}), cs)"))
 
 
+def _nearby(n: int) -> str:
+    """Up to ``n`` characters on both sides of the start of match ``j``.
+
+    Put together from the neighbouring matches and the gaps between them: a cut
+    by position would scan a long text from its start for every match.  No
+    match is shorter than four characters, hence the number of neighbours.
+    """
+    k = n // 4 + 1
+    before = (
+        f"right(array_join(transform({span(f'greatest(j - {k}, 0)', 'j')}, "
+        f"k -> concat(right(get(gaps, k), {n}), if(k < j, get(hits, k), ''))), ''), {n})"
+    )
+    after = (
+        f"left(array_join(transform({span('j', f'least(j + {k}, size(hits) - 1)')}, "
+        f"k -> concat(get(hits, k), left(get(gaps, k + 1), {n}))), ''), {n})"
+    )
+    return strip(f"replace(concat({before}, {after}), '\n', ' ')")
+
+
 def scan_with_positions(text: str, field: str, checksum: str = "standard") -> str:
     """Like :func:`scan` without the PPG step, plus match position and context."""
     patterns, shape = _FIELDS[field]
     arrays = []
     for i, pattern in enumerate(patterns):
         value, confidence, passed = shape("m", i, checksum)
-        full = "(?i)" + pattern
+        full = q("(?i)" + pattern)
         made = (
             f"named_struct('field', '{field}', 'value', {value}, 'confidence', {confidence}, "
             f"'extractor_id', '{field}_pattern_{i}', 'pattern_ord', {i}, 'match_ord', j, "
-            f"'validation_passed', {passed}, 'position', get(starts, j), "
-            f"'context', {tx.context(text, 'get(starts, j)', CONTEXT[field])})"
+            f"'validation_passed', {passed}, 'position', get(starts, j), 'context', {_nearby(CONTEXT[field])})"
         )
         arrays.append(
             let(
-                match_starts(text, full), "starts",
-                f"transform(regexp_extract_all({text}, {q(full)}, 1), (m, j) -> {made})",
+                f"split({text}, {full}, -1)", "gaps",
+                let(
+                    f"regexp_extract_all({text}, {full}, 0)", "hits",
+                    let(
+                        match_starts("gaps", "hits"), "starts",
+                        f"transform(regexp_extract_all({text}, {full}, 1), (m, j) -> {made})",
+                    ),
+                ),
             )
         )
     return f"filter(concat({', '.join(arrays)}), c -> c.value IS NOT NULL)"
@@ -189,5 +212,3 @@ def transaction_lexicon(text: str) -> str:
     counts = f"named_struct('term', {hits('Term')}, 'add', {hits('Add')}, 'upd', {hits('Update')})"
     return f"CASE WHEN NOT lower({text}) rlike {q(NEGATION)} THEN {let(counts, 'n', out)} END"
 
-
-__all__ = ["FIELDS", "CANDIDATE", "candidate", "scan", "scan_with_positions", "transaction_lexicon", "strip"]
