@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
 from ..functions import text as tx
 from ..functions.sql import any_of, constant, let, q, strip
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, SENTINEL
@@ -158,7 +159,7 @@ def message_values(prepared: DataFrame, gap: int = 2, compat: bool = False, chec
 
 def resolve(values: DataFrame, compat: bool = False, checksum: str = "standard", specialties=None) -> DataFrame:
     """One record per block by source precedence; missing values are NULL."""
-    per_block = values.select("*", F.posexplode("blocks").alias("block_id", "block")).select(
+    per_block = values.transform(explode_rows, ["*"], F.col("blocks"), "block_id", "block").select(
         *[c for c in values.columns if c not in ("blocks", "cells")],
         "block_id",
         F.col("block.text").alias("block_text"),
@@ -240,9 +241,7 @@ def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum
     def tagged(array, scope, block):
         return f"transform({array}, c -> named_struct('block_id', {block}, 'scope', '{scope}', 'c', {fields}))"
 
-    found = prepared.select(
-        "msg_id",
-        F.expr(
+    found = (
             "concat("
             + tagged(_scoped("full", "text", compat, checksum), "full", "cast(null as int)")
             + ", "
@@ -252,9 +251,8 @@ def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum
             + ", (b, bi) -> "
             + tagged(let("b.text", "bt", _scoped("block", "bt", compat, checksum)), "block", "bi")
             + ")))"
-        ).alias("found"),
     )
-    return found.select("msg_id", F.explode("found").alias("e")).select("msg_id", "e.block_id", "e.scope", "e.c.*")
+    return prepared.transform(explode_rows, ["msg_id"], found, "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
 
 
 def extractor_priority(extractor_id: Column) -> Column:

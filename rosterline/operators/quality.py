@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.frames import explode_rows
+
 from ..functions.sql import let, q
 from ..vocab.business import SENTINEL, TRACKED_FIELDS
 from . import fusion, patterns, sections, tables
@@ -45,7 +47,7 @@ def field_success(records: DataFrame, fields: list[str] = TRACKED_FIELDS) -> Dat
     """
     counts = records.agg(F.count("*").alias("total"), *[F.count_if(plausible(f)).alias(f) for f in fields])
     listed = ", ".join(f"named_struct('field', '{f}', 'field_ord', {i}, 'success', `{f}`)" for i, f in enumerate(fields))
-    return counts.select("total", F.explode(F.expr(f"array({listed})")).alias("f")).select(
+    return counts.transform(explode_rows, ["total"], f"array({listed})", "f").select(
         "f.field", "f.field_ord", "f.success", "total")
 
 
@@ -106,8 +108,7 @@ def field_provenance(prepared: DataFrame, field: str, checksum: str = "standard"
     ranked = (
         "transform(array_sort(transform(cs, (c, i) -> named_struct('rank', -c.confidence, 'ord', i, 'c', c))), s -> s.c)"
     )
-    found = prepared.select(
-        "msg_id", F.posexplode(F.expr(let(patterns.scan_with_positions("text", field, checksum), "cs", ranked))).alias("rank", "c"))
+    found = prepared.transform(explode_rows, ["msg_id"], let(patterns.scan_with_positions("text", field, checksum), "cs", ranked), "rank", "c")
     return found.select("msg_id", "rank", "c.field", "c.value", "c.extractor_id", "c.confidence", "c.position",
                         "c.context", "c.validation_passed")
 
@@ -126,7 +127,7 @@ def candidate_report(prepared: DataFrame) -> DataFrame:
         "named_struct('rank', -c.confidence, 'ord', i, 'c', c))), s -> s.c))"
     )
     grouped = let(_message_candidates(), "cs", f"transform(array_distinct(transform(cs, c -> c.field)), f -> {one})")
-    return prepared.select("msg_id", F.explode(F.expr(grouped)).alias("g")).select(
+    return prepared.transform(explode_rows, ["msg_id"], grouped, "g").select(
         "msg_id", "g.field", F.size("g.candidates").alias("n"),
         F.expr("array_join(transform(g.candidates, c -> concat(c.value, ' (', c.extractor_id, ')')), '; ')").alias("candidates"))
 

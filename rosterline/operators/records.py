@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
 from ..functions import checks
 from ..functions import text as tx
 from ..functions.sql import any_of, let, mapping, q, rows, strip, word
@@ -120,8 +121,7 @@ def validation_results(records: DataFrame) -> DataFrame:
         f"named_struct('field', '{f}', 'raw', {f}, 'r', {check(f)})" for f, check in checks.VALIDATORS.items()
     )
     return (
-        records.select("msg_id", "block_id", F.expr(f"filter(array({checked}), e -> e.raw <> {q(SENTINEL)})").alias("es"))
-        .select("msg_id", "block_id", F.explode("es").alias("e"))
+        records.transform(explode_rows, ["msg_id", "block_id"], f"filter(array({checked}), e -> e.raw <> {q(SENTINEL)})", "e")
         .select("msg_id", "block_id", "e.field", "e.r.is_valid", "e.r.message", "e.r.normalized")
     )
 
@@ -200,8 +200,7 @@ def contract_errors(records: DataFrame) -> DataFrame:
 
     parts = [e for e in map(errors, OUTPUT_COLUMNS) if e]
     return (
-        records.select("msg_id", "block_id", F.expr(f"concat({', '.join(parts)})").alias("es"))
-        .select("msg_id", "block_id", F.explode("es").alias("e"))
+        records.transform(explode_rows, ["msg_id", "block_id"], f"concat({', '.join(parts)})", "e")
         .select("msg_id", "block_id", "e.field", "e.error")
     )
 

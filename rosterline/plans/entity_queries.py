@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
+
 from ..functions import checks
 from ..functions import text as tx
 from ..operators import entities as en
@@ -46,13 +48,12 @@ PEOPLE_CTE = f"{MAIL_CTE.rsplit(', mail AS', 1)[0]}, mail AS (SELECT msg_id, {PE
 
 
 def _people(spark, sf):
-    rendered = fx.table(spark, sf, "customer").selectExpr(*fx.PARTS_SQL).selectExpr(*fx.MAIL_SQL)
-    return rendered.selectExpr("msg_id", f"{PEOPLE} AS body")
+    return fx.rendered(spark, sf).selectExpr("msg_id", f"{PEOPLE} AS body")
 
 
 @query("provider_names", f"WITH {PEOPLE_CTE}, c AS ({names_sql('mail', 'msg_id', 'body')}) SELECT msg_id, value, confidence, extractor_id, match_ord FROM c")
 def provider_names(spark, sf):
-    return _people(spark, sf).select("msg_id", F.explode(F.expr(en.provider_names("body"))).alias("c")).select(
+    return _people(spark, sf).transform(explode_rows, ["msg_id"], en.provider_names("body"), "c").select(
         "msg_id", "c.value", "c.confidence", "c.extractor_id", "c.match_ord")
 
 
@@ -81,7 +82,7 @@ def name_plausibility(spark, sf):
         regexp_matches(body, concat('(?i)\\b(?:{en.TITLES})\\b\\.?\\s+(?:\\S+\\s+){{0,5}}?', '\\Q', value, '\\E'))
         OR regexp_matches(body, concat('(?i)', '\\Q', value, '\\E', '(?:\\W+\\w+){{0,5}}?\\W+\\b(?:{en.TITLES})\\b'))) GROUP BY 1, 2""")
 def title_adjacent_names(spark, sf):
-    found = _people(spark, sf).select("msg_id", F.explode(F.expr(en.names_near_title("body"))).alias("c"))
+    found = _people(spark, sf).transform(explode_rows, ["msg_id"], en.names_near_title("body"), "c")
     return found.groupBy("msg_id", "c.value", "c.confidence").agg(F.count("*").alias("n"))
 
 
@@ -163,8 +164,7 @@ ORGS_CTE = f"{MAIL_CTE.rsplit(', mail AS', 1)[0]}, mail AS (SELECT msg_id, CASE
 
 
 def _org_mails(spark, sf):
-    rendered = fx.table(spark, sf, "customer").selectExpr(*fx.PARTS_SQL).selectExpr(*fx.MAIL_SQL)
-    return rendered.selectExpr("msg_id", f"CASE WHEN k % 3 = 0 THEN body ELSE {ORGS} END AS body")
+    return fx.rendered(spark, sf).selectExpr("msg_id", f"CASE WHEN k % 3 = 0 THEN body ELSE {ORGS} END AS body")
 
 
 @query("organizations", f"""
@@ -172,7 +172,7 @@ def _org_mails(spark, sf):
     SELECT msg_id, name, value, confidence, cx AS context FROM oc""")
 def organizations(spark, sf):
     bodies = _org_mails(spark, sf).select("msg_id", F.expr(tx.body_window("body")).alias("bw"))
-    return bodies.select("msg_id", F.explode(F.expr(en.organization_candidates("bw"))).alias("o")).select(
+    return bodies.transform(explode_rows, ["msg_id"], en.organization_candidates("bw"), "o").select(
         "msg_id", "o.name", "o.value", "o.confidence", "o.context")
 
 
@@ -300,13 +300,12 @@ SPECIAL_CTE = f"{MAIL_CTE.rsplit(', mail AS', 1)[0]}, mail AS (SELECT msg_id, CA
 
 
 def _special_mails(spark, sf):
-    rendered = fx.table(spark, sf, "customer").selectExpr(*fx.PARTS_SQL).selectExpr(*fx.MAIL_SQL)
-    return rendered.selectExpr("msg_id", f"CASE WHEN k % 2 = 0 THEN body ELSE {SPECIAL} END AS body")
+    return fx.rendered(spark, sf).selectExpr("msg_id", f"CASE WHEN k % 2 = 0 THEN body ELSE {SPECIAL} END AS body")
 
 
 def _specialty_query(build):
     def run(spark, sf):
-        return _special_mails(spark, sf).select("msg_id", F.explode(F.expr(build("body"))).alias("c")).select(
+        return _special_mails(spark, sf).transform(explode_rows, ["msg_id"], build("body"), "c").select(
             "msg_id", "c.value", "c.confidence", "c.extractor_id")
 
     return run
@@ -323,7 +322,7 @@ query("specialty_union", f"WITH {SPECIAL_CTE}, {specialties_cte('mail', 'msg_id'
 def specialty_taxonomy(spark, sf):
     """Equi-join of code-shaped tokens with the code dictionary (35 rows, broadcast)."""
     dim = spark.createDataFrame(list(sp.taxonomy_map().items()), "code string, canonical string")
-    tokens = _special_mails(spark, sf).select("msg_id", F.explode(F.expr(en.taxonomy_tokens("body"))).alias("code"))
+    tokens = _special_mails(spark, sf).transform(explode_rows, ["msg_id"], en.taxonomy_tokens("body"), "code")
     return tokens.join(F.broadcast(dim), "code").select(
         "msg_id", F.col("canonical").alias("value"), F.lit(0.9).alias("confidence"),
         F.lit("taxonomy_code_match").alias("extractor_id")).distinct()
@@ -340,7 +339,7 @@ def specialty_reverse_map(spark, sf):
     # names are counted first, so the scan of the dictionary meets each distinct name once
     names = fx.table(spark, sf, "part").groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n"))
     synonyms = ", ".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in sp.reverse_map())
-    hits = names.select("n", F.explode(F.expr(f"filter(array({synonyms}), s -> contains(name, s))")).alias("synonym"))
+    hits = names.transform(explode_rows, ["n"], f"filter(array({synonyms}), s -> contains(name, s))", "synonym")
     used = hits.groupBy("synonym").agg(F.sum("n").alias("parts"))
     return reverse.join(F.broadcast(used), "synonym", "left").withColumn("parts", F.coalesce("parts", F.lit(0).cast("bigint")))
 
@@ -357,7 +356,7 @@ def lob_cte(src: str, key: str, text: str, out: str) -> str:
 
 @query("lob_gazetteer", f"WITH {MAIL_CTE}, {lob_cte('mail', 'msg_id', 'body', 's')} SELECT msg_id, value, (row_number() OVER (PARTITION BY msg_id ORDER BY ord) - 1)::INT AS ord FROM s")
 def lob_gazetteer(spark, sf):
-    return fx.mail(spark, sf).select("msg_id", F.posexplode(F.expr(en.lines_of_business("body"))).alias("ord", "value"))
+    return fx.mail(spark, sf).transform(explode_rows, ["msg_id"], en.lines_of_business("body"), "ord", "value")
 
 
 _MONTH_LIST = "'January,February,March,April,May,June,July,August,September,October,November,December'"
@@ -380,7 +379,7 @@ def word_dates_sql(src: str, key: str, text: str) -> str:
 @query("word_dates", f"WITH o AS (SELECT o_orderkey AS id, {DATE_TEXT} AS t FROM orders), c AS ({word_dates_sql('o', 'id', 't')}) SELECT id, value, confidence, extractor_id, match_ord FROM c")
 def word_dates(spark, sf):
     texts = fx.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{DATE_TEXT} AS t")
-    return texts.select("id", F.explode(F.expr(en.word_dates("t"))).alias("c")).select(
+    return texts.transform(explode_rows, ["id"], en.word_dates("t"), "c").select(
         "id", "c.value", "c.confidence", "c.extractor_id", "c.match_ord")
 
 
@@ -451,8 +450,7 @@ KINDS_CTE = f"{MAIL_CTE.rsplit(', mail AS', 1)[0]}, mail AS (SELECT msg_id, {_KI
 
 
 def _kind_mails(spark, sf):
-    rendered = fx.table(spark, sf, "customer").selectExpr(*fx.PARTS_SQL).selectExpr(*fx.MAIL_SQL)
-    return rendered.selectExpr("msg_id", f"{_KINDS} AS body")
+    return fx.rendered(spark, sf).selectExpr("msg_id", f"{_KINDS} AS body")
 
 
 @query("transaction_type", f"WITH {KINDS_CTE}, {type_cte('mail', 'msg_id', 'body', 'ty')} SELECT msg_id, value, confidence, extractor_id FROM ty WHERE value IS NOT NULL")

@@ -285,13 +285,9 @@ _CSV_ROWS = """
     SELECT msg_id, 1, 3, 'License', 'license', '' FROM rendered"""
 
 
-def _rendered(spark, sf):
-    return fx.table(spark, sf, "customer").selectExpr(*fx.PARTS_SQL).selectExpr(*fx.MAIL_SQL)
-
-
 @query("csv_attachment_rows", f"WITH {RENDERED_CTE} {_CSV_ROWS}")
 def csv_attachment_rows(spark, sf):
-    files = _rendered(spark, sf).selectExpr("msg_id", f"{_CSV} AS payload")
+    files = fx.rendered(spark, sf).selectExpr("msg_id", f"{_CSV} AS payload")
     return attachments.csv_cells(files)
 
 
@@ -312,8 +308,7 @@ _EML = (
 
 
 def _raw_mails(spark, sf):
-    rendered = _rendered(spark, sf).selectExpr("*", f"{fx.HTML_SQL} AS html")
-    return rendered.selectExpr(
+    return fx.rendered(spark, sf).selectExpr("*", f"{fx.HTML_SQL} AS html").selectExpr(
         "msg_id", "concat('mail_', msg_id, '.eml') AS source_file", f"if(k % 17 = 0, null, encode({_EML}, 'UTF-8')) AS content")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
+
 from ..functions import checks
 from ..functions import text as tx
 from ..functions.sql import q
@@ -85,14 +87,12 @@ NOTES_CTE = f"{MAIL_CTE.rsplit(', mail AS', 1)[0]}, mail AS (SELECT msg_id, {_NO
 
 
 def _note_mails(spark, sf):
-    rendered = fx.table(spark, sf, "customer").selectExpr(*fx.PARTS_SQL).selectExpr(*fx.MAIL_SQL)
-    return rendered.selectExpr("msg_id", f"{_NOTES} AS body")
+    return fx.rendered(spark, sf).selectExpr("msg_id", f"{_NOTES} AS body")
 
 
 @query("attribute_scores", f"WITH {NOTES_CTE}, {attribute_scores_cte('mail', 'msg_id', 'body', 's')} SELECT msg_id, attribute, score FROM s")
 def attribute_scores(spark, sf):
-    scored = _note_mails(spark, sf).select("msg_id", F.lower("body").alias("low")).select(
-        "msg_id", F.explode(F.expr(fusion.attribute_scores("low"))).alias("s"))
+    scored = _note_mails(spark, sf).select("msg_id", F.lower("body").alias("low")).transform(explode_rows, ["msg_id"], fusion.attribute_scores("low"), "s")
     return scored.select("msg_id", "s.attribute", "s.score")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
+
 from ..functions import checks
 from ..operators import patterns
 from ..sources import fixture as fx
@@ -16,7 +18,7 @@ _CAND = ["value", "confidence", "extractor_id", "match_ord", "validation_passed"
 def _spark_scan(field, source="mail", key="msg_id", text="body"):
     def run(spark, sf):
         df = fx.mail(spark, sf) if source == "mail" else fx.table(spark, sf, source)
-        return df.select(key, F.explode(F.expr(patterns.scan(text, field))).alias("c")).select(
+        return df.transform(explode_rows, [key], patterns.scan(text, field), "c").select(
             key, *[f"c.{n}" for n in _CAND])
 
     return run

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
+
 from ..functions import text as tx
 from ..operators import sections, tables
 from ..sources import fixture as fx
@@ -81,7 +83,7 @@ CUES = f"{LN}, {cues_cte()}, {cue_text_cte()}"
 
 @query("message_lines", f"{LN} SELECT msg_id, n AS line_no, l AS line FROM ln")
 def message_lines(spark, sf):
-    return fx.mail(spark, sf).select("msg_id", F.posexplode(F.expr(tx.lines("body"))).alias("line_no", "line"))
+    return fx.mail(spark, sf).transform(explode_rows, ["msg_id"], tx.lines("body"), "line_no", "line")
 
 
 @query("shared_fields", f"""
@@ -96,7 +98,7 @@ def shared_fields(spark, sf):
 
 def _cue_query(kind):
     def run(spark, sf):
-        found = fx.mail(spark, sf).select("msg_id", F.explode(F.expr(sections.cue_blocks("body", kind))).alias("b"))
+        found = fx.mail(spark, sf).transform(explode_rows, ["msg_id"], sections.cue_blocks("body", kind), "b")
         return found.select("msg_id", "b.start_line", "b.end_line", "b.text", "b.confidence")
 
     return run
@@ -109,7 +111,7 @@ for _name, _kind, _no in (("hard_blocks", "hard", 1), ("table_row_blocks", "tabl
 
 @query("soft_evidence", f"{LN}, {cues_cte()} SELECT msg_id, s AS line_no, score FROM ev")
 def soft_evidence(spark, sf):
-    return fx.mail(spark, sf).select("msg_id", F.explode(F.expr(sections.soft_evidence("body"))).alias("e")).select(
+    return fx.mail(spark, sf).transform(explode_rows, ["msg_id"], sections.soft_evidence("body"), "e").select(
         "msg_id", "e.line_no", "e.score")
 
 
@@ -117,7 +119,7 @@ def soft_evidence(spark, sf):
 def block_union(spark, sf):
     mail = fx.mail(spark, sf)
     parts = [
-        mail.select("msg_id", F.explode(F.expr(sections.cue_blocks("body", k))).alias("b")).select(
+        mail.transform(explode_rows, ["msg_id"], sections.cue_blocks("body", k), "b").select(
             "msg_id", "b.start_line", "b.end_line", "b.indicator")
         for k in ("hard", "table", "soft")
     ]
@@ -131,7 +133,7 @@ def _blocks(gap, default):
     build = sections.blocks_or_default if default else sections.blocks
 
     def run(spark, sf):
-        found = fx.mail(spark, sf).select("msg_id", F.posexplode(F.expr(build("body", gap))).alias("block_id", "b"))
+        found = fx.mail(spark, sf).transform(explode_rows, ["msg_id"], build("body", gap), "block_id", "b")
         return found.select("msg_id", "block_id", *[f"b.{c}" for c in _BLOCK_COLS],
                             F.array_join("b.indicators", ",").alias("indicators"))
 
@@ -233,7 +235,7 @@ TT = f"WITH RECURSIVE {MAIL_CTE}, {tables_cte('mail', 'body')}"
 
 
 def _explode_tables(df, built):
-    t = df.select("msg_id", F.posexplode(F.expr(built)).alias("table_id", "t"))
+    t = df.transform(explode_rows, ["msg_id"], built, "table_id", "t")
     r = t.select("msg_id", "table_id", "t.kind", "t.headers", F.posexplode("t.rows").alias("row_idx", "cells"))
     return r.select("msg_id", "table_id", "kind", "row_idx", "headers", F.posexplode("cells").alias("col_idx", "value")).select(
         "msg_id", "table_id", "kind", "row_idx", "col_idx", F.expr("get(headers, col_idx)").alias("header"), "value")
@@ -246,7 +248,7 @@ _CELL_SQL = "SELECT msg_id, table_id, kind, row_idx, col_idx, header, value FROM
     {LN} SELECT msg_id, n AS line_no, {HEADER_SQL.format('t')} AS is_header, {SEP_SQL.format('t')} AS separator,
     coalesce(array_to_string({split_sql('t', SEP_SQL.format('t'))}, '/'), '') AS cells FROM ln""")
 def text_table_header(spark, sf):
-    lines = fx.mail(spark, sf).select("msg_id", F.posexplode(F.expr(tx.lines("body"))).alias("line_no", "l")).selectExpr(
+    lines = fx.mail(spark, sf).transform(explode_rows, ["msg_id"], tx.lines("body"), "line_no", "l").selectExpr(
         "msg_id", "line_no", f"{tx.strip('l')} AS t")
     sep = tables.separator("t")
     return lines.select(
@@ -288,7 +290,7 @@ _TC_COLS = ["origin", "table_id", "row_idx", "col_idx", "field", "value", "confi
 @query("table_candidates", f"{TC} SELECT msg_id, {', '.join(_TC_COLS)} FROM tc")
 def table_candidates(spark, sf):
     built = tables.table_candidates(tables.text_tables("body"), "text")
-    return fx.mail(spark, sf).select("msg_id", F.explode(F.expr(built)).alias("c")).select("msg_id", *[f"c.{c}" for c in _TC_COLS])
+    return fx.mail(spark, sf).transform(explode_rows, ["msg_id"], built, "c").select("msg_id", *[f"c.{c}" for c in _TC_COLS])
 
 
 _OWN = str_list(BLOCK_FIELDS)
@@ -303,11 +305,9 @@ def block_aware_candidates(spark, sf):
     built = tables.table_candidates(tables.text_tables("body"), "text")
     rows = fx.mail(spark, sf).select(
         "msg_id", F.expr(built).alias("cells"), F.expr(sections.blocks_or_default("body", 0)).alias("blocks"))
-    inside = rows.select("msg_id", "cells", F.posexplode("blocks").alias("block_id", "b")).select(
-        "msg_id", "block_id",
-        F.explode(F.expr("filter(cells, c -> contains(lower(b.text), lower(c.value)))")).alias("c"),
-    ).select("msg_id", "block_id", "c.field", "c.value", "c.confidence")
-    wide = rows.select("msg_id", F.explode("cells").alias("c")).filter(~F.col("c.field").isin(BLOCK_FIELDS)).select(
+    inside = rows.transform(explode_rows, ["msg_id", "cells"], F.col("blocks"), "block_id", "b").transform(
+        explode_rows, ["msg_id", "block_id"], "filter(cells, c -> contains(lower(b.text), lower(c.value)))", "c").select("msg_id", "block_id", "c.field", "c.value", "c.confidence")
+    wide = rows.transform(explode_rows, ["msg_id"], F.col("cells"), "c").filter(~F.col("c.field").isin(BLOCK_FIELDS)).select(
         "msg_id", F.lit(None).cast("int").alias("block_id"), "c.field", "c.value",
         (F.col("c.confidence") * F.lit(0.6)).alias("confidence"))
     return inside.unionByName(wide)
@@ -338,14 +338,14 @@ HT = f"WITH {HTML_CTE}, {_html_rows_cte()}"
 
 @query("html_table_cells", f"{HT} SELECT msg_id, table_id, row_no, (c)::INT AS col_idx, cs[c + 1] AS value FROM (SELECT *, unnest(range(0, len(cs))) AS c FROM hr)")
 def html_table_cells(spark, sf):
-    t = fx.mail_html(spark, sf).select("msg_id", F.posexplode(F.expr(tables.html_cells("html"))).alias("table_id", "rs"))
+    t = fx.mail_html(spark, sf).transform(explode_rows, ["msg_id"], tables.html_cells("html"), "table_id", "rs")
     r = t.select("msg_id", "table_id", F.posexplode("rs").alias("row_no", "cs"))
     return r.select("msg_id", "table_id", "row_no", F.posexplode("cs").alias("col_idx", "value"))
 
 
 @query("html_orientation", f"{HT} SELECT msg_id, table_id, vertical FROM ho")
 def html_orientation(spark, sf):
-    t = fx.mail_html(spark, sf).select("msg_id", F.posexplode(F.expr(tables.html_cells("html"))).alias("table_id", "rs"))
+    t = fx.mail_html(spark, sf).transform(explode_rows, ["msg_id"], tables.html_cells("html"), "table_id", "rs")
     return t.select("msg_id", "table_id", F.expr(tables.is_vertical("rs")).alias("vertical"))
 
 
@@ -376,4 +376,4 @@ def html_vertical(spark, sf):
     SELECT msg_id, {', '.join(_TC_COLS)} FROM hc UNION ALL SELECT msg_id, {', '.join(_TC_COLS)} FROM tc""")
 def html_and_text_candidates(spark, sf):
     built = tables.message_table_candidates("body", "html")
-    return fx.mail_html(spark, sf).select("msg_id", F.explode(F.expr(built)).alias("c")).select("msg_id", *[f"c.{c}" for c in _TC_COLS])
+    return fx.mail_html(spark, sf).transform(explode_rows, ["msg_id"], built, "c").select("msg_id", *[f"c.{c}" for c in _TC_COLS])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
+
 from ..functions import text as tx
 from ..sources import fixture as fx
 from .registry import HTML_CTE, MAIL_CTE, lit, query
@@ -123,7 +125,7 @@ def npi_set_difference(spark, sf):
     halves = fx.mail(spark, sf).filter(F.col("body").contains("-----Original")).select(
         "msg_id", F.split_part("body", F.lit("-----Original"), F.lit(1)).alias("newer"),
         F.split_part("body", F.lit("-----Original"), F.lit(2)).alias("older"))
-    return halves.select("msg_id", F.explode(F.expr(tx.npi_set_difference("older", "newer"))).alias("npi"))
+    return halves.transform(explode_rows, ["msg_id"], tx.npi_set_difference("older", "newer"), "npi")
 
 
 @query("strip_boilerplate", f"""
@@ -184,7 +186,7 @@ def collapse_ws(spark, sf):
         trim(replace(substr(body, greatest(u.pos - 20, 0)::INT + 1, (u.pos + 20 - greatest(u.pos - 20, 0))::INT), chr(10), ' '), {WS}) AS context FROM n""")
 def match_context(spark, sf):
     from ..operators import patterns
-    found = fx.mail(spark, sf).select("msg_id", F.explode(F.expr(patterns.scan_with_positions("body", "npi"))).alias("c"))
+    found = fx.mail(spark, sf).transform(explode_rows, ["msg_id"], patterns.scan_with_positions("body", "npi"), "c")
     return found.filter("c.pattern_ord = 0").select("msg_id", "c.match_ord", "c.position", "c.context")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import explode_rows
+
 from ..functions.sql import let, q, rows, strip
 from ..vocab.headers import attachment_rows
 
@@ -29,7 +31,7 @@ def route(filename: str) -> str:
 
 def manifest(decoded: DataFrame) -> DataFrame:
     """Attachment parts with a filename and a non-empty payload that some reader supports."""
-    parts = decoded.select("msg_id", F.explode("parts").alias("p"))
+    parts = decoded.transform(explode_rows, ["msg_id"], F.col("parts"), "p")
     kept = parts.filter("p.disposition = 'attachment' AND p.filename <> '' AND length(p.payload) > 0")
     return kept.select(
         "msg_id", "p.idx", "p.filename", "p.content_type", F.expr(route("p.filename")).alias("reader"),
@@ -67,9 +69,8 @@ def csv_cells(attachments: DataFrame, payload: str = "payload") -> DataFrame:
     keys = [c for c in attachments.columns if c != payload]
     parsed = attachments.select(*keys, F.expr(csv_records(payload)).alias("recs"))
     headed = parsed.select(*keys, "recs", F.expr(f"transform(get(recs, 0), h -> {map_attachment_header('h')})").alias("fields"))
-    data = headed.select(*keys, "fields", F.expr("get(recs, 0)").alias("headers"),
-                         F.posexplode(F.expr("slice(recs, 2, size(recs))")).alias("row_idx", "cells"))
-    cells = data.select(*keys, "row_idx", "headers", "cells", F.posexplode("fields").alias("col_idx", "field"))
+    data = headed.transform(explode_rows, [*keys, "fields", F.expr("get(recs, 0)").alias("headers")], "slice(recs, 2, size(recs))", "row_idx", "cells")
+    cells = data.transform(explode_rows, [*keys, "row_idx", "headers", "cells"], F.col("fields"), "col_idx", "field")
     return cells.filter("field IS NOT NULL").select(
         *keys, "row_idx", "col_idx", F.expr("get(headers, col_idx)").alias("header"), "field",
         F.expr("coalesce(get(cells, col_idx), '')").alias("value"))

@@ -10,6 +10,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .spread import spread
+
 _N = "chr(10)"
 
 
@@ -109,7 +111,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``msg_id, layout, body``: one mail per customer."""
-    return table(spark, sf_dir, "customer").transform(mail_of)
+    return rendered(spark, sf_dir).select("msg_id", "layout", "body")
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer with the body and its parts."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return spread(keys).selectExpr(*PARTS_SQL).selectExpr(*MAIL_SQL)
 
 
 def mail_of(customer: DataFrame) -> DataFrame:
@@ -118,8 +126,7 @@ def mail_of(customer: DataFrame) -> DataFrame:
 
 def mail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``msg_id, layout, body, html``."""
-    rendered = table(spark, sf_dir, "customer").selectExpr(*PARTS_SQL).selectExpr(*MAIL_SQL)
-    return rendered.selectExpr("msg_id", "layout", "body", f"{HTML_SQL} AS html")
+    return rendered(spark, sf_dir).selectExpr("msg_id", "layout", "body", f"{HTML_SQL} AS html")
 
 
 def messages(spark: SparkSession, sf_dir: str, html: bool = False) -> DataFrame:

@@ -1,0 +1,17 @@
+"""Parallelism of small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread narrow source rows over all cores when the scan has fewer tasks.
+
+    A large table already scans in more tasks than there are cores and passes
+    through unchanged, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
