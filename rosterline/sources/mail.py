@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from email import policy
+from email.header import decode_header, make_header
 from email.parser import BytesParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,42 +44,69 @@ def _as_mail(files: DataFrame) -> DataFrame:
         F.col("path").alias("msg_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), "content")
 
 
-def _decode_one(content: bytes) -> tuple[dict, list]:
-    message = BytesParser(policy=policy.default).parsebytes(bytes(content))
-    headers = {key: str(message[key]) for key in HEADERS if key in message}
+_PART = pa.struct([
+    ("idx", pa.int32()), ("content_type", pa.string()), ("disposition", pa.string()), ("filename", pa.string()),
+    ("text", pa.string()), ("payload", pa.binary()),
+])
+_ROW = pa.schema([
+    ("msg_id", pa.string()), ("source_file", pa.string()), ("headers", pa.map_(pa.string(), pa.string())),
+    ("parts", pa.list_(_PART)), ("parse_error", pa.string()),
+])
+#: decoded messages per output batch; bounds the memory of a Python worker
+_BATCH_ROWS = 256
+
+
+def _text(part) -> str | None:
+    """Text of a part; None for an unknown charset or broken encoding."""
+    try:
+        return part.get_payload(decode=True).decode(part.get_param("charset", "ascii"), errors="replace")
+    except (LookupError, ValueError, AttributeError, TypeError):
+        return None
+
+
+def _decode_one(content: bytes) -> tuple[list, list]:
+    # The light policy reads the structure; only the wanted headers go through the full header parser.
+    message = BytesParser(policy=policy.compat32).parsebytes(content)
+    raw = {}
+    for name, value in message.raw_items():
+        raw.setdefault(name.lower(), value)
+    headers = [
+        (key, str(policy.default.header_fetch_parse(key, raw[key.lower()]))) for key in HEADERS if key.lower() in raw
+    ]
     parts = []
     for idx, part in enumerate(message.walk() if message.is_multipart() else [message]):
         kind, disposition, filename = part.get_content_type(), part.get_content_disposition(), part.get_filename()
-        text = payload = None
-        if kind in ("text/plain", "text/html"):
-            try:
-                text = part.get_content()
-            except (LookupError, ValueError, KeyError):  # unknown charset or encoding: skip the part's text
-                text = None
-        if disposition == "attachment" and filename:
-            payload = part.get_payload(decode=True)
-        parts.append({"idx": idx, "content_type": kind, "disposition": disposition, "filename": filename,
-                      "text": text, "payload": payload})
+        if filename and "=?" in filename:
+            filename = str(make_header(decode_header(filename)))
+        attached = disposition == "attachment" and filename
+        parts.append({
+            "idx": idx, "content_type": kind, "disposition": disposition, "filename": filename,
+            "text": _text(part) if kind in ("text/plain", "text/html") else None,
+            "payload": part.get_payload(decode=True) if attached else None,
+        })
     return headers, parts
 
 
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for msg_id, source_file, content in zip(batch["msg_id"], batch["source_file"], batch["content"]):
-            try:
-                if content is None:
-                    raise ValueError("no content")
-                headers, parts = _decode_one(content)
-                rows.append((msg_id, source_file, headers, parts, None))
-            except Exception as error:  # one bad message must not fail the batch
-                rows.append((msg_id, source_file, {}, [], str(error)))
-        yield pd.DataFrame(rows, columns=["msg_id", "source_file", "headers", "parts", "parse_error"])
+        for start in range(0, batch.num_rows, _BATCH_ROWS):
+            rows = []
+            for row in batch.slice(start, _BATCH_ROWS).to_pylist():
+                try:
+                    if row["content"] is None:
+                        raise ValueError("no content")
+                    headers, parts = _decode_one(row["content"])
+                    error = None
+                except Exception as failure:  # one bad message must not fail the batch
+                    headers, parts, error = [], [], str(failure)
+                rows.append({"msg_id": row["msg_id"], "source_file": row["source_file"], "headers": headers,
+                             "parts": parts, "parse_error": error})
+            yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
 
 def decode(mail: DataFrame) -> DataFrame:
     """Bytes to headers and parts; a message that fails keeps a row with ``parse_error``."""
-    return mail.selectExpr("cast(msg_id as string) AS msg_id", "source_file", "content").mapInPandas(
+    return mail.selectExpr("cast(msg_id as string) AS msg_id", "source_file", "content").mapInArrow(
         _decode_batches, MESSAGE_SCHEMA)
 
 
