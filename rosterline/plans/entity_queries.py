@@ -226,8 +226,8 @@ def synonyms_cte(src: str, key: str, text: str, out: str) -> str:
     around = f"concat(right({head}, 20), substr(lower(t), length({head}) + length(s.syn) + 1, 20))"
     return f"""
     {out}_d AS (SELECT * FROM (VALUES {values}) AS v(ord, syn, canonical)),
-    {out}_h AS (SELECT x.{key}, s.ord, s.syn, s.canonical FROM (SELECT {key}, {text} AS t FROM {src}) x, {out}_d s
-        WHERE CASE WHEN length(s.syn) <= 2 THEN regexp_matches(t, concat('(?i)\\b\\Q', s.syn, '\\E\\b')) AND NOT regexp_matches({around}, '{en.SHORT_VETO}')
+    {out}_h AS MATERIALIZED (SELECT x.{key}, s.ord, s.syn, s.canonical FROM (SELECT {key}, {text} AS t FROM {src}) x, {out}_d s
+        WHERE CASE WHEN NOT contains(lower(t), s.syn) THEN false WHEN length(s.syn) <= 2 THEN regexp_matches(t, concat('(?i)\\b\\Q', s.syn, '\\E\\b')) AND NOT regexp_matches({around}, '{en.SHORT_VETO}')
             ELSE regexp_matches(t, concat('(?i)\\b\\Q', s.syn, '\\E\\b|\\Q', s.syn, '\\E(?:[\\s,.]|$)')) END),
     {out} AS (SELECT {key}, canonical AS value, CASE WHEN length(arg_min(syn, ord)) <= 2 THEN 0.7 ELSE 0.95 END::DOUBLE AS confidence,
         'enhanced_synonym_match' AS extractor_id, min(ord) AS ord FROM {out}_h GROUP BY 1, 2)"""
@@ -238,7 +238,7 @@ def codes_cte(src: str, key: str, text: str, out: str) -> str:
     return f"""
     {out}_d AS (SELECT * FROM (VALUES {values}) AS v(ord, code, canonical)),
     {out} AS (SELECT x.{key}, d.canonical AS value, 0.9::DOUBLE AS confidence, 'taxonomy_code_match' AS extractor_id, min(d.ord) AS ord
-        FROM {src} x, {out}_d d WHERE regexp_matches(x.{text}, concat('(?i)\\b', d.code, '\\b')) GROUP BY 1, 2)"""
+        FROM {src} x, {out}_d d WHERE CASE WHEN contains(lower(x.{text}), d.code) THEN regexp_matches(x.{text}, concat('(?i)\\b', d.code, '\\b')) ELSE false END GROUP BY 1, 2)"""
 
 
 def fuzzy_cte(src: str, key: str, text: str, out: str) -> str:
@@ -276,7 +276,7 @@ def exact_cte(src: str, key: str, text: str, out: str) -> str:
     return f"""
     {out}_d AS (SELECT * FROM (VALUES {names}) AS v(ord, name)),
     {out} AS (SELECT x.{key}, d.name AS value, 0.8::DOUBLE AS confidence, 'canonical_exact_match' AS extractor_id, d.ord
-        FROM {src} x, {out}_d d WHERE regexp_matches(x.{text}, concat('(?i)\\b\\Q', d.name, '\\E\\b')))"""
+        FROM {src} x, {out}_d d WHERE CASE WHEN contains(lower(x.{text}), lower(d.name)) THEN regexp_matches(x.{text}, concat('(?i)\\b\\Q', d.name, '\\E\\b')) ELSE false END)"""
 
 
 def specialties_cte(src: str, key: str, text: str, p: str) -> str:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, patterns, quality, records
+from ..operators import fusion, patterns, quality
 from ..session import shared_folder
 from ..sources import attachments, fixture as fx, mail as mail_source
 from ..streaming import roster_stream
@@ -365,5 +365,3 @@ def trace_json(spark, sf):
     """One JSON trace per message."""
     return quality.traces(_prepared(spark, sf)).select("msg_id", F.to_json(F.struct("*")).alias("trace"))
 
-
-__all__ = ["records"]

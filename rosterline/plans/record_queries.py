@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.frames import explode_rows
 
 from ..functions import checks
-from ..functions import text as tx
-from ..functions.sql import q
 from ..operators import fusion, records
 from ..sources import fixture as fx
 from ..vocab.business import ALLOWED_VALUES, LOB_SYNONYMS, OUTPUT_COLUMNS, SENTINEL
@@ -19,7 +17,7 @@ from ..vocab.transactions import (
     ATTRIBUTE_VALUES, ATTRIBUTE_WEIGHTS, REASON_CONTEXTS, REASON_WORDS, SUBJECT_FACTOR, TERM_ATTRIBUTE_PHRASES, TERM_REASONS,
 )
 from .entity_queries import (
-    KINDS_CTE, _kind_mails, any_sql, lob_cte, names_sql, organization_cte, specialties_cte, title_words_sql, type_cte,
+    any_sql, codes_cte, exact_cte, fuzzy_cte, lob_cte, names_sql, organization_cte, synonyms_cte, title_words_sql, type_cte,
     weighted_sql, word_dates_sql,
 )
 from .registry import MAIL_CTE, lit, query, str_list
@@ -125,7 +123,14 @@ def first_sql(rows: str, key: str, n: int = 1) -> str:
 
 
 def _first_specialty(src: str, key: str, p: str) -> str:
-    return f"{specialties_cte(src, key, 'text', p)}, {p}spf AS (SELECT {key}, arg_min(value, rank) AS value FROM {p}sp GROUP BY 1)"
+    """First specialty of a text: later sources only where earlier ones found nothing."""
+    need = f"SELECT * FROM {src} s WHERE NOT EXISTS (SELECT 1 FROM {p}sp0 x WHERE x.{key} = s.{key}) AND NOT EXISTS (SELECT 1 FROM {p}sp1 x WHERE x.{key} = s.{key})"
+    every = " UNION ALL ".join(f"SELECT {key}, value, {i} AS src, ord FROM {p}sp{i}" for i in range(4))
+    return (
+        f"{synonyms_cte(src, key, 'text', p + 'sp0')}, {codes_cte(src, key, 'text', p + 'sp1')}, {p}need AS MATERIALIZED ({need}), "
+        f"{fuzzy_cte(p + 'need', key, 'text', p + 'sp2')}, {exact_cte(p + 'need', key, 'text', p + 'sp3')}, "
+        f"{p}spf AS (SELECT {key}, arg_min(value, (src, ord)) AS value FROM ({every}) GROUP BY 1)"
+    )
 
 
 def _scalar(src: str, key: str, p: str) -> str:
@@ -504,5 +509,3 @@ def output_contract(spark, sf):
     return out.agg(F.lit(len(missing)).alias("missing_columns"), F.count("*").alias("n_rows")).withColumn(
         "ok", F.expr("missing_columns = 0 AND n_rows > 0"))
 
-
-__all__ = ["KINDS_CTE", "_kind_mails", "q", "tx"]
