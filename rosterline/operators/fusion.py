@@ -221,12 +221,13 @@ def extract(messages: DataFrame, gap: int = 2, compat: bool = False, checksum: s
 
 # --- long candidate table --------------------------------------------------
 
-def _scoped(scope: str, text: str, compat: bool, checksum: str) -> str:
+def all_scans(text: str, compat: bool, checksum: str) -> str:
+    """Candidates of every field scan of one text."""
     parts = [patterns.scan(text, f, checksum) for f in patterns.FIELDS]
     parts.append(entities.provider_names(text, compat))
     parts.append(entities.word_dates(text))
-    lob = f"transform({entities.lines_of_business(text)}, (v, i) -> {patterns.candidate('line_of_business', 'v', '0.9D', q('lob_gazetteer'), 0, 'i')})"
-    parts.append(lob)
+    lob = patterns.candidate("line_of_business", "v", "0.9D", q("lob_gazetteer"), 0, "i")
+    parts.append(f"transform({entities.lines_of_business(text)}, (v, i) -> {lob})")
     return f"concat({', '.join(parts)})"
 
 
@@ -241,17 +242,10 @@ def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum
     def tagged(array, scope, block):
         return f"transform({array}, c -> named_struct('block_id', {block}, 'scope', '{scope}', 'c', {fields}))"
 
-    found = (
-            "concat("
-            + tagged(_scoped("full", "text", compat, checksum), "full", "cast(null as int)")
-            + ", "
-            + tagged(tables.message_table_candidates("text", "html_content"), "table", "cast(null as int)")
-            + ", flatten(transform("
-            + sections.blocks("text", gap)
-            + ", (b, bi) -> "
-            + tagged(let("b.text", "bt", _scoped("block", "bt", compat, checksum)), "block", "bi")
-            + ")))"
-    )
+    full = tagged(all_scans("text", compat, checksum), "full", "cast(null as int)")
+    cells = tagged(tables.message_table_candidates("text", "html_content"), "table", "cast(null as int)")
+    in_blocks = tagged(let("b.text", "bt", all_scans("bt", compat, checksum)), "block", "bi")
+    found = f"concat({full}, {cells}, flatten(transform({sections.blocks('text', gap)}, (b, bi) -> {in_blocks})))"
     return prepared.transform(explode_rows, ["msg_id"], found, "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.frames import explode_rows
 
+from ..functions import text as tx
 from ..functions.sql import let, q
 from ..vocab.business import SENTINEL, TRACKED_FIELDS
 from . import fusion, patterns, sections, tables
@@ -113,9 +114,9 @@ def field_provenance(prepared: DataFrame, field: str, checksum: str = "standard"
                         "c.context", "c.validation_passed")
 
 
-def _message_candidates(gap: int = 2, compat: bool = False, checksum: str = "standard") -> str:
+def _message_candidates(compat: bool = False, checksum: str = "standard") -> str:
     fields = "named_struct('field', c.field, 'value', c.value, 'confidence', c.confidence, 'extractor_id', c.extractor_id, 'passed', c.validation_passed)"
-    full = fusion._scoped("full", "text", compat, checksum)
+    full = fusion.all_scans("text", compat, checksum)
     cells = tables.message_table_candidates("text", "html_content")
     return f"concat(transform({full}, c -> {fields}), transform({cells}, c -> {fields}))"
 
@@ -171,14 +172,12 @@ def traces(prepared: DataFrame, gap: int = 2) -> DataFrame:
     """One trace per message: all its candidates as an array, block count, trim flag."""
     return prepared.select(
         "msg_id", "thread_trimmed", F.expr(f"size({sections.blocks('text', gap)})").alias("blocks_detected"),
-        F.expr(_message_candidates(gap)).alias("field_traces"))
+        F.expr(_message_candidates()).alias("field_traces"))
 
 
 def file_runs(decoded_messages: DataFrame, gap: int = 2) -> DataFrame:
     """Per-message outcome of a batch: success, number of records, error."""
     prepared = decoded_messages.select("msg_id", "source_file", "text_content", "html_content", "parse_error")
-    from ..functions import text as tx
-
     normal = tx.normalize_message("coalesce(text_content, '')", "coalesce(html_content, '')")
     rows = prepared.withColumn("text", F.expr(f"{normal}.text"))
     return rows.select(
