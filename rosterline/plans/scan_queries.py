@@ -17,7 +17,7 @@ _CAND = ["value", "confidence", "extractor_id", "match_ord", "validation_passed"
 
 def _spark_scan(field, source="mail", key="msg_id", text="body"):
     def run(spark, sf):
-        df = fx.mail(spark, sf) if source == "mail" else fx.table(spark, sf, source)
+        df = fx.mail(spark, sf) if source == "mail" else fx.columns(spark, sf, source, key, text)
         return df.transform(explode_rows, [key], patterns.scan(text, field), "c").select(
             key, *[f"c.{n}" for n in _CAND])
 
@@ -142,7 +142,7 @@ _ODATE2 = "concat(year(o_orderdate), '-', month(o_orderdate), '/', day(o_orderda
 @query("normalize_dates", f"SELECT o_orderkey, {date_sql('a')} AS mdy, {date_sql('b')} AS ymd FROM "
        f"(SELECT o_orderkey, {_ODATE} AS a, {_ODATE2} AS b FROM orders)")
 def normalize_dates(spark, sf):
-    return fx.table(spark, sf, "orders").selectExpr("o_orderkey", f"{_ODATE} AS a", f"{_ODATE2} AS b").select(
+    return fx.columns(spark, sf, "orders", "o_orderkey", "o_orderdate").selectExpr("o_orderkey", f"{_ODATE} AS a", f"{_ODATE2} AS b").select(
         "o_orderkey", F.expr(checks.normalize_date("a")).alias("mdy"), F.expr(checks.normalize_date("b")).alias("ymd"))
 
 

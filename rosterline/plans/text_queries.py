@@ -52,7 +52,7 @@ def clean_whitespace(spark, sf):
 @query("clean_whitespace_documents",
        f"SELECT doc_id, md5({clean_sql('text')}) AS digest, length({clean_sql('text')})::INT AS n FROM documents")
 def clean_whitespace_documents(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.expr(tx.clean_whitespace("text")).alias("t")).select(
+    return fx.columns(spark, sf, "documents", "doc_id", "text").select("doc_id", F.expr(tx.clean_whitespace("text")).alias("t")).select(
         "doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
@@ -84,7 +84,7 @@ def html_text_sql(h: str, compat: bool = False) -> str:
 
 @query("html_to_text", f"SELECT page_id, {html_text_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", F.expr(tx.html_to_text("html")).alias("text"))
+    return fx.columns(spark, sf, "pages", "page_id", "html").select("page_id", F.expr(tx.html_to_text("html")).alias("text"))
 
 
 @query("html_table_separators", f"WITH {HTML_CTE} SELECT msg_id, {html_text_sql('html')} AS text, "
@@ -174,7 +174,7 @@ def pipe_lines(spark, sf):
 
 @query("collapse_ws", f"SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), {WS}) AS text FROM documents")
 def collapse_ws(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.expr(tx.collapse_whitespace("text")).alias("text"))
+    return fx.columns(spark, sf, "documents", "doc_id", "text").select("doc_id", F.expr(tx.collapse_whitespace("text")).alias("text"))
 
 
 @query("match_context", f"""

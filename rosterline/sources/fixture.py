@@ -109,6 +109,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def columns(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a table as input of costly expressions, spread over all cores."""
+    return spread(table(spark, sf_dir, name).select(*cols))
+
+
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``msg_id, layout, body``: one mail per customer."""
     return rendered(spark, sf_dir).select("msg_id", "layout", "body")
