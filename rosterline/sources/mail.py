@@ -6,15 +6,20 @@ Everything after it is Spark expressions over the decoded columns.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from email import policy
 from email.header import decode_header, make_header
 from email.parser import BytesParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Executors get the decoder by value; they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEADERS = ["From", "To", "Subject", "Date", "Message-ID"]
 
 MESSAGE_SCHEMA = (
