@@ -19,9 +19,9 @@ ship(__name__)
 #: tokens after which a run of whole documents is packed on its own
 SEGMENT = 1 << 18
 #: longest stretch without a place to cut
-STRETCH = 64
+STRETCH = 24
 #: cost, in padding tokens, of a cut at a document end, at a sentence end and inside a sentence, and of a sequence
-DOCUMENT, SENTENCE, INSIDE, SEQUENCE = 0.0, 4.0, 24.0, 1.0
+DOCUMENT, SENTENCE, INSIDE, SEQUENCE = 0.0, 3.0, 8.0, 1.0
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, padded_tokens long")
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, width: int = 1024, vocabulary: str | None = None) -> D
     scan task packs its documents in the order in which it reads them, without
     a shuffle, in runs of whole documents of about 262,144 tokens: a run's
     token stream is cut into sequences of at most ``width`` tokens, at document
-    ends, sentence ends or, in stretches of over 64 tokens without either, in
+    ends, sentence ends or, in stretches of over 24 tokens without either, in
     between, so that padding plus the costs of cuts is smallest.  A sequence
     of a power of two of tokens is not padded.
 

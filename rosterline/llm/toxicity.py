@@ -15,55 +15,89 @@ from .common import settle, ship
 ship(__name__)
 
 #: labelled documents that training uses at most (those of smallest hash), and word features at most
-SAMPLE, FEATURES = 20_000, 8_192
+SAMPLE, FEATURES = 10_000, 2_048
 #: a feature must tell the classes of some category apart this well (log-likelihood ratio)
 TELLING = 15.0
-FOLDS, PENALTY, STEPS = 5, 1e-3, 150
+FOLDS, PENALTY, STEPS = 5, 1e-3, 60
+#: kinds of features
+KINDS = 6
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[^\w\s]{2,}|[|~^]")
 
 
-def features(text: str | None) -> set[str]:
-    """Features of a whole text: words, their first 4, 5 and 6 letters, runs of marks, and the size class."""
+def features(text: str | None) -> list[set[str]]:
+    """Features of a whole text by kind: words, their first 4, 5 and 6 letters, runs of marks, and the size class."""
     low = (text or "").lower()
     words = LETTERS.findall(low)
     kinds = set(words)
-    out = {"=" + w for w in kinds}
-    for n in (4, 5, 6):
-        out.update([str(n) + w[:n] for w in kinds if len(w) >= n])
-    out.update(["!" + m[:3] for m in set(MARKS.findall(low))])
-    out.add(f"#{len(words).bit_length()}")
-    return out
+    return [kinds, *({w[:n] for w in kinds if len(w) >= n} for n in (4, 5, 6)), {m[:3] for m in MARKS.findall(low)}, {str(len(words).bit_length())}]
+
+
+def named(text: str | None) -> list[str]:
+    """The features as single strings, the kind's number in front."""
+    return [f"{k}{f}" for k, found in enumerate(features(text)) for f in found]
+
+
+def numbered(text: str | None, numbers: list[dict[str, int]]) -> np.ndarray:
+    """Numbers of the features that a model knows."""
+    return np.array([n[f] for found, n in zip(features(text), numbers) for f in found & n.keys()], dtype=np.int64)
 
 
 def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on sparse 0/1 rows and dense ``extra`` columns: weights, extra weights, intercept.
 
-    Accelerated gradient descent on the mean loss with a ridge penalty.  With one class only, the intercept is its smoothed share.
+    Minimises the mean loss with a ridge penalty.  With one class only, the intercept is its smoothed share.
     """
-    positives = float(y.sum())
-    base = float(np.log((positives + 1) / (len(y) - positives + 1)))
-    w, v = np.zeros(width), np.zeros(extra.shape[1])
-    if not 0 < positives < len(y):
-        return w, v, base
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows).astype(np.int64) if len(row) else np.empty(0, dtype=np.int64)
-    # step from the largest curvature a row can have
-    step = 1.0 / (0.25 * (np.bincount(row, minlength=len(y)).mean() + (extra**2).sum(1).mean() + 1) + PENALTY)
-    b, ahead, t = base, (w, v, base), 1.0
-    for _ in range(STEPS):
-        aw, av, ab = ahead
-        z = np.bincount(row, weights=aw[col], minlength=len(y)) + extra @ av + ab
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        nw = aw - step * (np.bincount(col, weights=r[row], minlength=width) + PENALTY * aw)
-        nv = av - step * (extra.T @ r + PENALTY * av)
-        nb = ab - step * r.sum()
-        nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        m = (t - 1) / nt
-        ahead = (nw + m * (nw - w), nv + m * (nv - v), nb + m * (nb - b))
-        w, v, b, t = nw, nv, nb, nt
-    return w, v, float(b)
+    n, positives, more = len(y), float(y.sum()), extra.shape[1]
+    base = float(np.log((positives + 1) / (n - positives + 1)))
+    start = np.concatenate([np.zeros(width + more), [base]])
+    if not 0 < positives < n:
+        return start[:width], start[width:-1], base
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    col = np.concatenate(rows) if len(row) else np.empty(0, dtype=np.int64)
+
+    def loss(x):
+        z = np.bincount(row, weights=x[col], minlength=n) + extra @ x[width:-1] + x[-1]
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        gradient = np.concatenate([np.bincount(col, weights=r[row], minlength=width), extra.T @ r, [r.sum()]])
+        gradient[:-1] += PENALTY * x[:-1]
+        return np.logaddexp(0, z).mean() - (y @ z) / n + PENALTY / 2 * (x[:-1] @ x[:-1]), gradient
+
+    x = minimise(loss, start)
+    return x[:width], x[width:-1], float(x[-1])
+
+
+def minimise(loss, x: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton descent with step halving."""
+    value, g = loss(x)
+    past: list[tuple] = []
+    for _ in range(steps):
+        d, alphas = g.copy(), []
+        for s, t in reversed(past):
+            alphas.append((s @ d) / (s @ t))
+            d -= alphas[-1] * t
+        if past:
+            s, t = past[-1]
+            d *= (s @ t) / (t @ t)
+        for (s, t), alpha in zip(past, reversed(alphas)):
+            d += (alpha - (t @ d) / (s @ t)) * s
+        step = 1.0
+        while step > 1e-8:
+            moved = x - step * d
+            after, h = loss(moved)
+            if after <= value - 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            return x
+        if (moved - x) @ (h - g) > 1e-12:
+            past = [*past[1 - memory:], (moved - x, h - g)]
+        done = value - after < 1e-7 * abs(value)
+        x, value, g = moved, after, h
+        if done:
+            break
+    return x
 
 
 def logits(rows: list[np.ndarray], extra: np.ndarray, model) -> np.ndarray:
@@ -107,13 +141,12 @@ def threshold_of(logit: np.ndarray, y: np.ndarray) -> float:
 class Chain:
     """Trained chain: categories, feature numbers, models, thresholds."""
 
-    def __init__(self, categories: list[str], numbers: dict[str, int], models: list, thresholds: list[float]):
+    def __init__(self, categories: list[str], numbers: list[dict[str, int]], models: list, thresholds: list[float]):
         self.categories, self.numbers, self.models, self.thresholds = categories, numbers, models, thresholds
 
     def scores(self, texts) -> pd.DataFrame:
         """Probability of each category, in the order of the chain."""
-        number = self.numbers.keys()
-        rows = [np.array([self.numbers[f] for f in features(t) & number], dtype=np.int64) for t in texts]
+        rows = [numbered(t, self.numbers) for t in texts]
         held = np.zeros((len(rows), 0))
         out = {}
         for name, model in zip(self.categories, self.models):
@@ -138,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
 
     Uses at most ``sample`` labelled documents, those whose id hashes lowest.
     Words are counted on the executors; the driver gets the features that tell
-    some category apart (8,192 at most) and, per document of the sample, the
+    some category apart (2,048 at most) and, per document of the sample, the
     numbers of those it has.  Rows with a null label or id are left out,
     several labels of one document count with their largest.  Without labels
     nothing is toxic.
@@ -155,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
         total, hits = Counter(), [Counter() for _ in names]
         for b in batches:
             for row in b.itertuples(index=False):
-                found = features(row.text)
+                found = named(row.text)
                 total.update(found)
                 for c, h in zip(names, hits):
                     if getattr(row, c):
@@ -171,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     totals = train_docs.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).first()
     n = totals["n"]
     if not n:
-        return Chain(names, {}, [(np.zeros(0), np.zeros(k), -30.0) for k in range(len(names))], [0.5] * len(names))
+        return Chain(names, [{}] * KINDS, [(np.zeros(0), np.zeros(k), -30.0) for k in range(len(names))], [0.5] * len(names))
 
     def telling(c: str) -> Column:
         """Log-likelihood ratio of the 2 x 2 table of feature and category."""
@@ -181,20 +214,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
 
     best = counted.withColumn("g", F.greatest(F.lit(0.0), *[telling(c) for c in names])).filter(F.col("g") > TELLING)
     chosen = [r["feature"] for r in best.orderBy(F.col("g").desc(), "feature").limit(FEATURES).collect()]
-    numbers = {f: i for i, f in enumerate(sorted(chosen))}
+    numbers: list[dict[str, int]] = [{} for _ in range(KINDS)]
+    for i, f in enumerate(sorted(chosen)):
+        numbers[int(f[0])][f[1:]] = i
 
     def sparse(batches):
-        keys = numbers.keys()
         for b in batches:
             out = b[["doc_id", *names]].copy()
-            out["f"] = [sorted(numbers[f] for f in features(t) & keys) for t in b["text"]]
+            out["f"] = [sorted(numbered(t, numbers)) for t in b["text"]]
             yield out
 
     data = train_docs.mapInPandas(sparse, "doc_id long, " + ", ".join(f"{c} int" for c in names) + ", f array<int>").toPandas().sort_values("doc_id")
     rows = [np.asarray(f, dtype=np.int64) for f in data["f"]]
     y = data[names].to_numpy().astype(bool)
     fold = np.array([hash((int(i) * 2654435761) & 0xFFFFFFFF) >> 7 for i in data["doc_id"]]) % FOLDS
-    models, held = train_chain(rows, y, fold, len(numbers))
+    models, held = train_chain(rows, y, fold, len(chosen))
     return Chain(names, numbers, models, [threshold_of(held[:, k], y[:, k]) for k in range(len(names))])
 
 
