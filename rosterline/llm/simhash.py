@@ -193,10 +193,10 @@ def jaccard_at_least(edges: DataFrame, docs: DataFrame, id_col: str, text_col: s
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     texts = settle(
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(nodes, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+        .join(nodes.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     pairs = (
-        edges.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        edges.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     )
 
     def check(batches):
@@ -246,4 +246,4 @@ def deduplicated(docs: DataFrame, radius: int = 10, keys: int = 32, similarity:
     """
     near = near_duplicates(docs.filter("doc_id is not null"), words=3, radius=radius, keys=keys, similarity=similarity, check_words=words)
     gone = settle(near.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
