@@ -48,59 +48,83 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return s.select("source", "source_size", F.least(F.col("weight") * F.lit(level), cap).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 5,
-        size: Column | None = None, preference: Column | None = None, fills: int = 4) -> DataFrame:
-    """One row per document row: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+def _key(seed: int, pref: Column) -> Column:
+    """Rank key of Pareto sampling, from the fractional part ``p`` of a source's ratio.
+
+    With u from 52 bits of a hash, strictly between 0 and 1, q is
+    (u / (1 - u)) / (p / (1 - p) * pref); the key q / (1 + q) grows with q and
+    lies between 0 and 1, and 1 stands for documents that cannot be drawn.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 12) + 0.5) / F.lit(float(1 << 52))
+    odds = F.col("p") / (1 - F.col("p")) * pref
+    q = u / (1 - u) / odds
+    return F.when(odds > 0, q / (1 + q)).otherwise(1.0)
+
+
+def cuts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 5,
+         size: Column | None = None, preference: Column | None = None, fills: int = 4) -> DataFrame:
+    """What the mix takes of each source: ``source``, ``source_size``, ``target``, ``whole``, ``p``, ``cut``, ``cut_id``, ``filled``.
 
     A source of size S and target T takes every document r = T/S times on
     average: floor(r) whole copies for certain, and one more for a sample of
     the words that remain.  The sample is Pareto order sampling: with u
     uniform on (0, 1) from a hash of the document and inclusion probability p,
     documents are ranked by (u / (1 - u)) / (p / (1 - p)) and taken in that
-    order up to the words that remain.  p is the fractional part of r, scaled
-    by ``preference`` where given (relative odds of a document's inclusion).
-    The gap that the last whole document leaves is filled, largest document
-    first, by at most ``fills`` documents per source out of order.
+    order up to the words that remain.  p is the fractional part of r;
+    ``preference`` multiplies its odds per document.  The gap that the last
+    whole document leaves is filled, largest document first, by at most
+    ``fills`` documents per source out of order.
 
     The cut is found without sorting a source in one task: words are summed in
-    4,096 cells of the rank key per source, and only the cell that holds the
-    cut is ordered, again in cells of its own.
+    4,096 cells of the rank key per source, three times finer each time, and
+    only the documents of the cell that holds the cut are ordered.
+    """
+    rows = docs.select("doc_id", "source", (word_count() if size is None else size).alias("size"),
+                       (F.lit(1.0) if preference is None else preference).cast("double").alias("pref"))
+    units = settle(rows.groupBy("source", "doc_id", "pref").agg(F.sum("size").alias("words")), "mix-units")
+    goal = targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = settle(goal.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)), "mix-targets")
+    ranked = settle(
+        units.join(goal.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
+        .select("source", "doc_id", "words", _key(seed, F.col("pref")).alias("key"),
+                (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")), "mix-ranks")
+    found = _cut(ranked, fills).drop("gap")
+    return settle(
+        goal.alias("g").join(found.withColumnRenamed("source", "source_"), F.col("g.source").eqNullSafe(F.col("source_")), "left").drop("source_"),
+        "mix-cuts")
+
+
+def taken(docs: DataFrame, plan: DataFrame, seed: int = 5, preference: Column | None = None) -> DataFrame:
+    """The rows with ``copies`` and their source's ``source_size`` and ``target``.
+
+    Whether a row is drawn follows from its own hash and its source's row of
+    ``plan``, so texts are not shuffled unless the plan is too large to be
+    broadcast (the planner knows its size).
+    """
+    pref = (F.lit(1.0) if preference is None else preference).cast("double")
+    key = _key(seed, pref)
+    drawn = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("doc_id") <= F.col("cut_id"))) | F.array_contains("filled", F.col("doc_id"))
+    joined = docs.join(plan.withColumnRenamed("source", "_source"), docs["source"].eqNullSafe(F.col("_source")))
+    return joined.withColumn("copies", (F.col("whole") + F.coalesce(drawn.cast("long"), F.lit(0))).cast("long")).drop(
+        "_source", "whole", "p", "cut", "cut_id", "filled")
+
+
+def mix(docs: DataFrame, seed: int = 5, size: Column | None = None, preference: Column | None = None, **options) -> DataFrame:
+    """One row per document row: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``; see ``cuts``.
 
     Rows with equal source and doc_id are taken together.  Null source is a
     source, null text has size 0, documents of size 0 follow the same ranks
-    (taken 0).  A source whose size is 0 takes nothing.  An empty table gives
-    an empty result.  Reruns agree whatever the partitioning.
+    (taken 0).  A source whose size is 0 takes nothing.  Rows without a doc_id
+    are drawn like others but do not fill gaps.  An empty table gives an empty
+    result.  Reruns agree whatever the partitioning.
     """
-    rows = settle(
+    narrow = settle(
         docs.select("doc_id", "source", (word_count() if size is None else size).alias("size"),
                     (F.lit(1.0) if preference is None else preference).cast("double").alias("pref")), "mix-sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = settle(targets(sums, weights, share, limit), "mix-targets")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = rows.groupBy("source", "doc_id").agg(F.sum("size").alias("words"), F.max("pref").alias("pref"))
-    g = goal.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumnRenamed("source", "source_")
-    # 52 hash bits, strictly between 0 and 1
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 12) + 0.5) / F.lit(float(1 << 52))
-    odds = F.col("p") / (1 - F.col("p")) * F.col("pref")
-    ranked = settle(
-        units.join(g, F.col("source").eqNullSafe(F.col("source_")))
-        .withColumn("u", u).withColumn("q", F.when(odds > 0, F.col("u") / (1 - F.col("u")) / odds).otherwise(F.lit(float("inf"))))
-        # monotone in q and within (0, 1): the cells of the search
-        .withColumn("key", F.when(F.col("q") == float("inf"), 1.0).otherwise(F.col("q") / (1 + F.col("q"))))
-        .select("source", "doc_id", "words", "source_size", "target", "whole", "key",
-                (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")), "mix-ranks")
-    chosen = _cut(ranked, fills)
-    r = rows.alias("r")
-    k = ranked.withColumn("extra", F.lit(0)).alias("k")
-    joined = (
-        r.join(k, same(r, k) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
-        .join(chosen.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
-    )
-    extra = (F.col("k.key") < F.col("c.cut")) | ((F.col("k.key") == F.col("c.cut")) & (F.col("k.doc_id") <= F.col("c.cut_id"))) | F.array_contains(F.col("c.filled"), F.col("k.doc_id"))
-    copies = F.col("k.whole") + F.coalesce(extra.cast("long"), F.lit(0))
-    return joined.select(F.col("r.doc_id"), F.col("r.source"), F.col("r.size"), F.col("k.source_size"), F.col("k.target"),
-                         copies.cast("long").alias("copies"), (copies * F.col("r.size")).cast("long").alias("taken"))
+    plan = cuts(narrow, seed=seed, size=F.col("size"), preference=F.col("pref"), **options)
+    return taken(narrow, plan, seed, F.col("pref")).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def _prefix(cells: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -156,13 +180,10 @@ def _cut(ranked: DataFrame, fills: int) -> DataFrame:
     return cut
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 5, **options) -> DataFrame:
     """The documents, each as often as the mix takes it; columns as they came.  Copies repeat the row."""
-    taken = settle(
-        mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").cast("int").alias("copies")), "mix-copies").alias("t")
-    d = docs.alias("d")
-    return (
-        d.join(taken, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.*", F.explode(F.expr("if(copies > 0, sequence(1, copies), cast(array() as array<int>))")).alias("_copy"))
-        .drop("_copy")
-    )
+    plan = cuts(docs, seed=seed, **options)
+    columns = docs.columns
+    rows = taken(docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "doc_id", "source"), plan, seed)
+    repeated = rows.select("_row", F.explode(F.expr("if(copies > 0, sequence(1, copies), cast(array() as array<bigint>))")).alias("_copy"))
+    return repeated.select("_row.*")
