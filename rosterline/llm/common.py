@@ -25,6 +25,8 @@ def ship(module: str) -> None:
 
 ship(__name__)
 
+#: shared folder of a session in one JVM that has no setting
+_FOLDER: dict[str, str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,12 +37,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     Only where the setting is absent and everything runs in one JVM (tests) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _FOLDER.get("base")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _FOLDER["base"] = tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
