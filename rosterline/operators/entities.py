@@ -79,7 +79,9 @@ def names_near_title(text: str, compat: bool = False) -> str:
 CAPITAL_RUN = r"(?:[A-Z][A-Za-z'.-]*|&)(?:[ \t]+(?:[A-Z][A-Za-z'.-]*|&))*+"
 ALIAS = "|".join(ORGANIZATION_ALIASES)
 ORG_LABEL = r"(?im)^[ \t-]*(?:Organization Name|Organization|Group Name|Group)[ \t]*:[ \t]*([^\n|;]+)"
-HEALTHCARE_TERMS = "medical clinic hospital practice physicians health healthcare group associates center".split()
+HEALTHCARE_TERMS = [
+    "medical", "clinic", "hospital", "practice", "physicians", "health", "healthcare", "group", "associates", "center",
+]
 NOT_HEALTHCARE = ["microsoft", "google", "email", "outlook", "exchange", "best regards", "thank you", "sincerely"]
 PLAN_TERMS = [
     "insurance", "health plan", "hmo", "ppo", "epo", "pos", "medicare", "medicaid", "coverage",
@@ -293,7 +295,7 @@ def specialty_phrases(text: str) -> str:
 def specialty_fuzzy(text: str, specialties=None) -> str:
     """Phrases close to a canonical name: ratio of 80, else partial ratio of 85."""
     names = list(specialties or sp.SPECIALTIES)
-    table = similarity.pattern_rows([(n, n.lower()) for n in names])
+    table = similarity.pattern_rows([(n, n.lower()) for n in names], FUZZY_PARTIAL)
     best = (
         f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO)}, "
         f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL, max(map(len, names)))})"
