@@ -165,10 +165,10 @@ def pipe_sql(t: str) -> str:
 
 
 @query("pipe_lines", f"WITH {MAIL_CTE} SELECT msg_id AS id, {pipe_sql('body')} AS text FROM mail "
-       f"UNION ALL SELECT doc_id AS id, {pipe_sql('text')} AS text FROM documents WHERE contains(text, '|')")
+       f"UNION ALL SELECT doc_id AS id, {pipe_sql('text')} AS text FROM documents")
 def pipe_lines(spark, sf):
     mails = fx.mail(spark, sf).select(F.col("msg_id").alias("id"), F.expr(tx.pipe_lines("body")).alias("text"))
-    docs = fx.table(spark, sf, "documents").filter(F.col("text").contains("|"))
+    docs = fx.table(spark, sf, "documents")
     return mails.unionByName(docs.select(F.col("doc_id").alias("id"), F.expr(tx.pipe_lines("text")).alias("text")))
 
 

@@ -18,18 +18,23 @@ def read_template(spark: SparkSession, path: str) -> list[str] | None:
 
 def write_roster(records: DataFrame, path: str, template: list[str] | None = None, fmt: str = "csv") -> None:
     """Records under their published headings; one output file per partition."""
-    out = to_output(records, template)
-    writer = out.write.mode("overwrite")
+    writer = to_output(records, template).write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, escape='"').csv(path)
     else:
-        # Parquet field names may not hold commas or brackets in every reader; keep snake case there
-        records.write.mode("overwrite").parquet(path)
+        writer.parquet(path)
 
 
-def validate_output(spark: SparkSession, path: str, expected: list[str] | None = None) -> bool:
+def read_roster(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A written roster; values may hold quotes and line breaks."""
+    if fmt == "csv":
+        return spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    return spark.read.parquet(path)
+
+
+def validate_output(spark: SparkSession, path: str, expected: list[str] | None = None, fmt: str = "csv") -> bool:
     """All expected columns there and at least one row."""
-    out = spark.read.option("header", True).csv(path)
+    out = read_roster(spark, path, fmt)
     missing = set(expected or column_names()) - set(out.columns)
     return not missing and not out.isEmpty()
 

@@ -103,3 +103,29 @@ def test_records_do_not_shuffle(spark, sf):
     for operator in ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange RoundRobin", "Exchange SinglePartition",
                      "BroadcastExchange", "EvalPython", "MapInArrow"):
         assert operator not in plan
+
+
+def test_roster_sink_template_and_line_breaks(spark, sf, tmp_path):
+    from rosterline.operators.records import column_names
+    from rosterline.plans import catalog
+    from pyspark.sql import functions as F
+
+    records = catalog.QUERIES["final_roster"](spark, sf).limit(5).withColumn("provider_name", F.lit('A "quoted"\nname, MD'))
+    template = column_names()[:2]
+    for fmt in ("csv", "parquet"):
+        path = str(tmp_path / fmt)
+        sinks.write_roster(records, path, template, fmt)
+        assert sinks.read_roster(spark, path, fmt).columns == template
+        assert not sinks.validate_output(spark, path, fmt=fmt)
+        sinks.write_roster(records, path, fmt=fmt)
+        back = sinks.read_roster(spark, path, fmt)
+        assert back.count() == 5 and {r["Provider Name"] for r in back.collect()} == {'A "quoted"\nname, MD'}
+        assert sinks.validate_output(spark, path, fmt=fmt)
+
+
+def test_stream_query_reads_a_folder_of_files(spark, sf, tmp_path):
+    from rosterline.plans import catalog
+
+    table = spark.read.parquet(f"{sf}/customer.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / "customer.parquet"))
+    assert catalog.QUERIES["mail_stream"](spark, str(tmp_path)).count() == catalog.QUERIES["mail_stream"](spark, sf).count() > 0
