@@ -132,10 +132,13 @@ def best_partial_ratio(text: str, patterns: str, threshold: float, longest: int
 
     Sound pre-filters keep the exact windows few: letters of the phrase that
     the text lacks, whole pieces, and the built-in edit distance.
-    ``longest`` is the length of the longest phrase.
+    ``longest`` is the length of the longest phrase; ``patterns`` must come
+    from :func:`pattern_rows` with this threshold or a lower one as ``partial``.
     """
     stride = max(_CHUNK, longest)
-    near = f"filter({patterns}, p -> size(cs) < p.len OR length(translate(p.text, h, '')) <= 0.27D * p.len)"
+    # a window at the threshold shares t / (2 - t) of the phrase's letters or more
+    lacking = 1 - threshold / (200 - threshold)
+    near = f"filter({patterns}, p -> size(cs) < p.len OR length(translate(p.text, h, '')) <= {lacking!r}D * p.len + 1e-9D)"
     inner = (
         f"if(levenshtein(h, p.text) <= {_edit_bound('size(cs)', 'p', threshold)}, {_pattern_windows('cs', 'p')}, 0D)"
     )

@@ -59,7 +59,7 @@ def field_analysis(success: DataFrame) -> DataFrame:
     return rated.select(
         "field", "success", "total", "rate", (F.col("rate") < PROBLEM_RATE).alias("problem"),
         ((rank <= TOP_N) & (F.col("rate") > TOP_RATE)).alias("top"),
-        (F.sum("success").over(Window.partitionBy()) / F.sum("total").over(Window.partitionBy())).alias("overall_rate"))
+        F.avg("rate").over(Window.partitionBy()).alias("overall_rate"))
 
 
 def extractor_analysis(candidates: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -131,3 +132,33 @@ def test_csv_records(spark):
 def test_attachment_headers(spark):
     cases = {"NPI #": "npi", "Provider  Name": "provider_name", "Group NPI": "npi", "Line Of Business": "lob", "Other": None}
     assert run(spark, list(cases), attachments.map_attachment_header("x")) == list(cases.values())
+
+
+def test_partial_similarity_at_a_lower_threshold(spark):
+    """The pre-filters follow the threshold: plain windows give the same best phrase."""
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def partial(text, phrase):
+        short, long = sorted([text, phrase], key=len)
+        n = len(short)
+        windows = {long[max(0, o):max(0, o) + n - max(0, -o)] if o < 0 else long[o:o + n] for o in range(1 - n, len(long))}
+        return max(200 * lcs(short, w) / (len(short) + len(w)) for w in windows if w)
+
+    rng = random.Random(3)
+    phrases = ["cardiology", "family medicine", "urology"]
+    texts = ["".join(rng.choice("cardiolgyfmenu ") for _ in range(rng.randint(8, 40))) for _ in range(40)]
+    texts += ["a crdiolgy clinic", "famly mediine", "the urolgy dept"]
+    table = similarity.pattern_rows([(p, p) for p in phrases], 70.0)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{similarity.best_partial_ratio('t', table, 70.0, 15)} AS b")
+    for r in df.collect():
+        want = max((partial(r["t"], p) for p in phrases if len(p) <= len(r["t"])), default=0)
+        got = r["b"]["score"] if r["b"] else 0
+        if all(len(p) <= len(r["t"]) for p in phrases):
+            assert got == (pytest.approx(want) if want >= 70 else 0), r
