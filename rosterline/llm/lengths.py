@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, ship
+from .common import encoder, settle, ship
 
 ship(__name__)
 
@@ -81,4 +81,4 @@ def at_limit(sums: DataFrame, limit: int) -> DataFrame:
 
 def length_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Histogram and sums of a document table; an empty table gives an empty result.  Repeated rows count, other columns do not matter."""
-    return suffix_sums(histogram(token_lengths(docs, vocabulary)))
+    return suffix_sums(settle(histogram(token_lengths(docs, vocabulary)), "lengths"))
