@@ -7,7 +7,7 @@ that has a value.  No step shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import explode_rows
@@ -231,12 +231,8 @@ def all_scans(text: str, compat: bool, checksum: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard") -> DataFrame:
-    """Provenance table: every candidate of the message, block and table scopes.
-
-    Columns: msg_id, block_id (NULL for message and table scope), scope, field,
-    value, confidence, extractor_id, pattern_ord, match_ord, validation_passed.
-    """
+def candidate_array(gap: int, compat: bool, checksum: str) -> str:
+    """Candidates of the message, block and table scopes as ``(block_id, scope, c)``."""
     fields = "struct(c.field, c.value, c.confidence, c.extractor_id, c.pattern_ord, c.match_ord, c.validation_passed)"
 
     def tagged(array, scope, block):
@@ -245,31 +241,32 @@ def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum
     full = tagged(all_scans("text", compat, checksum), "full", "cast(null as int)")
     cells = tagged(tables.message_table_candidates("text", "html_content"), "table", "cast(null as int)")
     in_blocks = tagged(let("b.text", "bt", all_scans("bt", compat, checksum)), "block", "bi")
-    found = f"concat({full}, {cells}, flatten(transform({sections.blocks('text', gap)}, (b, bi) -> {in_blocks})))"
-    return prepared.transform(explode_rows, ["msg_id"], found, "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
+    return f"concat({full}, {cells}, flatten(transform({sections.blocks('text', gap)}, (b, bi) -> {in_blocks})))"
 
 
-def extractor_priority(extractor_id: Column) -> Column:
-    """Declared priority of an extractor family, 0 when undeclared."""
-    out = F.lit(0)
-    for prefix, priority in reversed(EXTRACTOR_PRIORITY.items()):
-        out = F.when(extractor_id.startswith(prefix), F.lit(priority)).otherwise(out)
-    return out
+def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard") -> DataFrame:
+    """Provenance table: every candidate of the message, block and table scopes.
+
+    Columns: msg_id, block_id (NULL for message and table scope), scope, field,
+    value, confidence, extractor_id, pattern_ord, match_ord, validation_passed.
+    """
+    found = candidate_array(gap, compat, checksum)
+    return prepared.transform(explode_rows, ["msg_id"], found, "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
 
 
-def rank_by_priority(cands: DataFrame) -> DataFrame:
-    """Best candidate per message and field: priority, confidence, then scan order.
+def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard") -> DataFrame:
+    """Best candidate per message and field: declared priority of its extractor family (0 when undeclared), confidence, then scan order.
 
-    ``max_by`` aggregates before the shuffle, so a field with very many
-    candidates reaches its reducer as one row per map task.
+    The best is picked inside the message row, without a shuffle.
     """
-    scope_ord = F.expr("CASE scope WHEN 'table' THEN 0 WHEN 'full' THEN 1 ELSE 2 END")
-    key = F.struct(
-        extractor_priority(F.col("extractor_id")).alias("p"), F.col("confidence"),
-        (-scope_ord).alias("s"), (-F.coalesce(F.col("block_id"), F.lit(-1))).alias("b"),
-        (-F.col("pattern_ord")).alias("po"), (-F.col("match_ord")).alias("mo"),
-        F.col("extractor_id"), F.col("value"),
+    priority = " ".join(f"WHEN startswith(e.c.extractor_id, {q(prefix)}) THEN {n}" for prefix, n in EXTRACTOR_PRIORITY.items())
+    key = (
+        f"named_struct('priority', CASE {priority} ELSE 0 END, 'confidence', e.c.confidence, "
+        "'scope', CASE e.scope WHEN 'table' THEN 0 WHEN 'full' THEN -1 ELSE -2 END, 'block', -coalesce(e.block_id, -1), "
+        "'pattern', -e.c.pattern_ord, 'match', -e.c.match_ord, 'extractor_id', e.c.extractor_id, 'value', e.c.value)"
     )
-    best = cands.groupBy("msg_id", "field").agg(F.max(key).alias("k"))
-    return best.select("msg_id", "field", F.col("k.value").alias("value"), F.col("k.p").alias("priority"),
-                       F.col("k.confidence").alias("confidence"), F.col("k.extractor_id").alias("extractor_id"))
+    keyed = f"transform(es, e -> named_struct('field', e.c.field, 'k', {key}))"
+    best = "transform(array_distinct(ks.field), f -> named_struct('field', f, 'k', array_max(filter(ks, x -> x.field = f).k)))"
+    found = let(candidate_array(gap, compat, checksum), "es", let(keyed, "ks", best))
+    return prepared.transform(explode_rows, ["msg_id"], found, "r").select(
+        "msg_id", "r.field", "r.k.value", "r.k.priority", "r.k.confidence", "r.k.extractor_id")

@@ -117,7 +117,7 @@ _PRIORITY = "CASE " + " ".join(f"WHEN starts_with(extractor_id, '{p}') THEN {n}"
         CASE scope WHEN 'table' THEN 0 WHEN 'full' THEN 1 ELSE 2 END, coalesce(block_id, -1), pattern_ord, match_ord, extractor_id DESC, value DESC) AS rn FROM cand)
     SELECT msg_id, field, value, p::INT AS priority, confidence, extractor_id FROM k WHERE rn = 1""")
 def priority_ranking(spark, sf):
-    return fusion.rank_by_priority(_candidates(spark, sf))
+    return fusion.ranked_candidates(_prepared(spark, sf))
 
 
 @query("extractor_analysis", f"""

@@ -129,3 +129,10 @@ def test_stream_query_reads_a_folder_of_files(spark, sf, tmp_path):
     table = spark.read.parquet(f"{sf}/customer.parquet")
     table.repartition(3).write.parquet(str(tmp_path / "customer.parquet"))
     assert catalog.QUERIES["mail_stream"](spark, str(tmp_path)).count() == catalog.QUERIES["mail_stream"](spark, sf).count() > 0
+
+
+def test_ranking_does_not_shuffle(spark):
+    messages = spark.createDataFrame([("1", "Provider NPI: 1234567893\nTIN: 12-3456789", None)], "msg_id string, text_content string, html_content string")
+    ranked = fusion.ranked_candidates(fusion.prepare(messages))
+    assert "Exchange hashpartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert {r["field"] for r in ranked.collect()} >= {"npi", "tin"}
