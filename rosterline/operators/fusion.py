@@ -1,8 +1,8 @@
 """Candidates to one record per provider block.
 
-Message-wide values are computed once per message, block values once per
-block, and both meet in ``coalesce`` chains, which stop at the first source
-that has a value.  No step shuffles.
+Each scan runs once over the message text and its block texts, and both meet in
+``coalesce`` chains inside the message row.  Records are exploded last.  No
+step shuffles.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..functions.frames import explode_rows
 from ..functions import text as tx
 from ..functions.sql import any_of, constant, let, q, strip
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, SENTINEL
+from ..vocab.headers import BLOCK_FIELDS
 from ..vocab.transactions import (
     ADD_ATTRIBUTE_PHRASES, ATTRIBUTE_LABELS, ATTRIBUTE_OF_PHRASE, ATTRIBUTE_SUBJECTS, ATTRIBUTE_TIE_WORDS,
     ATTRIBUTE_VALUES, ATTRIBUTE_WEIGHTS, REASON_CONTEXTS, REASON_WORDS, SUBJECT_FACTOR, TERM_ATTRIBUTE_PHRASES,
@@ -134,76 +135,93 @@ def _best_date(text: str) -> str:
     )
 
 
+def _scans(scan_text: str, compat: bool, checksum: str, specialties) -> str:
+    """Struct of the values of every field scan of one text, written once for the message and its blocks."""
+    values = {
+        "name": f"get({entities.provider_names(scan_text, compat)}, 0).value",
+        "npi": _values("npi", checksum, scan_text),
+        **{f: f"get({_values(f, checksum, scan_text)}, 0)" for f in ("tin", "ppg", "phone", "fax", "license")},
+        "word_date": f"get({entities.word_dates(scan_text)}, 0).value",
+        "specialty": entities.first_specialty(scan_text, specialties),
+        "org": f"{entities.organization(scan_text)}.value",
+        "lob": f"nullif(array_join({entities.lines_of_business(scan_text)}, ', '), '')",
+        "reason": f"if(is_term, {term_reason(scan_text)}, cast(null as string))",
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
+
+
 def message_values(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard",
                    specialties=None) -> DataFrame:
-    """One row per message with its blocks, table candidates and message-wide values."""
-    return prepared.select(
-        "msg_id", "text", "text_content",
-        F.expr(sections.blocks_or_default("text", gap)).alias("blocks"),
-        F.expr(tables.message_table_candidates("text", "html_content")).alias("cells"),
+    """One row per message with its blocks, table cells, message-wide values, and ``scans``.
+
+    ``scans`` holds the scanned values of the message text, then those of each
+    block; it has one entry if the whole text is the only block.
+    """
+    found = prepared.select("msg_id", "text", "text_content", "html_content", F.expr(sections.blocks_or_default("text", gap)).alias("blocks"))
+    typed = found.select(
+        "msg_id", "text", "text_content", "html_content", "blocks",
+        F.expr("if(size(blocks) = 1 AND get(blocks, 0).text = text, cast(array() as array<string>), transform(blocks, b -> b.text))").alias("block_texts"),
         F.expr(f"{entities.transaction_type('text')}.value").alias("m_type"),
-        F.expr(f"get({entities.provider_names('text', compat)}, 0).value").alias("m_name"),
-        F.expr(_values("npi", checksum)).alias("m_npi"),
-        F.expr(f"get({_values('tin', checksum)}, 0)").alias("m_tin"),
-        F.expr(f"get({_values('ppg', checksum)}, 0)").alias("m_ppg"),
-        F.expr(f"get({_values('phone', checksum)}, 0)").alias("m_phone"),
-        F.expr(f"get({_values('fax', checksum)}, 0)").alias("m_fax"),
-        F.expr(f"get({_values('license', checksum)}, 0)").alias("m_license"),
+    )
+    scans = let(
+        "coalesce(m_type, '') = 'Term'", "is_term",
+        f"transform(concat(array(text), block_texts), scan_text -> {_scans('scan_text', compat, checksum, specialties)})",
+    )
+    return typed.select(
+        "msg_id", "blocks", "m_type",
+        F.expr(scans).alias("scans"),
+        F.expr(tables.cells_of_message("text", "html_content")).alias("cells"),
         F.expr(_best_date("text")).alias("m_date"),
-        F.expr(entities.first_specialty("text", specialties)).alias("m_specialty"),
-        F.expr(f"{entities.organization('text')}.value").alias("m_org"),
-        F.expr(f"nullif(array_join({entities.lines_of_business('text')}, ', '), '')").alias("m_lob"),
-        F.expr(term_reason("text")).alias("m_reason"),
+        F.expr(transaction_attribute("coalesce(m_type, '')", "concat(coalesce(text_content, ''), '\\n', text)")).alias("m_attribute"),
     )
 
 
-def resolve(values: DataFrame, compat: bool = False, checksum: str = "standard", specialties=None) -> DataFrame:
-    """One record per block by source precedence; missing values are NULL."""
-    per_block = values.transform(explode_rows, ["*"], F.col("blocks"), "block_id", "block").select(
-        *[c for c in values.columns if c not in ("blocks", "cells")],
-        "block_id",
-        F.col("block.text").alias("block_text"),
-        F.expr(tables.in_block("cells", "block.text")).alias("cells"),
-    )
+def resolve(values: DataFrame, compat: bool = False) -> DataFrame:
+    """One record per block by source precedence; missing values are NULL.
 
+    Records are built inside the message row and only they are exploded: no
+    text, cell or message-wide value is copied to the blocks.
+    """
     def cell(field, n=0):
-        return f"get(filter(cells, c -> c.field = '{field}'), {n}).value"
+        source = "own" if field in BLOCK_FIELDS else "msg.wide"
+        return f"get(filter({source}, c -> c.field = '{field}'), {n}).value"
 
-    def block(field, n=0):
-        return f"get({_values(field, checksum, 'block_text')}, {n})"
-
-    is_term = "coalesce(m_type, '') = 'Term'"
-    is_whole = "block_text = text"
-    date_sources = f"coalesce(m_date, get({entities.word_dates('block_text')}, 0).value)"
+    is_term = "coalesce(msg.kind, '') = 'Term'"
+    date_sources = "coalesce(msg.best_date, scan.word_date)"
     # a table effective date counts as a source unless compat
     table_effective = "cast(null as string)" if compat else cell("effective_date")
     known = f"coalesce({cell('term_date')}, {table_effective})"
     effective = f"coalesce({table_effective}, CASE WHEN {known} IS NULL AND NOT {is_term} THEN {date_sources} END)"
     term = f"coalesce({cell('term_date')}, CASE WHEN {known} IS NULL AND {is_term} THEN {date_sources} END)"
-    block_specialty = f"CASE WHEN {is_whole} THEN m_specialty ELSE {entities.first_specialty('block_text', specialties)} END"
-    block_org = f"CASE WHEN NOT {is_whole} THEN {entities.organization('block_text')}.value END"
-    block_lob = f"nullif(array_join({entities.lines_of_business('block_text')}, ', '), '')"
 
     exprs = {
-        "transaction_type": "m_type",
-        "transaction_attribute": transaction_attribute("coalesce(m_type, '')", "concat(coalesce(text_content, ''), '\\n', text)"),
+        "transaction_type": "msg.kind",
+        "transaction_attribute": "msg.attribute",
         "effective_date": effective,
         "term_date": term,
-        "term_reason": f"CASE WHEN {is_term} THEN coalesce(m_reason, {cell('term_reason')}, {term_reason('block_text')}) END",
-        "provider_name": f"coalesce({cell('provider_name')}, get({entities.provider_names('block_text', compat)}, 0).value, m_name)",
-        "provider_npi": f"coalesce({cell('npi')}, get(m_npi, 0), {block('npi')})",
-        "provider_specialty": f"coalesce({cell('specialty')}, {block_specialty}, m_specialty)",
-        "state_license": f"coalesce({block('license')}, m_license, {cell('license')})",
-        "organization_name": f"coalesce(m_org, {block_org}, {cell('organization')})",
-        "tin": f"coalesce(m_tin, {cell('tin')}, {block('tin')})",
-        "group_npi": f"coalesce({cell('npi', 1)}, get(m_npi, 1), {block('npi', 1)})",
+        "term_reason": f"CASE WHEN {is_term} THEN coalesce(whole.reason, {cell('term_reason')}, scan.reason) END",
+        "provider_name": f"coalesce({cell('provider_name')}, scan.name, whole.name)",
+        "provider_npi": f"coalesce({cell('npi')}, get(whole.npi, 0), get(scan.npi, 0))",
+        "provider_specialty": f"coalesce({cell('specialty')}, scan.specialty, whole.specialty)",
+        "state_license": f"coalesce(scan.license, whole.license, {cell('license')})",
+        "organization_name": f"coalesce(whole.org, scan.org, {cell('organization')})",
+        "tin": f"coalesce(whole.tin, {cell('tin')}, scan.tin)",
+        "group_npi": f"coalesce({cell('npi', 1)}, get(whole.npi, 1), get(scan.npi, 1))",
         "complete_address": cell("address"),
-        "phone_number": f"coalesce({block('phone')}, m_phone)",
-        "fax_number": f"coalesce({cell('fax')}, {block('fax')}, m_fax)",
-        "ppg_id": f"coalesce(m_ppg, {cell('ppg')}, {block('ppg')})",
-        "line_of_business": f"coalesce(m_lob, {block_lob})",
+        "phone_number": "coalesce(scan.phone, whole.phone)",
+        "fax_number": f"coalesce({cell('fax')}, scan.fax, whole.fax)",
+        "ppg_id": f"coalesce(whole.ppg, {cell('ppg')}, scan.ppg)",
+        "line_of_business": "coalesce(whole.lob, scan.lob)",
     }
-    return per_block.select("msg_id", "block_id", *[F.expr(exprs[c]).alias(c) for c in OUTPUT_COLUMNS])
+    record = "named_struct(" + ", ".join(f"'{c}', {exprs[c]}" for c in OUTPUT_COLUMNS) + ")"
+    of_block = let("get(scans, if(size(scans) = 1, 0, i + 1))", "scan", let(tables.in_block("msg.own", "b.text"), "own", record))
+    own = ", ".join(q(f) for f in BLOCK_FIELDS)
+    message = (
+        "named_struct('kind', m_type, 'attribute', m_attribute, 'best_date', m_date, "
+        f"'own', filter(cs, c -> c.field IN ({own})), 'wide', filter(cs, c -> c.field NOT IN ({own})))"
+    )
+    built = let("cells", "cs", let(message, "msg", let("get(scans, 0)", "whole", f"transform(blocks, (b, i) -> {of_block})")))
+    return values.transform(explode_rows, ["msg_id"], built, "block_id", "r").select("msg_id", "block_id", "r.*")
 
 
 def with_sentinel(records: DataFrame, sentinel: str = SENTINEL) -> DataFrame:
@@ -216,7 +234,7 @@ def extract(messages: DataFrame, gap: int = 2, compat: bool = False, checksum: s
     """Messages to raw records, sentinel filled in."""
     prepared = prepare(messages, compat)
     values = message_values(prepared, gap, compat, checksum, specialties)
-    return with_sentinel(resolve(values, compat, checksum, specialties))
+    return with_sentinel(resolve(values, compat))
 
 
 # --- long candidate table --------------------------------------------------

@@ -254,10 +254,19 @@ def message_table_candidates(text: str, html: str) -> str:
     )
 
 
-def in_block(candidates: str, block_text: str) -> str:
-    """Candidates usable for a block: those that occur in it, and message-wide fields at 0.6."""
+def cells_of_message(text: str, html: str) -> str:
+    """Candidates of :func:`message_table_candidates` as ``(field, value, confidence, low)``, in the form :func:`in_block` reads."""
+    return block_cells(message_table_candidates(text, html))
+
+
+def block_cells(candidates: str) -> str:
+    """Candidates with their lower-cased value, made once per message."""
+    return f"transform({candidates}, c -> named_struct('field', c.field, 'value', c.value, 'confidence', c.confidence, 'low', lower(c.value)))"
+
+
+def in_block(cells: str, block_text: str) -> str:
+    """Cells usable for a block: those that occur in it, and others of message-wide fields at 0.6 of their confidence."""
     own = ", ".join(q(f) for f in BLOCK_FIELDS)
-    return let(
-        f"lower({block_text})", "low",
-        f"filter({candidates}, c -> c.field NOT IN ({own}) OR contains(low, lower(c.value)))",
-    )
+    usable = f"filter({cells}, c -> c.field NOT IN ({own}) OR contains(low, c.low))"
+    rated = "named_struct('field', c.field, 'value', c.value, 'confidence', if(contains(low, c.low), c.confidence, c.confidence * 0.6D))"
+    return let(f"lower({block_text})", "low", f"transform({usable}, c -> {rated})")

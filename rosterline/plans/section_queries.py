@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import explode_rows
 
 from ..functions import text as tx
+from ..functions.sql import let
 from ..operators import sections, tables
 from ..sources import fixture as fx
 from ..vocab.headers import BLOCK_FIELDS, LABEL_WORDS, LABEL_WORDS_TEXT, TABLE_HEADER_WORDS, header_rows
@@ -297,20 +298,18 @@ _OWN = str_list(BLOCK_FIELDS)
 
 
 @query("block_aware_candidates", f"""
-    {TC}, {lines_cte()}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('mail', 'body', 0)}
-    SELECT c.msg_id, b.block_id, c.field, c.value, c.confidence FROM tc c JOIN blocks b ON b.msg_id = c.msg_id AND contains(lower(b.text), lower(c.value))
-    UNION ALL SELECT msg_id, NULL, field, value, confidence * 0.6::DOUBLE FROM tc WHERE NOT list_contains({_OWN}, field)""")
+    {TC}, {lines_cte()}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('mail', 'body', 0)},
+    bc AS (SELECT c.*, b.block_id, contains(lower(b.text), lower(c.value)) AS inside FROM tc c JOIN blocks b ON b.msg_id = c.msg_id)
+    SELECT msg_id, block_id, field, value, CASE WHEN inside THEN confidence ELSE confidence * 0.6::DOUBLE END AS confidence
+    FROM bc WHERE inside OR NOT list_contains({_OWN}, field)""")
 def block_aware_candidates(spark, sf):
-    """Candidates found in a block; message-wide fields once more, for every other block, at 0.6."""
-    built = tables.table_candidates(tables.text_tables("body"), "text")
+    """Usable cells per block: those found in it, and those of message-wide fields at 0.6, by the operator that records use."""
+    built = tables.block_cells(tables.table_candidates(tables.text_tables("body"), "text"))
+    of_block = f"transform(blocks, b -> {tables.in_block('cs', 'b.text')})"
     rows = fx.mail(spark, sf).select(
-        "msg_id", F.expr(built).alias("cells"), F.expr(sections.blocks_or_default("body", 0)).alias("blocks"))
-    inside = rows.transform(explode_rows, ["msg_id", "cells"], F.col("blocks"), "block_id", "b").transform(
-        explode_rows, ["msg_id", "block_id"], "filter(cells, c -> contains(lower(b.text), lower(c.value)))", "c").select("msg_id", "block_id", "c.field", "c.value", "c.confidence")
-    wide = rows.transform(explode_rows, ["msg_id"], F.col("cells"), "c").filter(~F.col("c.field").isin(BLOCK_FIELDS)).select(
-        "msg_id", F.lit(None).cast("int").alias("block_id"), "c.field", "c.value",
-        (F.col("c.confidence") * F.lit(0.6)).alias("confidence"))
-    return inside.unionByName(wide)
+        "msg_id", F.expr(sections.blocks_or_default("body", 0)).alias("blocks"), F.expr(built).alias("cells"))
+    return rows.transform(explode_rows, ["msg_id"], let("cells", "cs", of_block), "block_id", "u").transform(
+        explode_rows, ["msg_id", "block_id"], F.col("u"), "c").select("msg_id", "block_id", "c.field", "c.value", "c.confidence")
 
 
 # --- HTML tables -----------------------------------------------------------
