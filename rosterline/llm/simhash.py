@@ -20,6 +20,8 @@ ship(__name__)
 
 #: fingerprints of one tree, and queries sent to it at a time
 BLOCK = 1024
+#: documents of a block in which texts are compared
+TEXTS = 256
 #: shingles that are expanded to bits at a time
 CHUNK = 1 << 16
 
@@ -46,15 +48,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h)).view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id``, ``fp`` (signed 64-bit) of every row, over whole texts."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sized: int | None = None) -> DataFrame:
+    """``id``, ``fp`` (signed 64-bit) of every row, over whole texts; ``n`` counts its different ``sized``-word shingles (0 without ``sized``)."""
 
     def run(batches):
         for b in batches:
-            fp = pa.array([fingerprint(t.as_py(), words) for t in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), fp], ["id", "fp"])
+            texts = b.column("text").to_pylist()
+            fp = pa.array([fingerprint(t, words) for t in texts], pa.int64())
+            n = pa.array([len(np.unique(shingle_hashes(t, sized))) if sized else 0 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), fp, n], ["id", "fp", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, n long")
 
 
 class Node:
@@ -95,12 +99,12 @@ def search(root: Node, value: int, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def forest(values: list[int], own: np.ndarray, i: int, j: int, radius: int) -> list[tuple[int, int, int]]:
-    """(row, row, distance) of a smallest spanning forest of a cell's links.
+def forest(values: list[int], own: np.ndarray, i: int, j: int, radius: int, accept=None) -> list[tuple[int, int, int]]:
+    """(row, row, distance) of a spanning forest of a cell's links that ``accept(row, row)`` holds for (all by default).
 
     Within a block every value searches the tree of those before it; of two
-    blocks, block j searches the tree of block i.  Nearest links come first,
-    so each value keeps the link to its nearest neighbour.
+    blocks, block j searches the tree of block i.  Nearest links come first.
+    A link is left out only if accepted ones already join its two ends.
     """
     links, root = [], None
     for row, value in enumerate(values):
@@ -127,7 +131,7 @@ def forest(values: list[int], own: np.ndarray, i: int, j: int, radius: int) -> l
     out = []
     for d, a, b in sorted(links):
         x, y = top(a), top(b)
-        if x != y:
+        if x != y and (accept is None or accept(a, b)):
             parent[max(x, y)] = min(x, y)
             out.append((a, b, d))
     return out
@@ -161,15 +165,17 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(classes: DataFrame, radius: int, masks: list[int]) -> DataFrame:
-    """``a``, ``b``, ``d``: links of distinct fingerprints (``rep``, ``fp``) that connect all that are within the radius.
+def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float = 0.0) -> DataFrame:
+    """``a``, ``b``, ``d``: links of distinct fingerprints (``rep``, ``fp``, ``n``) that connect all that are within the radius.
+
+    Links need counts ``n`` of which the smaller is ``size_ratio`` of the larger at least.
 
     A shard holds the fingerprints that agree under one mask.  Its tree is
     sent to the query blocks of that shard only; a shard of many fingerprints
     is cut into trees and query blocks of bounded size, and every tree meets
     every block.
     """
-    sharded = classes.filter("rep is not null").select("rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
+    sharded = classes.filter("rep is not null").select("rep", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
     at = ["m", "key", "i", "j"]
 
     def run(batches):
@@ -177,39 +183,65 @@ def links(classes: DataFrame, radius: int, masks: list[int]) -> DataFrame:
             starts = group_starts(b, at)
             ends = np.append(starts[1:], len(b))
             many = ends - starts > 1
-            rep, fp = b["rep"].to_numpy(), b["fp"].to_numpy().view("u8")
+            rep, fp, size = b["rep"].to_numpy(), b["fp"].to_numpy().view("u8"), b["n"].to_numpy()
             own, i, j = (b[c].to_numpy() for c in ("own", "i", "j"))
             out = []
             for s, e in zip(starts[many], ends[many]):
-                out += [(rep[s + x], rep[s + y], d) for x, y, d in forest(fp[s:e].tolist(), own[s:e], i[s], j[s], radius)]
+                n = size[s:e].tolist()
+                near = forest(fp[s:e].tolist(), own[s:e], i[s], j[s], radius, lambda x, y: min(n[x], n[y]) >= size_ratio * max(n[x], n[y]))
+                out += [(rep[s + x], rep[s + y], d) for x, y, d in near]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b", "d"])
 
     return cells(sharded, ["m", "key"], "rep", BLOCK).mapInPandas(run, "a long, b long, d int").distinct()
 
 
-def jaccard_at_least(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Edges whose texts have the given Jaccard similarity of ``words``-word shingle sets (exact, whole texts)."""
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    texts = settle(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(nodes.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
-    pairs = (
-        edges.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+def similar_links(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int, words: int,
+                  similarity: float) -> DataFrame:
+    """``a``, ``b``: links that join all texts of a candidate group which are within the radius and similar.
+
+    A candidate group is a component of ``found``.  Its members, each with the
+    different hashes of its whole text's ``words``-word shingles, meet in cells
+    of two blocks of 256.  In a cell every pair of fingerprints within the
+    radius is compared by the exact Jaccard similarity, nearest first, unless
+    links found there already join the two; no pair of texts leaves its task.
+    """
+    groups = components(found.select("a", "b")).withColumnRenamed("node", "rep").join(classes.select("rep", "fp"), "rep")
+    texts = (
+        docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+        .join(groups.hint("merge"), "rep").dropDuplicates(["rep"])
     )
 
-    def check(batches):
+    def hashes(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b["ta"], b["tb"]):
-                p, q = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                either = len(p) + len(q) - both
-                keep.append(both >= similarity * either)
-            yield b.loc[keep, ["a", "b"]]
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("fp"), b.column("component"), sets], ["rep", "fp", "component", "sets"])
+
+    members = settle(
+        texts.select("rep", "fp", "component", "text").mapInArrow(hashes, "rep long, fp long, component long, sets binary"), "near-texts")
+    at = ["component", "i", "j"]
+
+    def compare(batches):
+        for b in whole_groups(batches, at):
+            starts = group_starts(b, at)
+            rep, fp = b["rep"].to_numpy(), b["fp"].to_numpy().view("u8")
+            own, i, j = (b[c].to_numpy() for c in ("own", "i", "j"))
+            out = []
+            for s, e in zip(starts, np.append(starts[1:], len(b))):
+                sets = [np.frombuffer(x, dtype="<u8") for x in b["sets"].iloc[s:e]]
+
+                def alike(x, y):
+                    p, q = sets[x], sets[y]
+                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                        return False
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    return both >= similarity * (len(p) + len(q) - both)
+
+                out += [(rep[s + x], rep[s + y]) for x, y, _ in forest(fp[s:e].tolist(), own[s:e], i[s], j[s], radius, alike)]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
 
-    return pairs.mapInPandas(check, "a long, b long")
+    return cells(members, ["component"], "rep", TEXTS).mapInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2,
@@ -226,12 +258,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id are one document; their component is the smallest of theirs.
     An empty table gives an empty result.  Other columns are ignored.
     """
-    fps = settle(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = settle(fps.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-classes")
+    fps = settle(fingerprints(docs, id_col, text_col, words, check_words if similarity is not None else None), "fingerprints")
+    classes = settle(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("n")), "fingerprint-classes")
     masks = sampled_masks(classes.count(), keys) if keys else exact_masks(radius)
-    found = links(classes, radius, masks)
+    found = links(classes, radius, masks, similarity or 0.0)
     if similarity is not None:
-        found = jaccard_at_least(settle(found, "near-links"), docs, id_col, text_col, check_words, similarity)
+        found = similar_links(found, classes, docs, id_col, text_col, radius, check_words, similarity)
     parts = components(found.select("a", "b"))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("id", "fp", "component_id")

@@ -188,7 +188,7 @@ def test_large_shards(spark, monkeypatch):
     rng = random.Random(9)
     values = list({(rng.getrandbits(64) if i % 9 == 0 else 0xABCDEF ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))) for i in range(200)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.links(spark.createDataFrame(list(enumerate(signed)), "rep long, fp long"), 2, simhash.exact_masks(2))
+    found = simhash.links(spark.createDataFrame([(i, v, 0) for i, v in enumerate(signed)], "rep long, fp long, n long"), 2, simhash.exact_masks(2))
     parts = {r["node"]: r["component"] for r in graph.components(found.select("a", "b")).collect()}
     low = list(range(len(values)))
     for _ in range(20):
@@ -199,6 +199,34 @@ def test_large_shards(spark, monkeypatch):
     assert {i: parts.get(i, i) for i in range(len(values))} == dict(enumerate(low))
 
 
+def test_similar_links_are_whole(spark, monkeypatch):
+    """Components over all pairs within the radius whose texts are similar, also where nearer pairs fail the test."""
+    monkeypatch.setattr(simhash, "TEXTS", 8)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        base = prose(rng, 120).split()
+        for i in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, radius=10, similarity=0.8).collect()}
+    fp = [simhash.fingerprint(t) for t in texts]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    low, failed = list(range(len(texts))), 0
+    for turn in range(30):
+        for a in range(len(texts)):
+            for b in range(a):
+                if ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 10:
+                    if fp[a] == fp[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        low[a] = low[b] = min(low[a], low[b])
+                    else:
+                        failed += 1
+    assert failed and got == dict(enumerate(low))
+
+
 def test_lengths(odd, none):
     enc = common.encoder(None)
     all_lengths = [len(enc.ids(r["text"] or "")) for r in odd.collect()]
