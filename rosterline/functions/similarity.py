@@ -1,14 +1,18 @@
 """Character similarity (0-100) from the longest common subsequence.
 
 ``ratio(a, b) = 200 * lcs(a, b) / (len(a) + len(b))``.  The pattern side is a
-short fixed phrase (at most 62 characters), so one BIGINT holds its matching
-state and a comparison costs one step per character of the other side.
+fixed phrase.  Up to 62 characters one BIGINT holds its matching state and a
+comparison costs one step per character of the other side; longer phrases keep
+an array of places instead.  Both count the same subsequence.
 """
 
 from __future__ import annotations
 
 from .sql import let, part, rows
 
+#: longest phrase whose matching state is one BIGINT
+WORD = 62
+
 
 def _pieces(text: str, threshold: float) -> list[str]:
     """Pieces of a phrase of which one stays whole in any window at the threshold.
@@ -23,39 +27,51 @@ def _pieces(text: str, threshold: float) -> list[str]:
 def pattern_rows(entries: list[tuple[str, str]], partial: float = 85.0) -> str:
     """Array of ``(label, text, len, full, masks, pieces, ord)`` for fixed ``(label, phrase)`` pairs.
 
-    ``masks`` maps a character to the bits of its places in the phrase;
-    ``pieces`` serve :func:`best_partial_ratio` at the threshold ``partial``.
+    ``masks`` maps a character to the bits of its places in a phrase of at most
+    62 characters; ``pieces`` serve :func:`best_partial_ratio` at the threshold ``partial``.
     """
     out = []
     for ord_, (label, text) in enumerate(entries):
-        if len(text) > 62:
-            raise ValueError("pattern side is limited to 62 characters")
         masks: dict[str, int] = {}
-        for i, c in enumerate(text):
+        bits = text if len(text) <= WORD else ""
+        for i, c in enumerate(bits):
             masks[c] = masks.get(c, 0) | (1 << i)
-        out.append((label, text, len(text), (1 << len(text)) - 1, masks, _pieces(text, partial), ord_))
+        out.append((label, text, len(text), (1 << len(bits)) - 1, masks, _pieces(text, partial), ord_))
     ddl = "label:string,text:string,len:int,full:bigint,masks:map<string,bigint>,pieces:array<string>,ord:int"
     return rows(ddl, out)
 
 
-def lcs_length(chars: str, pattern: str) -> str:
+def subsequence_length(chars: str, text: str) -> str:
+    """LCS length of a character array and a text of any length.
+
+    Element k of the state is the first place of the text at which a common
+    subsequence of k + 1 characters can end.
+    """
+    place = f"least(get(s, k), nullif(locate(c, {text}, coalesce(get(s, k - 1), 0) + 1), 0))"
+    step = f"if(c = '', s, filter(transform(sequence(0, size(s)), k -> {place}), x -> x IS NOT NULL))"
+    return f"size(aggregate({chars}, cast(array() as array<int>), (s, c) -> {step}))"
+
+
+def lcs_length(chars: str, pattern: str, longest: int = WORD) -> str:
     """LCS length of a character array and one element of :func:`pattern_rows`.
 
     Clear bits of the state mark matched places of the pattern.
     """
     hit = f"(s & coalesce({pattern}.masks[c], 0L))"
     step = f"((s + {hit}) | (s - {hit})) & {pattern}.full"
-    return f"{pattern}.len - bit_count(aggregate({chars}, {pattern}.full, (s, c) -> {step}))"
+    bits = f"{pattern}.len - bit_count(aggregate({chars}, {pattern}.full, (s, c) -> {step}))"
+    return bits if longest <= WORD else f"if({pattern}.len <= {WORD}, {bits}, {subsequence_length(chars, f'{pattern}.text')})"
 
 
-def ratio(chars: str, pattern: str) -> str:
+def ratio(chars: str, pattern: str, longest: int = WORD) -> str:
     """Similarity of a character array and one element of :func:`pattern_rows`."""
-    return f"200D * ({lcs_length(chars, pattern)}) / (size({chars}) + {pattern}.len)"
+    return f"200D * ({lcs_length(chars, pattern, longest)}) / (size({chars}) + {pattern}.len)"
 
 
-def best_ratio(text: str, patterns: str, threshold: float) -> str:
+def best_ratio(text: str, patterns: str, threshold: float, longest: int = WORD) -> str:
     """Struct ``(score, label)`` of the most similar phrase, NULL below the threshold.
 
+    ``longest`` is the length of the longest phrase, if that is over 62.
     Equal scores go to the earlier phrase.  The built-in edit distance never
     exceeds the distance behind the ratio, hence it may discard phrases first.
     """
@@ -64,7 +80,7 @@ def best_ratio(text: str, patterns: str, threshold: float) -> str:
         f"filter({patterns}, p -> abs(length(h) - p.len) <= {limit!r}D * (length(h) + p.len) + 1e-9D "
         f"AND levenshtein(h, p.text) <= {limit!r}D * (length(h) + p.len) + 1e-9D)"
     )
-    scored = f"transform({near}, p -> named_struct('score', {ratio('cs', 'p')}, 'rank', -p.ord, 'label', p.label))"
+    scored = f"transform({near}, p -> named_struct('score', {ratio('cs', 'p', longest)}, 'rank', -p.ord, 'label', p.label))"
     best = f"array_max(filter({scored}, r -> r.score >= {threshold!r}D))"
     return let(text, "h", let("split(h, '')", "cs", best))
 
@@ -82,7 +98,7 @@ def _chunks(cs: str, stride: int) -> str:
     return f"transform(sequence(0, size({cs}) - 1, {stride}), b -> {piece})"
 
 
-def _windows(pattern: str, threshold: float, stride: int) -> str:
+def _windows(pattern: str, threshold: float, stride: int, longest: int) -> str:
     """Best similarity of the whole pattern with the windows of the chunks ``ch``.
 
     A chunk that lacks every piece of the pattern, or is too far from it
@@ -92,7 +108,7 @@ def _windows(pattern: str, threshold: float, stride: int) -> str:
     window = f"substr(c.text, greatest(o, 0) + 1, least(o + {pattern}.len, c.size) - greatest(o, 0))"
     score = (
         f"if(levenshtein(w, {pattern}.text) <= {limit}D * (length(w) + {pattern}.len) + 1e-9D, "
-        f"{let('split(w, ' + chr(39) * 2 + ')', 'wc', ratio('wc', pattern))}, 0D)"
+        f"{let('split(w, ' + chr(39) * 2 + ')', 'wc', ratio('wc', pattern, longest))}, 0D)"
     )
     near = (
         f"filter(ch, c -> (c.edge OR exists({pattern}.pieces, e -> contains(c.text, e))) "
@@ -115,7 +131,7 @@ def _edit_bound(length: str, pattern: str, threshold: float) -> str:
     return f"{length} + {pattern}.len - {share!r}D * least({length}, {pattern}.len) + 1e-9D"
 
 
-def _pattern_windows(cs: str, pattern: str) -> str:
+def _pattern_windows(cs: str, pattern: str, longest: int) -> str:
     """Best similarity of a whole short text with the windows of a longer pattern."""
     hit = f"(s & coalesce({pattern}.masks[c], 0L) & w)"
     step = f"((s + {hit}) | (s - {hit})) & w"
@@ -124,6 +140,10 @@ def _pattern_windows(cs: str, pattern: str) -> str:
         f"(shiftleft(1L, least(o + size({cs}), {pattern}.len)) - 1L) & ~(shiftleft(1L, greatest(o, 0)) - 1L)"
     )
     score = let(window, "w", f"200D * ({bits}) / (size({cs}) + bit_count(w))")
+    if longest > WORD:
+        cut = f"substr({pattern}.text, greatest(o, 0) + 1, least(o + size({cs}), {pattern}.len) - greatest(o, 0))"
+        plain = let(cut, "w", f"200D * ({subsequence_length(cs, 'w')}) / (size({cs}) + length(w))")
+        score = f"if({pattern}.len <= {WORD}, {score}, {plain})"
     return f"array_max(transform(sequence(1 - size({cs}), {pattern}.len - 1), o -> {score}))"
 
 
@@ -140,10 +160,10 @@ def best_partial_ratio(text: str, patterns: str, threshold: float, longest: int
     lacking = 1 - threshold / (200 - threshold)
     near = f"filter({patterns}, p -> size(cs) < p.len OR length(translate(p.text, h, '')) <= {lacking!r}D * p.len + 1e-9D)"
     inner = (
-        f"if(levenshtein(h, p.text) <= {_edit_bound('size(cs)', 'p', threshold)}, {_pattern_windows('cs', 'p')}, 0D)"
+        f"if(levenshtein(h, p.text) <= {_edit_bound('size(cs)', 'p', threshold)}, {_pattern_windows('cs', 'p', longest)}, 0D)"
     )
     score = (
-        f"greatest(if(size(cs) >= p.len, {_windows('p', threshold, stride)}, 0D), "
+        f"greatest(if(size(cs) >= p.len, {_windows('p', threshold, stride, longest)}, 0D), "
         f"if(size(cs) <= p.len, {inner}, 0D))"
     )
     scored = f"transform({near}, p -> named_struct('score', {score}, 'rank', -p.ord, 'label', p.label))"

@@ -188,6 +188,13 @@ def organization_candidates(body: str) -> str:
     return f"transform(filter(array_distinct({_found_organizations(body)}), m -> {keep}), (m, j) -> {made})"
 
 
+def found_organizations(text: str) -> str:
+    """Accepted organisations of the body, else of the bar-separated lines."""
+    bars = let(tx.pipe_lines(text), "pl", organization_candidates("pl"))
+    body = let(tx.body_window(text), "bw", organization_candidates("bw"))
+    return let(body, "found", f"if(size(found) > 0, found, {bars})")
+
+
 def best_organization(candidates: str) -> str:
     """Most confident candidate that no longer one contains; the longer on ties.
 
@@ -296,9 +303,10 @@ def specialty_fuzzy(text: str, specialties=None) -> str:
     """Phrases close to a canonical name: ratio of 80, else partial ratio of 85."""
     names = list(specialties or sp.SPECIALTIES)
     table = similarity.pattern_rows([(n, n.lower()) for n in names], FUZZY_PARTIAL)
+    longest = max(map(len, names))
     best = (
-        f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO)}, "
-        f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL, max(map(len, names)))})"
+        f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO, longest)}, "
+        f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL, longest)})"
     )
     hits = f"filter(transform({specialty_phrases(text)}, p -> {best}), b -> b IS NOT NULL)"
     # a text may hold very many phrases, but never more labels than the dictionary

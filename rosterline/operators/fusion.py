@@ -239,37 +239,55 @@ def extract(messages: DataFrame, gap: int = 2, compat: bool = False, checksum: s
 
 # --- long candidate table --------------------------------------------------
 
-def all_scans(text: str, compat: bool, checksum: str) -> str:
-    """Candidates of every field scan of one text."""
+def all_scans(text: str, compat: bool, checksum: str, specialties=None) -> str:
+    """Candidates of every extractor family of one text but tables."""
     parts = [patterns.scan(text, f, checksum) for f in patterns.FIELDS]
     parts.append(entities.provider_names(text, compat))
     parts.append(entities.word_dates(text))
     lob = patterns.candidate("line_of_business", "v", "0.9D", q("lob_gazetteer"), 0, "i")
     parts.append(f"transform({entities.lines_of_business(text)}, (v, i) -> {lob})")
+    org = patterns.candidate("organization", "o.value", "o.confidence", q("pattern_org_extended"), 0, "j")
+    parts.append(f"transform({entities.found_organizations(text)}, (o, j) -> {org})")
+    named = patterns.candidate("specialty", "s.value", "s.confidence", "s.extractor_id", 0, "j")
+    parts.append(f"transform({entities.specialties_union(text, specialties)}, (s, j) -> {named})")
+    kind = patterns.candidate("transaction_type", "t.value", "t.confidence", "t.extractor_id", 0)
+    parts.append(f"transform(filter(array({entities.transaction_type(text)}), t -> t IS NOT NULL), t -> {kind})")
     return f"concat({', '.join(parts)})"
 
 
-def candidate_array(gap: int, compat: bool, checksum: str) -> str:
-    """Candidates of the message, block and table scopes as ``(block_id, scope, c)``."""
+def scanned_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", specialties=None) -> DataFrame:
+    """``msg_id`` and ``es``: candidates of the message, table and block scopes as ``(block_id, scope, c)``.
+
+    The scans are written once, over the message text and its block texts; a
+    default block, which is the whole text, takes the scan of the message.
+    """
     fields = "struct(c.field, c.value, c.confidence, c.extractor_id, c.pattern_ord, c.match_ord, c.validation_passed)"
 
     def tagged(array, scope, block):
         return f"transform({array}, c -> named_struct('block_id', {block}, 'scope', '{scope}', 'c', {fields}))"
 
-    full = tagged(all_scans("text", compat, checksum), "full", "cast(null as int)")
-    cells = tagged(tables.message_table_candidates("text", "html_content"), "table", "cast(null as int)")
-    in_blocks = tagged(let("b.text", "bt", all_scans("bt", compat, checksum)), "block", "bi")
-    return f"concat({full}, {cells}, flatten(transform({sections.blocks('text', gap)}, (b, bi) -> {in_blocks})))"
+    own = "if(size(blocks) = 1 AND get(blocks, 0).text = text, cast(array() as array<string>), transform(blocks, b -> b.text))"
+    scans = f"transform(scan_texts, scan_text -> {all_scans('scan_text', compat, checksum, specialties)})"
+    full = tagged("get(scans, 0)", "full", "cast(null as int)")
+    cells = tagged("cells", "table", "cast(null as int)")
+    in_blocks = tagged("get(scans, if(size(scans) = 1, 0, bi + 1))", "block", "bi")
+    return (
+        prepared.select("msg_id", "text", "html_content", F.expr(sections.blocks_or_default("text", gap)).alias("blocks"))
+        .select("msg_id", "text", "html_content", "blocks", F.expr(f"concat(array(text), {own})").alias("scan_texts"))
+        .select("msg_id", F.expr("size(blocks)").alias("n_blocks"), F.expr(scans).alias("scans"),
+                F.expr(tables.message_table_candidates("text", "html_content")).alias("cells"))
+        .select("msg_id", F.expr(f"concat({full}, {cells}, flatten(transform(sequence(0, n_blocks - 1), bi -> {in_blocks})))").alias("es"))
+    )
 
 
-def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard") -> DataFrame:
+def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", specialties=None) -> DataFrame:
     """Provenance table: every candidate of the message, block and table scopes.
 
-    Columns: msg_id, block_id (NULL for message and table scope), scope, field,
+    A message without provider blocks is its own block 0.  Columns: msg_id, block_id (NULL for message and table scope), scope, field,
     value, confidence, extractor_id, pattern_ord, match_ord, validation_passed.
     """
-    found = candidate_array(gap, compat, checksum)
-    return prepared.transform(explode_rows, ["msg_id"], found, "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
+    found = scanned_candidates(prepared, gap, compat, checksum, specialties)
+    return found.transform(explode_rows, ["msg_id"], "es", "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
 
 
 def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard") -> DataFrame:
@@ -285,6 +303,6 @@ def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, c
     )
     keyed = f"transform(es, e -> named_struct('field', e.c.field, 'k', {key}))"
     best = "transform(array_distinct(ks.field), f -> named_struct('field', f, 'k', array_max(filter(ks, x -> x.field = f).k)))"
-    found = let(candidate_array(gap, compat, checksum), "es", let(keyed, "ks", best))
-    return prepared.transform(explode_rows, ["msg_id"], found, "r").select(
+    found = scanned_candidates(prepared, gap, compat, checksum)
+    return found.transform(explode_rows, ["msg_id"], let(keyed, "ks", best), "r").select(
         "msg_id", "r.field", "r.k.value", "r.k.priority", "r.k.confidence", "r.k.extractor_id")

@@ -12,11 +12,11 @@ from ..sources import attachments, fixture as fx, mail as mail_source
 from ..streaming import roster_stream
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
 from ..vocab.headers import attachment_rows
-from .record_queries import _COLS, DMG, FINAL_CTE, REC, S, _damaged, raw_records
+from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, raw_records
 from .registry import MAIL_CTE, RENDERED_CTE, lit, query
 from .scan_queries import hits_sql, luhn, ppg_cte, scan_sql
 from .section_queries import blocks_cte, candidates_cte, cue_text_cte, cues_cte, header_map_cte, lines_cte, tables_cte
-from .entity_queries import context_sql, lob_cte, names_sql, word_dates_sql
+from .entity_queries import context_sql, lob_cte, names_sql, organization_cte, specialties_cte, type_cte, word_dates_sql
 from .text_queries import TRIM_CTE, WS, clean_sql, punct_sql
 
 # --- fields ----------------------------------------------------------------
@@ -78,7 +78,14 @@ def _scope_sql(scope: str, src: str, key: str, p: str) -> str:
     parts.append(f"SELECT {key}, 'provider_name', value, confidence, extractor_id, i, match_ord, true FROM ({names_sql(src, key, 'text')})")
     parts.append(f"SELECT {key}, 'date', value, confidence, extractor_id, i, match_ord, true FROM ({word_dates_sql(src, key, 'text')})")
     parts.append(f"SELECT {key}, 'line_of_business', value, 0.9::DOUBLE, 'lob_gazetteer', 0, (row_number() OVER (PARTITION BY {key} ORDER BY ord) - 1)::INT, true FROM {p}lob")
-    return f"{ppg_cte(src, key, 'text', p + 'ppg')}, {lob_cte(src, key, 'text', p + 'lob')}, {p}all AS ({' UNION ALL '.join(parts)})"
+    bars = f"SELECT * FROM {p}pc c WHERE NOT EXISTS (SELECT 1 FROM {p}oc o WHERE o.{key} = c.{key})"
+    parts.append(f"SELECT {key}, 'organization', value, confidence, 'pattern_org_extended', 0, (row_number() OVER (PARTITION BY {key} ORDER BY rk) - 1)::INT, true FROM (SELECT * FROM {p}oc UNION ALL {bars})")
+    parts.append(f"SELECT {key}, 'specialty', value, confidence, extractor_id, 0, (row_number() OVER (PARTITION BY {key} ORDER BY rank) - 1)::INT, true FROM {p}sp")
+    parts.append(f"SELECT {key}, 'transaction_type', value, confidence, extractor_id, 0, 0, true FROM {p}ty WHERE value IS NOT NULL")
+    return (
+        f"{ppg_cte(src, key, 'text', p + 'ppg')}, {lob_cte(src, key, 'text', p + 'lob')}, {organization_cte(src, key, 'text', p)}, "
+        f"{specialties_cte(src, key, 'text', p)}, {type_cte(src, key, 'text', p + 'ty')}, {p}all AS ({' UNION ALL '.join(parts)})"
+    )
 
 
 PREP_CTE = f"""
@@ -86,12 +93,12 @@ PREP_CTE = f"""
     {TRIM_CTE.replace('FROM mail)', 'FROM raw)', 1)}, msg AS (SELECT msg_id, text, thread_trimmed FROM trimmed)"""
 CAND_CTE = f"""
     {PREP_CTE}, {lines_cte('msg', 'text')}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('msg', 'text', 2)},
-    blk AS (SELECT msg_id * 1000 + block_id AS rid, * FROM blocks WHERE indicators <> ''),
+    blk AS (SELECT {RID} AS rid, * FROM blocks),
     {tables_cte('msg', 'text')}, {header_map_cte('t_cells', 'header')}, {candidates_cte('t_cells', 'text', 'tc')},
     {_scope_sql('full', 'msg', 'msg_id', 'f_')}, {_scope_sql('block', 'blk', 'rid', 'b_')},
     cand AS (SELECT msg_id, NULL::INT AS block_id, 'full' AS scope, field, value, confidence, extractor_id, pattern_ord, match_ord, validation_passed FROM f_all
         UNION ALL SELECT msg_id, NULL, 'table', field, value, confidence, concat('table_row_', row_idx, '_col_', col_idx), table_id, row_idx, true FROM tc
-        UNION ALL SELECT rid // 1000, (rid % 1000)::INT, 'block', field, value, confidence, extractor_id, pattern_ord, match_ord, validation_passed FROM b_all)"""
+        UNION ALL SELECT rid // 4294967296, (rid % 4294967296)::INT, 'block', field, value, confidence, extractor_id, pattern_ord, match_ord, validation_passed FROM b_all)"""
 CAND = f"WITH RECURSIVE {MAIL_CTE}, {CAND_CTE}"
 _CAND_COLS = "msg_id, block_id, scope, field, value, confidence, extractor_id, pattern_ord, match_ord, validation_passed"
 
@@ -149,7 +156,7 @@ def candidate_report(spark, sf):
 
 @query("message_summary", f"""
     {CAND}, c AS (SELECT msg_id, count(*)::INT AS n, (count(*) FILTER (WHERE validation_passed AND confidence > 0.5))::INT AS good FROM cand WHERE scope <> 'block' GROUP BY 1),
-    b AS (SELECT msg_id, count(*)::INT AS n FROM blk GROUP BY 1), t AS (SELECT msg_id, count(*)::INT AS n FROM t_tab GROUP BY 1)
+    b AS (SELECT msg_id, count(*)::INT AS n FROM blk WHERE indicators <> '' GROUP BY 1), t AS (SELECT msg_id, count(*)::INT AS n FROM t_tab GROUP BY 1)
     SELECT m.msg_id, coalesce(c.n, 0) AS candidates, coalesce(c.good, 0) AS successful, coalesce(c.good, 0) / greatest(coalesce(c.n, 0), 1)::DOUBLE AS success_rate,
         coalesce(b.n, 0) AS blocks, coalesce(t.n, 0) AS tables FROM msg m LEFT JOIN c USING (msg_id) LEFT JOIN b USING (msg_id) LEFT JOIN t USING (msg_id)""")
 def message_summary(spark, sf):
@@ -354,7 +361,21 @@ def mail_stream(spark, sf):
 
 # --- reports ---------------------------------------------------------------
 
-@query("metrics_json")
+_FAMILY_SQL = "CASE WHEN starts_with(extractor_id, 'table_row_') THEN 'table' ELSE extractor_id END"
+METRICS_SQL = f"""
+    WITH fs AS ({REC}, {success_cte('rec', 'fs')} SELECT * FROM fs), an AS ({ANALYSIS_SQL}), cand AS ({CAND} SELECT * FROM cand),
+    per AS (SELECT {_FAMILY_SQL} AS extractor_id, count(*) FILTER (WHERE confidence > 0.5) AS success, count(*) AS total FROM cand GROUP BY 1),
+    runs AS (SELECT msg_id, sum(cs)::BIGINT AS cs, any_value(success) AS success FROM ({runs_sql()}) GROUP BY 1),
+    n AS (SELECT count(*) FILTER (WHERE success) AS s, count(*) FILTER (WHERE NOT success) AS f FROM runs),
+    t AS (SELECT count(*) AS n, sum(cs)::BIGINT / 100.0::DOUBLE AS s FROM runs WHERE success)
+    SELECT 'session' AS section, to_json({{success_count: s, failure_count: f, success_rate: s / greatest(s + f, 1)::DOUBLE}})::VARCHAR AS entry FROM n
+    UNION ALL SELECT 'turn_around', to_json({{total_files: n, total_seconds: s, mean_seconds: s / n, files_per_minute: 60 / (s / n), speed: {_SPEED_SQL.format('(s / n)')}}})::VARCHAR FROM t
+    UNION ALL SELECT 'field', to_json({{field: field, success: success, total: total, rate: rate, problem: problem, top: top, overall_rate: overall_rate}})::VARCHAR FROM an
+    UNION ALL SELECT 'extractor', to_json({{extractor_id: extractor_id, success: success, total: total, rate: success / total::DOUBLE,
+        verdict: CASE WHEN total >= 5 AND success / total::DOUBLE > 0.7 THEN 'best' WHEN total >= 5 AND success / total::DOUBLE < 0.3 THEN 'weak' ELSE '' END}})::VARCHAR FROM per"""
+
+
+@query("metrics_json", METRICS_SQL)
 def metrics_json(spark, sf):
     """Full metrics report, one JSON text per section."""
     return quality.metrics_report(raw_records(spark, sf), _files(spark, sf), _candidates(spark, sf))

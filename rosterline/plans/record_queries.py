@@ -20,10 +20,10 @@ from .entity_queries import (
     any_sql, codes_cte, exact_cte, fuzzy_cte, lob_cte, names_sql, organization_cte, synonyms_cte, title_words_sql, type_cte,
     weighted_sql, word_dates_sql,
 )
-from .registry import MAIL_CTE, lit, query, str_list
+from .registry import MAIL_CTE, MIXED_CTE, lit, query, str_list
 from .scan_queries import date_sql, ppg_cte, scan_sql
-from .section_queries import blocks_cte, candidates_cte, cue_text_cte, cues_cte, header_map_cte, lines_cte, tables_cte
-from .text_queries import PY_TITLE, TRIM_CTE, WS, clean_sql, punct_sql
+from .section_queries import HTML_CELLS_CTE, _html_rows_cte, blocks_cte, candidates_cte, cue_text_cte, cues_cte, header_map_cte, lines_cte, tables_cte
+from .text_queries import PY_TITLE, TRIM_CTE, WS, clean_sql, html_text_sql, punct_sql
 
 S = lit(SENTINEL)
 
@@ -144,12 +144,34 @@ def _scalar(src: str, key: str, p: str) -> str:
     return ", ".join(parts)
 
 
-def records_cte(gap: int = 2) -> str:
+def readable_cte(html: bool) -> str:
+    """Texts that scans read: ``raw(msg_id, text_content, body)``, body before the thread is trimmed."""
+    body = punct_sql(clean_sql("body"))
+    if html:
+        body = f"CASE WHEN coalesce(html, '') <> '' THEN {html_text_sql('html')} ELSE {body} END"
+    return f"raw AS (SELECT msg_id, body AS text_content, {body} AS body FROM mail)"
+
+
+def cells_cte(html: bool) -> str:
+    """Table candidates of the messages: ``tc``, with origin html or text."""
+    if not html:
+        return f"{tables_cte('msg', 'text')}, {header_map_cte('t_cells', 'header')}, {candidates_cte('t_cells', 'text', 'tc')}"
+    return f"""
+    {_html_rows_cte()}, {HTML_CELLS_CTE}, {tables_cte('msg', 'text')},
+    every AS (SELECT header FROM hcells UNION ALL SELECT header FROM t_cells), {header_map_cte('every', 'header')},
+    {candidates_cte('hcells', 'html', 'hc')}, {candidates_cte('t_cells', 'text', 'xc')}, tc AS (SELECT * FROM hc UNION ALL SELECT * FROM xc)"""
+
+
+#: one key of a message and its block
+RID = "msg_id * 4294967296 + block_id"
+
+
+def records_cte(gap: int = 2, html: bool = False) -> str:
     """Raw records of the fixture mails: ``rec(msg_id, block_id, 17 columns)``."""
     own = str_list(BLOCK_FIELDS)
 
     def tab(field, n=1):
-        return f"(SELECT list(c.value ORDER BY c.table_id, c.row_idx, c.col_idx)[{n}] FROM use c WHERE c.rid = b.rid AND c.field = '{field}')"
+        return f"(SELECT list(c.value ORDER BY c.origin, c.table_id, c.row_idx, c.col_idx)[{n}] FROM use c WHERE c.rid = b.rid AND c.field = '{field}')"
 
     def blk(t, expr="value"):
         return f"(SELECT {expr} FROM b_{t} x WHERE x.rid = b.rid)"
@@ -162,12 +184,12 @@ def records_cte(gap: int = 2) -> str:
     found = f"coalesce((SELECT value FROM m_date x WHERE x.msg_id = b.msg_id), {word})"
     known = f"coalesce({tab('term_date')}, {tab('effective_date')})"
     return f"""
-    raw AS (SELECT msg_id, body AS text_content, {punct_sql(clean_sql('body'))} AS body FROM mail),
+    {readable_cte(html)},
     {TRIM_CTE.replace('FROM mail)', 'FROM raw)', 1)},
     msg AS (SELECT t.msg_id, t.text, concat(r.text_content, chr(10), t.text) AS both_texts, t.thread_trimmed FROM trimmed t JOIN raw r USING (msg_id)),
     {lines_cte('msg', 'text')}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('msg', 'text', gap)},
-    blk AS (SELECT msg_id * 1000 + block_id AS rid, * FROM blocks),
-    {tables_cte('msg', 'text')}, {header_map_cte('t_cells', 'header')}, {candidates_cte('t_cells', 'text', 'tc')},
+    blk AS (SELECT {RID} AS rid, * FROM blocks),
+    {cells_cte(html)},
     use AS (SELECT b.rid, c.* FROM blk b JOIN tc c ON c.msg_id = b.msg_id AND (NOT list_contains({own}, c.field) OR contains(lower(b.text), lower(c.value)))),
     {type_cte('msg', 'msg_id', 'text', 'ty')},
     {_scalar('msg', 'msg_id', 'm_')}, {_scalar('blk', 'rid', 'b_')},
@@ -203,8 +225,11 @@ REC = f"WITH RECURSIVE {MAIL_CTE}, {records_cte()}"
 REC0 = f"WITH RECURSIVE {MAIL_CTE}, {records_cte(0)}"
 
 
-def raw_records(spark, sf, gap=2):
-    return fusion.extract(fx.messages(spark, sf), gap)
+REC_HTML = f"WITH RECURSIVE {MIXED_CTE}, {records_cte(html=True)}"
+
+
+def raw_records(spark, sf, gap=2, html=False):
+    return fusion.extract(fx.messages(spark, sf, html), gap)
 
 
 @query("records", f"{REC} SELECT msg_id, block_id, {_COLS} FROM rec")
@@ -217,6 +242,12 @@ def records_gap0(spark, sf):
     return raw_records(spark, sf, 0)
 
 
+@query("records_html", f"{REC_HTML} SELECT msg_id, block_id, {_COLS} FROM rec")
+def records_html(spark, sf):
+    """Records of mails with text, HTML, or both: HTML tables come before text tables and scans."""
+    return raw_records(spark, sf, html=True)
+
+
 @query("resolved_dates", f"{REC} SELECT msg_id, block_id, transaction_type, effective_date, term_date FROM rec")
 def resolved_dates(spark, sf):
     return raw_records(spark, sf).select("msg_id", "block_id", "transaction_type", "effective_date", "term_date")
@@ -476,8 +507,8 @@ def contract_metadata(spark, sf):
 FINAL_CTE = f"{normalized_cte('rec', 'nrm')}, {validated_cte('nrm', 'val')}, {rules_cte('val', 'fin')}"
 
 
-def final_records(spark, sf, gap=2):
-    return raw_records(spark, sf, gap).transform(records.process)
+def final_records(spark, sf, gap=2, html=False):
+    return raw_records(spark, sf, gap, html).transform(records.process)
 
 
 @query("final_roster", f"{REC}, {FINAL_CTE} SELECT msg_id, block_id, {_COLS} FROM fin")
@@ -490,6 +521,11 @@ def final_roster_gap0(spark, sf):
     return final_records(spark, sf, 0)
 
 
+@query("final_roster_html", f"{REC_HTML}, {FINAL_CTE} SELECT msg_id, block_id, {_COLS} FROM fin")
+def final_roster_html(spark, sf):
+    return final_records(spark, sf, html=True)
+
+
 _TEMPLATE = ["TIN", "Provider Name", "Provider NPI", "Roster Note", "Term Date"]
 
 

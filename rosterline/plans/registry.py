@@ -15,6 +15,10 @@ ORACLES: dict[str, str] = {}
 PARTS_CTE = f"parts AS (SELECT {', '.join(fixture.PARTS_SQL)}, c_custkey AS k0 FROM customer)"
 RENDERED_CTE = f"{PARTS_CTE}, rendered AS (SELECT {', '.join(fixture.MAIL_SQL)} FROM parts)"
 MAIL_CTE = f"{RENDERED_CTE}, mail AS (SELECT msg_id, layout, body FROM rendered)"
+MIXED_CTE = (
+    f"{RENDERED_CTE}, two_parts AS (SELECT msg_id, layout, body, {fixture.HTML_SQL} AS html FROM rendered), "
+    f"mail AS (SELECT msg_id, layout, {fixture.TEXT_PART_SQL} AS body, {fixture.HTML_PART_SQL} AS html FROM two_parts)"
+)
 HTML_CTE = f"{RENDERED_CTE}, mail AS (SELECT msg_id, layout, body, {fixture.HTML_SQL} AS html FROM rendered)"
 
 

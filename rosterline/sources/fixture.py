@@ -135,8 +135,13 @@ def mail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(spark, sf_dir).selectExpr("msg_id", "layout", "body", f"{HTML_SQL} AS html")
 
 
+#: of three mails one is plain text, one HTML alone, and one has both parts
+TEXT_PART_SQL = "CASE WHEN msg_id % 3 = 1 THEN '' ELSE body END"
+HTML_PART_SQL = "CASE WHEN msg_id % 3 <> 0 THEN html END"
+
+
 def messages(spark: SparkSession, sf_dir: str, html: bool = False) -> DataFrame:
-    """Fixture mails in the message schema."""
+    """Fixture mails in the message schema: plain text, or a mix of text and HTML parts."""
     if html:
-        return mail_html(spark, sf_dir).selectExpr("msg_id", "body AS text_content", "html AS html_content")
+        return mail_html(spark, sf_dir).selectExpr("msg_id", f"{TEXT_PART_SQL} AS text_content", f"{HTML_PART_SQL} AS html_content")
     return mail(spark, sf_dir).selectExpr("msg_id", "body AS text_content", "cast(null as string) AS html_content")

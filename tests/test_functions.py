@@ -162,3 +162,47 @@ def test_partial_similarity_at_a_lower_threshold(spark):
         got = r["b"]["score"] if r["b"] else 0
         if all(len(p) <= len(r["t"]) for p in phrases):
             assert got == (pytest.approx(want) if want >= 70 else 0), r
+
+
+def test_similarity_of_long_phrases(spark):
+    """Phrases of more than 62 characters, alone and next to short ones, score like a plain LCS."""
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    long = ("pediatric emergency medicine and transport of critically ill children " * 3)[:200].strip()
+    phrases = [long, "urology", long[:63]]
+    longest = max(map(len, phrases))
+
+    def damaged(p):
+        t = list(p)
+        for _ in range(rng.randint(0, len(t) // 8)):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "or"])
+        return "".join(t)
+
+    texts = [damaged(p) for p in phrases for _ in range(5)] + ["plain words", ""]
+    table = similarity.pattern_rows([(p, p) for p in phrases], 70.0)
+    got = run(spark, texts, similarity.best_ratio("x", table, 70.0, longest))
+    for t, g in zip(texts, got):
+        want = max((200 * lcs(t, p) / (len(t) + len(p)), -i) for i, p in enumerate(phrases))
+        assert (g is None) == (want[0] < 70), t
+        if g is not None:
+            assert g.score == pytest.approx(want[0]) and g.label == phrases[-want[1]], t
+
+    def partial(text, phrase):
+        short, tall = sorted([text, phrase], key=len)
+        n = len(short)
+        cuts = [tall[max(o, 0):max(o + n, 0)] for o in range(1 - n, len(tall))]
+        return max(200 * lcs(short, c) / (n + len(c)) for c in cuts if c)
+
+    framed = [f"field of {damaged(long)} in town", damaged(long[20:120]), f"the {damaged('urology')} desk"]
+    got = run(spark, framed, similarity.best_partial_ratio("x", table, 70.0, longest))
+    for t, g in zip(framed, got):
+        want = max((partial(t, p), -i) for i, p in enumerate(phrases))
+        assert g.score == pytest.approx(want[0]) and g.label == phrases[-want[1]], t
