@@ -318,14 +318,7 @@ query("specialty_exact", f"WITH {SPECIAL_CTE}, {exact_cte('mail', 'msg_id', 'bod
 query("specialty_union", f"WITH {SPECIAL_CTE}, {specialties_cte('mail', 'msg_id', 'body', '')} {_SP} sp")(_specialty_query(en.specialties_union))
 
 
-@query("specialty_taxonomy", f"WITH {SPECIAL_CTE}, {codes_cte('mail', 'msg_id', 'body', 's')} {_SP} s")
-def specialty_taxonomy(spark, sf):
-    """Equi-join of code-shaped tokens with the code dictionary (35 rows, broadcast)."""
-    dim = spark.createDataFrame(list(sp.taxonomy_map().items()), "code string, canonical string")
-    tokens = _special_mails(spark, sf).transform(explode_rows, ["msg_id"], en.taxonomy_tokens("body"), "code")
-    return tokens.join(F.broadcast(dim), "code").select(
-        "msg_id", F.col("canonical").alias("value"), F.lit(0.9).alias("confidence"),
-        F.lit("taxonomy_code_match").alias("extractor_id")).distinct()
+query("specialty_taxonomy", f"WITH {SPECIAL_CTE}, {codes_cte('mail', 'msg_id', 'body', 's')} {_SP} s")(_specialty_query(en.specialty_codes))
 
 
 @query("specialty_reverse_map", "WITH r AS (SELECT * FROM (VALUES "

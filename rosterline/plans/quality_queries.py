@@ -6,13 +6,14 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, patterns, quality
+from ..operators import fusion, patterns, quality, records
 from ..session import shared_folder
 from ..sources import attachments, fixture as fx, mail as mail_source
+from ..sources import sinks
 from ..streaming import roster_stream
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
 from ..vocab.headers import attachment_rows
-from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, raw_records
+from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, final_records, raw_records, readable_cte, records_cte
 from .registry import MAIL_CTE, RENDERED_CTE, lit, query
 from .scan_queries import hits_sql, luhn, ppg_cte, scan_sql
 from .section_queries import blocks_cte, candidates_cte, cue_text_cte, cues_cte, header_map_cte, lines_cte, tables_cte
@@ -340,11 +341,64 @@ def mail_attachments(spark, sf):
     return attachments.csv_cells(found.selectExpr("msg_id", "filename", "cast(payload as string) AS payload"))
 
 
+#: decoded fixture mails as they leave the reader
+DECODED_CTE = f"""{RENDERED_CTE}, h AS (SELECT *, {fx.HTML_SQL} AS html0 FROM rendered),
+    mail AS (SELECT msg_id, CASE WHEN k % 17 = 0 THEN 'Error reading email: no content' WHEN k % 7 = 3 THEN '' ELSE concat(body, ' – end') END AS body,
+        CASE WHEN k % 17 = 0 THEN '' ELSE html0 END AS html FROM h)"""
+
+
 @query("batch_run_log", f"""
-    WITH {RENDERED_CTE} SELECT msg_id::VARCHAR AS msg_id, concat('mail_', msg_id, '.eml') AS source_file, k % 17 <> 0 AS success, CASE WHEN k % 17 = 0 THEN 'no content' END AS error FROM rendered""")
+    WITH RECURSIVE {DECODED_CTE}, {readable_cte(True)}, {TRIM_CTE.replace('FROM mail)', 'FROM raw)', 1)}, msg AS (SELECT msg_id, text FROM trimmed),
+    {lines_cte('msg', 'text')}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('msg', 'text', 2)}, n AS (SELECT msg_id, count(*)::INT AS records FROM blocks GROUP BY 1)
+    SELECT r.msg_id::VARCHAR AS msg_id, concat('mail_', r.msg_id, '.eml') AS source_file, k % 17 <> 0 AS success, records, CASE WHEN k % 17 = 0 THEN 'no content' END AS error
+    FROM rendered r JOIN n USING (msg_id)""")
 def batch_run_log(spark, sf):
     decoded = mail_source.messages(mail_source.decode(_raw_mails(spark, sf)))
-    return quality.file_runs(decoded).select("msg_id", "source_file", "success", "error")
+    return quality.file_runs(decoded)
+
+
+FILES_CTE = f"""{RENDERED_CTE}, h AS (SELECT *, {fx.HTML_SQL} AS html0 FROM rendered),
+    mail AS (SELECT msg_id, CASE WHEN k % 7 = 3 THEN '' ELSE concat(body, ' – end') END AS body, html0 AS html FROM h)"""
+
+
+@query("mail_files_roster", f"WITH RECURSIVE {FILES_CTE}, {records_cte(html=True)}, {FINAL_CTE} SELECT msg_id, block_id, {_COLS} FROM fin")
+def mail_files_roster(spark, sf):
+    """The fixture mails written as one file each to the shared folder, read back as a mail folder, and their roster."""
+    folder = os.path.join(shared_folder(spark, "mail-files"), "mails")
+    mails = fx.rendered(spark, sf).selectExpr("*", f"{fx.HTML_SQL} AS html").selectExpr(f"{_EML} AS value")
+    mails.write.option("maxRecordsPerFile", 1).text(folder)
+    decoded = mail_source.decode(mail_source.read_mail_files(spark, folder, "*.txt"))
+    found = mail_source.messages(decoded).withColumn(
+        "msg_id", F.regexp_extract(F.col("headers")["Message-ID"], "<([0-9]+)@", 1).cast("bigint"))
+    return found.transform(fusion.extract).transform(records.process).select("msg_id", "block_id", *OUTPUT_COLUMNS)
+
+
+_SHORT = ["TIN", "Provider Name", "Provider NPI", "Roster Note", "Term Date"]
+
+
+@query("output_contract", f"""
+    {REC}, {FINAL_CTE}, n AS (SELECT count(*) AS n_rows FROM fin)
+    SELECT 'csv' AS written, 0 AS missing_columns, n_rows, n_rows > 0 AS ok FROM n UNION ALL SELECT 'parquet', 0, n_rows, n_rows > 0 FROM n
+    UNION ALL SELECT 'template', {len(OUTPUT_COLUMNS) - len(_SHORT) + 1}, n_rows, false FROM n UNION ALL SELECT 'empty', 0, 0, false""")
+def output_contract(spark, sf):
+    """Rosters written, read back and checked: CSV, Parquet, a template that lacks columns, and an empty one."""
+    base = shared_folder(spark, "output-contract")
+    whole = os.path.join(base, "records")
+    final_records(spark, sf).write.parquet(whole)
+    found = spark.read.parquet(whole)
+    checks = None
+    for name, rows, template, fmt in (
+        ("csv", found, None, "csv"), ("parquet", found, None, "parquet"), ("template", found, _SHORT, "csv"), ("empty", found.limit(0), None, "parquet"),
+    ):
+        path = os.path.join(base, name)
+        sinks.write_roster(rows, path, template, fmt)
+        out = sinks.read_roster(spark, path, fmt)
+        missing = len(set(records.column_names()) - set(out.columns))
+        one = out.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("written"), F.lit(missing).alias("missing_columns"), "n_rows",
+            F.lit(sinks.validate_output(spark, path, fmt=fmt)).alias("ok"))
+        checks = one if checks is None else checks.unionByName(one)
+    return checks
 
 
 @query("mail_stream", f"{REC}, {FINAL_CTE} SELECT msg_id, block_id, {_COLS} FROM fin")

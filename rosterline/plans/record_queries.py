@@ -534,14 +534,3 @@ _TEMPLATE = ["TIN", "Provider Name", "Provider NPI", "Roster Note", "Term Date"]
 def output_columns(spark, sf):
     """Projection to a template order; headings without a field hold the sentinel."""
     return records.to_output(final_records(spark, sf), _TEMPLATE)
-
-
-@query("output_contract", f"""
-    {REC}, {FINAL_CTE} SELECT 0 AS missing_columns, count(*) AS n_rows, count(*) > 0 AS ok FROM fin""")
-def output_contract(spark, sf):
-    """Output check: all expected columns there and at least one row."""
-    out = records.to_output(final_records(spark, sf))
-    missing = [h for h in OUTPUT_COLUMNS.values() if h not in out.columns]
-    return out.agg(F.lit(len(missing)).alias("missing_columns"), F.count("*").alias("n_rows")).withColumn(
-        "ok", F.expr("missing_columns = 0 AND n_rows > 0"))
-
