@@ -175,34 +175,42 @@ def host_of(url: str = "url"):
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Tokens of each page with their count: element paths, and texts under their path."""
+    """Tokens of each page with their count: element paths, and the first occurrence of each text under its path.
+
+    ``article`` marks paths that are an article element.  Texts inside articles are tokens like others.
+    """
 
     def run(batches):
         for b in batches:
             out = []
             for host, page in zip(b.column("host").to_pylist(), b.column("html")):
                 blocks, seen = read_page(page.as_py())
-                chars, linked, regions = Counter(), Counter(), {}
-                texts = Counter()
+                chars, linked, texts = Counter(), Counter(), Counter()
                 for x in blocks:
                     if not x.noise:
                         chars[x.path] += len(x.text)
                         linked[x.path] += min(x.linked, len(x.text))
-                        texts[(x.path, x.text)] += 1
-                        regions[x.path] = bool(x.region)
+                        texts[(x.path, x.text)] += len(x.text)
+                articles = {x.region for x in blocks if x.region}
                 key = hash_page(page.as_py())
                 for path, n in seen.items():
-                    out.append((host, path, None, n, key, chars[path], linked[path], regions.get(path, False)))
+                    out.append((host, path, None, n, key, chars[path], linked[path], path in articles))
                 for (path, text), n in texts.items():
-                    if not regions[path]:
-                        out.append((host, path, text, n, key, 0, 0, False))
+                    out.append((host, path, hash_text(text), 1, key, n, 0, False))
             if out:
-                names = ["host", "path", "text", "n", "page", "chars", "linked", "inside"]
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+                names = ["host", "path", "text", "n", "page", "chars", "linked", "article"]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return pages.select("host", "html").mapInArrow(
-        run, "host string, path string, text string, n long, page long, chars long, linked long, inside boolean")
+        run, "host string, path string, text long, n long, page long, chars long, linked long, article boolean")
+
+
+def hash_text(text: str) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def hash_page(page: str | None) -> int:
@@ -218,55 +226,60 @@ def templates(pages: DataFrame) -> DataFrame:
     its host.  It is never built: a token carries the number of its pages and
     an exclusive-or of hashes of (page, count), so tokens of equal vectors
     meet as an equivalence class although no task holds a host's pages.  Valid
-    classes are frequent (half of the host's pages, three at least).  Classes
-    of element paths nest by their paths; the innermost path that stands once
-    on each of its pages and holds most of the text that changes is the slot
-    of the article.  Frequent texts outside articles belong to the template.
+    classes are frequent (half of the host's pages, three at least).  Texts of
+    valid classes belong to the template, inside articles too.  Classes of
+    element paths nest by their paths; of the paths that stand once on each of
+    their pages and hold most of the text that changes, the slot of the
+    article is an article element if there is one, else the innermost.
     """
     tokens = page_tokens(pages)
     vector = [F.count("*").alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
-              F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("inside").alias("inside")]
+              F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("article").alias("article")]
     total = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     counted = (
-        tokens.groupBy("host", "path", F.xxhash64("text").alias("text"), F.col("text").isNotNull().alias("is_text")).agg(*vector)
+        tokens.groupBy("host", "path", "text").agg(*vector).withColumn("is_text", F.col("text").isNotNull())
         .filter(F.col("pages") >= PAGES).join(total, "host").filter(F.col("pages") >= FREQUENT * F.col("host_pages"))
     )
     frequent = settle(counted, "html-tokens")
     # equivalence classes: tokens of one vector; a class of a path that stands once per page can hold slots
     classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
     valid = frequent.join(classes, ["host", "vector", "pages"]).filter("size >= 2")
-    holders = valid.filter("not is_text and n = pages").select("host", F.col("path").alias("holder"))
+    holders = valid.filter("not is_text and n = pages").select("host", F.col("path").alias("holder"), "article")
+    # text that changes: that of a path without its template texts
+    same = valid.filter("is_text").groupBy("host", "path").agg(F.sum("chars").alias("same"))
+    slots = (
+        frequent.filter("not is_text and chars > 0 and linked < 0.5 * chars").join(same, ["host", "path"], "left")
+        .select("host", "path", (F.col("chars") - F.coalesce("same", F.lit(0))).alias("chars")).filter("chars > 0")
+    )
     # text of a path counts for the path and all above it; paths are short lists
     parts = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ">"))
-    slots = frequent.filter("not is_text and chars > 0 and linked < 0.5 * chars").withColumn("holder", F.explode(above))
-    volume = slots.groupBy("host", "holder").agg(F.sum("chars").alias("chars"))
-    all_text = frequent.filter("not is_text and linked < 0.5 * chars").groupBy("host").agg(F.sum("chars").alias("all_chars"))
+    volume = slots.withColumn("holder", F.explode(above)).groupBy("host", "holder").agg(F.sum("chars").alias("chars"))
+    all_text = slots.groupBy("host").agg(F.sum("chars").alias("all_chars"))
     region = (
         volume.join(holders, ["host", "holder"]).join(all_text, "host").filter("chars >= 0.6 * all_chars")
-        .groupBy("host").agg(F.max(F.struct(F.size(F.split("holder", ">")), "holder")).getField("holder").alias("region"))
+        .groupBy("host").agg(F.max(F.struct("article", F.size(F.split("holder", ">")), "holder")).getField("holder").alias("region"))
     )
     fixed = valid.filter("is_text").groupBy("host").agg(F.collect_set("text").alias("fixed"))
     return settle(total.select("host").join(region, "host", "left").join(fixed, "host", "left"), "html-templates")
 
 
 def main_text(blocks: list[Block], region: str | None, fixed: set[int], hash_text) -> str:
-    """Slots of a page that remain: inside its article element if it has one, else inside the host's slot, else all; never template texts or noise."""
-    clean = [b for b in blocks if not b.noise]
-    inside = [b for b in clean if b.region]
-    if inside:
-        return "\n".join(b.text for b in inside)
+    """Slots of a page that remain: the host's slot, without template texts or noise.
+
+    A page that lacks the slot, or a host without one, falls back to the
+    article element of the page, then to all its text that is not mostly
+    links; template texts are left out there too.
+    """
     chars, linked = Counter(), Counter()
-    for b in clean:
-        chars[b.path] += len(b.text)
-        linked[b.path] += min(b.linked, len(b.text))
-    clean = [b for b in clean if linked[b.path] < 0.5 * chars[b.path]]
-    if region:
-        held = [b for b in clean if b.path == region or b.path.startswith(region + ">")]
-        if held:
-            return "\n".join(b.text for b in held)
-    rest = [b for b in clean if hash_text(b.text) not in fixed]
-    return "\n".join(b.text for b in (rest or clean))
+    for b in blocks:
+        if not b.noise:
+            chars[b.path] += len(b.text)
+            linked[b.path] += min(b.linked, len(b.text))
+    clean = [b for b in blocks if not b.noise and (b.region or linked[b.path] < 0.5 * chars[b.path])]
+    held = [b for b in clean if region and (b.path == region or b.path.startswith(region + ">"))]
+    held = held or [b for b in clean if b.region] or clean
+    return "\n".join(b.text for b in held if hash_text(b.text) not in fixed)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -278,20 +291,16 @@ def extract(pages: DataFrame) -> DataFrame:
     themselves.  Repeated rows give equal results; an empty table gives an
     empty result; other columns are ignored.
     """
-    import xxhash
-
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
     known = templates(rows.filter("host is not null"))
     # small template tables are broadcast by their size on disk, others are joined by shuffle
     joined = rows.join(known, "host", "left")
 
     def run(batches):
-        hash_text = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 42)
-        sign = lambda h: h - (1 << 64) if h >> 63 else h
         for b in batches:
             texts = []
             for page, region, fixed in zip(b.column("html"), b.column("region").to_pylist(), b.column("fixed").to_pylist()):
-                texts.append(main_text(read_page(page.as_py())[0], region, set(fixed or ()), lambda t: sign(hash_text(t))))
+                texts.append(main_text(read_page(page.as_py())[0], region, set(fixed or ()), hash_text))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
