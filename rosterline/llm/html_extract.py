@@ -178,6 +178,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     """Tokens of each page with their count: element paths, and the first occurrence of each text under its path.
 
     ``article`` marks paths that are an article element.  Texts inside articles are tokens like others.
+    The empty path stands once for every page.
     """
 
     def run(batches):
@@ -192,7 +193,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                         linked[x.path] += min(x.linked, len(x.text))
                         texts[(x.path, x.text)] += len(x.text)
                 articles = {x.region for x in blocks if x.region}
-                key = hash_page(page.as_py())
+                key = hash_page(blocks)
+                out.append((host, "", None, 1, key, 0, 0, False))
                 for path, n in seen.items():
                     out.append((host, path, None, n, key, chars[path], linked[path], path in articles))
                 for (path, text), n in texts.items():
@@ -213,10 +215,9 @@ def hash_text(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def hash_page(page: str | None) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace")) - (1 << 63)
+def hash_page(blocks: list[Block]) -> int:
+    """Hash of what a page says beside its noise; equal for copies whose scripts, adverts or menus differ."""
+    return hash_text("\0".join(f"{b.path}\0{b.text}" for b in blocks if not b.noise))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -231,16 +232,19 @@ def templates(pages: DataFrame) -> DataFrame:
     element paths nest by their paths; of the paths that stand once on each of
     their pages and hold most of the text that changes, the slot of the
     article is an article element if there is one, else the innermost.
+
+    Copies of a page say nothing about the template: pages of equal content
+    count once per host.
     """
-    tokens = page_tokens(pages)
+    tokens = page_tokens(pages).groupBy("host", "path", "text", "page").agg(*[F.min(c).alias(c) for c in ("n", "chars", "linked", "article")])
     vector = [F.count("*").alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
               F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("article").alias("article")]
-    total = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    counted = (
+    counted = settle(
         tokens.groupBy("host", "path", "text").agg(*vector).withColumn("is_text", F.col("text").isNotNull())
-        .filter(F.col("pages") >= PAGES).join(total, "host").filter(F.col("pages") >= FREQUENT * F.col("host_pages"))
-    )
-    frequent = settle(counted, "html-tokens")
+        .filter((F.col("pages") >= PAGES) | (F.col("path") == "") & ~F.col("is_text")), "html-tokens")
+    whole = (F.col("path") == "") & ~F.col("is_text")
+    total = counted.filter(whole).select("host", F.col("pages").alias("host_pages"))
+    frequent = counted.filter(~whole).join(total, "host").filter(F.col("pages") >= FREQUENT * F.col("host_pages"))
     # equivalence classes: tokens of one vector; a class of a path that stands once per page can hold slots
     classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
     valid = frequent.join(classes, ["host", "vector", "pages"]).filter("size >= 2")

@@ -16,3 +16,14 @@ def test_template_texts_inside_articles(spark):
     assert [got[i] for i in range(8)] == [f"Title {i}\nstory {i} {long}" for i in range(8)]
     assert [got[20 + i] for i in range(8)] == [f"text {i} {long}" for i in range(8)]
     assert got[40] == "Send us your views"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies of one page hold more than half of a host's rows, exact and with another script; its text is no template text."""
+    page = "<html><body><div>Our site</div><div><p>{0}</p></div><script>track({1})</script><div>All rights</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format("the copied story " * 5, i // 2)) for i in range(12)]
+    rows += [(20 + i, f"http://h.example/x{i}", page.format(f"story {i} " * 9, i)) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert {got[i] for i in range(12)} == {("the copied story " * 5).strip()}
+    assert [got[20 + i] for i in range(5)] == [(f"story {i} " * 9).strip() for i in range(5)]
