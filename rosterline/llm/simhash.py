@@ -49,16 +49,27 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sized: int | None = None) -> DataFrame:
-    """``id``, ``fp`` (signed 64-bit) of every row, over whole texts; ``n`` counts its different ``sized``-word shingles (0 without ``sized``)."""
+    """``id``, ``fp`` (signed 64-bit) of every row, over whole texts; ``n`` counts its different ``sized``-word shingles, ``set`` is a hash of them (both 0 without ``sized``)."""
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             fp = pa.array([fingerprint(t, words) for t in texts], pa.int64())
-            n = pa.array([len(np.unique(shingle_hashes(t, sized))) if sized else 0 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), fp, n], ["id", "fp", "n"])
+            sets = [shingle_set(t, sized) if sized else None for t in texts]
+            n = pa.array([0 if x is None else len(x) for x in sets], pa.int64())
+            key = pa.array([0 if x is None else set_hash(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), fp, n, key], ["id", "fp", "n", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, n long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, n long, set long")
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(hashes.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Node:
@@ -168,14 +179,16 @@ def _signed(mask: int) -> int:
 def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float = 0.0) -> DataFrame:
     """``a``, ``b``, ``d``: links of distinct fingerprints (``rep``, ``fp``, ``n``) that connect all that are within the radius.
 
-    Links need counts ``n`` of which the smaller is ``size_ratio`` of the larger at least.
+    Links need counts of which the smaller is ``size_ratio`` of the larger at
+    least; a fingerprint of several sets has counts from ``n`` to ``most``.
 
     A shard holds the fingerprints that agree under one mask.  Its tree is
     sent to the query blocks of that shard only; a shard of many fingerprints
     is cut into trees and query blocks of bounded size, and every tree meets
     every block.
     """
-    sharded = classes.filter("rep is not null").select("rep", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
+    most = F.col("most" if "most" in classes.columns else "n").alias("most")
+    sharded = classes.filter("rep is not null").select("rep", "fp", "n", most, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
     at = ["m", "key", "i", "j"]
 
     def run(batches):
@@ -183,12 +196,13 @@ def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float =
             starts = group_starts(b, at)
             ends = np.append(starts[1:], len(b))
             many = ends - starts > 1
-            rep, fp, size = b["rep"].to_numpy(), b["fp"].to_numpy().view("u8"), b["n"].to_numpy()
+            rep, fp, few, most = b["rep"].to_numpy(), b["fp"].to_numpy().view("u8"), b["n"].to_numpy(), b["most"].to_numpy()
             own, i, j = (b[c].to_numpy() for c in ("own", "i", "j"))
             out = []
             for s, e in zip(starts[many], ends[many]):
-                n = size[s:e].tolist()
-                near = forest(fp[s:e].tolist(), own[s:e], i[s], j[s], radius, lambda x, y: min(n[x], n[y]) >= size_ratio * max(n[x], n[y]))
+                low, high = few[s:e].tolist(), most[s:e].tolist()
+                near = forest(fp[s:e].tolist(), own[s:e], i[s], j[s], radius,
+                              lambda x, y: high[x] >= size_ratio * low[y] and high[y] >= size_ratio * low[x])
                 out += [(rep[s + x], rep[s + y], d) for x, y, d in near]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b", "d"])
@@ -196,29 +210,38 @@ def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float =
     return cells(sharded, ["m", "key"], "rep", BLOCK).mapInPandas(run, "a long, b long, d int").distinct()
 
 
-def similar_links(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int, words: int,
+def similar_links(found: DataFrame, spots: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int, words: int,
                   similarity: float) -> DataFrame:
     """``a``, ``b``: links that join all texts of a candidate group which are within the radius and similar.
 
-    A candidate group is a component of ``found``.  Its members, each with the
-    different hashes of its whole text's ``words``-word shingles, meet in cells
+    A candidate group is a component of ``found``, or a fingerprint that
+    several shingle sets share.  Its members are the classes, each with the
+    different hashes of its whole text's ``words``-word shingles; they meet in cells
     of two blocks of 256.  In a cell every pair of fingerprints within the
     radius is compared by the exact Jaccard similarity, nearest first, unless
     links found there already join the two; no pair of texts leaves its task.
     """
-    groups = components(found.select("a", "b")).withColumnRenamed("node", "rep").join(classes.select("rep", "fp"), "rep")
+    parts = components(found.select("a", "b")).withColumnRenamed("node", "rep")
+    groups = (
+        spots.join(parts, "rep", "left").filter("component is not null or sets > 1")
+        .select("fp", F.coalesce("component", "rep").alias("component"))
+    )
+    wanted = classes.filter("rep is not null").select("rep", "fp", "set").join(groups, "fp")
     texts = (
         docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-        .join(groups.hint("merge"), "rep").dropDuplicates(["rep"])
+        .join(wanted.hint("merge"), "rep").withColumn("same", F.xxhash64("text")).dropDuplicates(["rep", "fp", "set", "same"])
     )
 
     def hashes(batches):
         for b in batches:
-            sets = pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("fp"), b.column("component"), sets], ["rep", "fp", "component", "sets"])
+            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
+            # rows that repeat an id may hold other texts than the class
+            own = pa.array([set_hash(x) == k for x, k in zip(sets, b.column("set").to_pylist())], pa.bool_())
+            sets = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("fp"), b.column("component"), sets], ["rep", "fp", "component", "sets"]).filter(own)
 
     members = settle(
-        texts.select("rep", "fp", "component", "text").mapInArrow(hashes, "rep long, fp long, component long, sets binary"), "near-texts")
+        texts.select("rep", "fp", "component", "set", "text").mapInArrow(hashes, "rep long, fp long, component long, sets binary"), "near-texts")
     at = ["component", "i", "j"]
 
     def compare(batches):
@@ -248,25 +271,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     keys: int | None = None, similarity: float | None = None, check_words: int = 5) -> DataFrame:
     """``id``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
 
-    Equal fingerprints are one class.  Fingerprints within ``radius`` bits
-    link: without ``keys`` exactly, by block keys that miss none; with
-    ``keys`` by so many random bit samples, for large radii.  With
-    ``similarity``, links between different fingerprints must also reach that
-    Jaccard similarity of their ``check_words``-word shingles.
+    Without ``similarity`` equal fingerprints are one class.  Fingerprints
+    within ``radius`` bits link: without ``keys`` exactly, by block keys that
+    miss none; with ``keys`` by so many random bit samples, for large radii.
+    With ``similarity`` a class is a fingerprint and a set of ``check_words``-word
+    shingles, and links between different sets, of one fingerprint too, must
+    also reach that Jaccard similarity.
 
     Null and blank texts have fingerprint 0, linked like any other.  Rows that
     repeat an id are one document; their component is the smallest of theirs.
     An empty table gives an empty result.  Other columns are ignored.
     """
     fps = settle(fingerprints(docs, id_col, text_col, words, check_words if similarity is not None else None), "fingerprints")
-    classes = settle(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("n")), "fingerprint-classes")
-    masks = sampled_masks(classes.count(), keys) if keys else exact_masks(radius)
-    found = links(classes, radius, masks, similarity or 0.0)
+    classes = settle(fps.groupBy("fp", "set").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("n")), "fingerprint-classes")
+    spots = classes
+    if similarity is not None:
+        spots = settle(classes.groupBy("fp").agg(
+            F.min("rep").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets")), "fingerprint-spots")
+    masks = sampled_masks(spots.count(), keys) if keys else exact_masks(radius)
+    found = links(spots, radius, masks, similarity or 0.0)
     if similarity is not None:
-        found = similar_links(found, classes, docs, id_col, text_col, radius, check_words, similarity)
+        found = similar_links(found, spots, classes, docs, id_col, text_col, radius, check_words, similarity)
     parts = components(found.select("a", "b"))
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("id", "fp", "component_id")
+    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "set", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, ["fp", "set"], "left").select("id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = 10, keys: int = 32, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -274,7 +302,8 @@ def deduplicated(docs: DataFrame, radius: int = 10, keys: int = 32, similarity:
 
     Candidates are fingerprints (three-word shingles) within ``radius`` bits;
     copies are texts whose five-word shingles have a Jaccard similarity of 0.8
-    or more, and texts of one fingerprint.  Rows without a doc_id stay.
+    or more, whether or not their fingerprints are equal.  Rows without a
+    doc_id stay.
     """
     near = near_duplicates(docs.filter("doc_id is not null"), words=3, radius=radius, keys=keys, similarity=similarity, check_words=words)
     gone = settle(near.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "near-copies")

@@ -1,6 +1,8 @@
 """Inputs on which the training-data operators once did less than the whole job."""
 
-from rosterline.llm import html_extract
+import random
+
+from rosterline.llm import html_extract, simhash
 
 
 def test_template_texts_inside_articles(spark):
@@ -27,3 +29,17 @@ def test_copies_of_a_page_are_no_template(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
     assert {got[i] for i in range(12)} == {("the copied story " * 5).strip()}
     assert [got[20 + i] for i in range(5)] == [(f"story {i} " * 9).strip() for i in range(5)]
+
+
+def test_equal_fingerprints_are_compared(spark):
+    """Texts that one repeated word rules have equal fingerprints; only those of similar text are copies, also of other texts than the first."""
+    rng = random.Random(4)
+    other = lambda: " ".join(f"x{rng.randrange(10**6)}" for _ in range(50))
+    texts = ["ha " * 60 + other() for _ in range(6)]
+    texts.append(texts[3] + " end")
+    texts += [texts[2], " ".join(texts[2].split()).upper()]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, radius=10, keys=8, similarity=0.8).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 3, 7: 2, 8: 2}
+    assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == set(range(6))
