@@ -20,6 +20,12 @@ ship(__name__)
 
 #: fingerprints of one tree, and queries sent to it at a time
 BLOCK = 1024
+#: unrelated fingerprints in a shard of sampled bits
+SHARD = 1024
+#: the same as BLOCK where pairs are compared in rows
+WIDE_BLOCK = 4096
+#: radius from which a tree rules out next to nothing and pairs are compared in rows
+WIDE = 5
 #: documents of a block in which texts are compared
 TEXTS = 256
 #: shingles that are expanded to bits at a time
@@ -48,8 +54,29 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h)).view("<i8")[0])
 
 
+#: odd multipliers of the 64 hash functions of a sketch
+MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> int:
+    """Signed 64 bits, one of the smallest hash under each of 64 functions; a bit differs with half the Jaccard distance of two sets; 0 for none."""
+    if not len(hashes):
+        return 0
+    low = np.full(64, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for s in range(0, len(hashes), 1024):
+        low = np.minimum(low, (hashes[s:s + 1024, None] * MULTIPLIERS).min(0))
+    bits = ((low ^ low >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(bool)
+    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+
+
+def sketch_limit(similarity: float) -> int:
+    """Differing sketch bits of pairs of the similarity: their mean and four standard deviations."""
+    p = (1 - similarity) / 2
+    return math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sized: int | None = None) -> DataFrame:
-    """``id``, ``fp`` (signed 64-bit) of every row, over whole texts; ``n`` counts its different ``sized``-word shingles, ``set`` is a hash of them (both 0 without ``sized``)."""
+    """``id``, ``fp`` (signed 64-bit) of every row, over whole texts; ``n`` counts its different ``sized``-word shingles, ``set`` is a hash and ``sketch`` a sketch of them (all 0 without ``sized``)."""
 
     def run(batches):
         for b in batches:
@@ -58,9 +85,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sets = [shingle_set(t, sized) if sized else None for t in texts]
             n = pa.array([0 if x is None else len(x) for x in sets], pa.int64())
             key = pa.array([0 if x is None else set_hash(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), fp, n, key], ["id", "fp", "n", "set"])
+            drawn = pa.array([0 if x is None else sketch(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), fp, n, key, drawn], ["id", "fp", "n", "set", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, n long, set long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, n long, set long, sketch long")
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -148,6 +176,35 @@ def forest(values: list[int], own: np.ndarray, i: int, j: int, radius: int, acce
     return out
 
 
+def scan(values: np.ndarray, own: np.ndarray, i: int, j: int, radius: int, few: np.ndarray, most: np.ndarray, ratio: float,
+         drawn: np.ndarray, limit: int, loose: np.ndarray) -> list[tuple[int, int, int]]:
+    """A forest as ``forest`` gives, nearest not first: every pair is compared, 256 rows at a time.
+
+    Counts may differ by ``ratio``, sketches by ``limit`` bits; ``loose`` rows have several sketches.
+    """
+    rows = np.flatnonzero(own == i) if i != j else np.arange(len(values))
+    cols = np.flatnonzero(own == j) if i != j else rows
+    top, out = np.arange(len(values)), []
+    for s in range(0, len(rows), 256):
+        part = rows[s:s + 256]
+        d = np.bitwise_count(values[part][:, None] ^ values[cols][None, :])
+        near = (d <= radius) & (most[part][:, None] >= ratio * few[cols][None, :]) & (most[cols][None, :] >= ratio * few[part][:, None])
+        if limit < 64:
+            apart = np.bitwise_count(drawn[part][:, None] ^ drawn[cols][None, :]) > limit
+            near &= ~apart | loose[part][:, None] | loose[cols][None, :]
+        if i == j:
+            near &= cols[None, :] > part[:, None]
+        for x in np.flatnonzero(near.any(1)):
+            row, at = part[x], np.flatnonzero(near[x])
+            roots, first = np.unique(top[cols[at]], return_index=True)
+            fresh = roots != top[row]
+            if fresh.any():
+                out += [(int(row), int(cols[y]), int(d[x, y])) for y in at[first[fresh]]]
+                joined = np.append(roots, top[row])
+                top[np.isin(top, joined)] = joined.min()
+    return out
+
+
 def exact_masks(radius: int) -> list[int]:
     """Shard keys that miss no pair within the radius.
 
@@ -160,14 +217,17 @@ def exact_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def sampled_masks(n: int, keys: int, seed: int = 3) -> list[int]:
+def sampled_masks(n: int, radius: int, miss: float, seed: int = 3) -> list[int]:
     """Shard keys of randomly drawn bit positions, for radii at which whole blocks would be too short.
 
-    log2(n) + 2 bits leave unrelated values nearly alone in a shard; d
-    differing bits are missed by all keys with probability
-    (1 - (1 - d/64) ** bits) ** keys.
+    A sample of b of the 64 bits misses d differing bits with the probability
+    C(64 - d, b) / C(64, b).  b keeps about ``SHARD`` unrelated values in a
+    shard, and there are as many samples as it takes that all of them miss a
+    pair at the radius with a probability of ``miss`` at most, at every n.
     """
-    bits = min(48, max(16, math.ceil(math.log2(max(n, 2))) + 2))
+    bits = min(48, max(8, math.ceil(math.log2(max(n, 2) / SHARD))))
+    hit = math.comb(64 - radius, bits) / math.comb(64, bits)
+    keys = max(1, math.ceil(math.log(miss) / math.log1p(-hit))) if hit < 1 else 1
     rng = np.random.default_rng(seed)
     return [sum(1 << int(p) for p in rng.choice(64, bits, replace=False)) for _ in range(keys)]
 
@@ -176,11 +236,12 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float = 0.0) -> DataFrame:
+def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float = 0.0, limit: int = 64) -> DataFrame:
     """``a``, ``b``, ``d``: links of distinct fingerprints (``rep``, ``fp``, ``n``) that connect all that are within the radius.
 
     Links need counts of which the smaller is ``size_ratio`` of the larger at
     least; a fingerprint of several sets has counts from ``n`` to ``most``.
+    With ``limit``, sketches of single sets differ in at most so many bits.
 
     A shard holds the fingerprints that agree under one mask.  Its tree is
     sent to the query blocks of that shard only; a shard of many fingerprints
@@ -188,7 +249,9 @@ def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float =
     every block.
     """
     most = F.col("most" if "most" in classes.columns else "n").alias("most")
-    sharded = classes.filter("rep is not null").select("rep", "fp", "n", most, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
+    drawn = (F.col("sketch") if limit < 64 else F.lit(0).cast("long")).alias("sketch")
+    loose = (F.col("loose") if limit < 64 else F.lit(True)).alias("loose")
+    sharded = classes.filter("rep is not null").select("rep", "fp", "n", most, drawn, loose, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
     at = ["m", "key", "i", "j"]
 
     def run(batches):
@@ -198,8 +261,13 @@ def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float =
             many = ends - starts > 1
             rep, fp, few, most = b["rep"].to_numpy(), b["fp"].to_numpy().view("u8"), b["n"].to_numpy(), b["most"].to_numpy()
             own, i, j = (b[c].to_numpy() for c in ("own", "i", "j"))
+            drawn, loose = b["sketch"].to_numpy().view("u8"), b["loose"].to_numpy()
             out = []
             for s, e in zip(starts[many], ends[many]):
+                if radius >= WIDE:
+                    near = scan(fp[s:e], own[s:e], i[s], j[s], radius, few[s:e], most[s:e], size_ratio, drawn[s:e], limit, loose[s:e])
+                    out += [(rep[s + x], rep[s + y], d) for x, y, d in near]
+                    continue
                 low, high = few[s:e].tolist(), most[s:e].tolist()
                 near = forest(fp[s:e].tolist(), own[s:e], i[s], j[s], radius,
                               lambda x, y: high[x] >= size_ratio * low[y] and high[y] >= size_ratio * low[x])
@@ -207,7 +275,7 @@ def links(classes: DataFrame, radius: int, masks: list[int], size_ratio: float =
             if out:
                 yield pd.DataFrame(out, columns=["a", "b", "d"])
 
-    return cells(sharded, ["m", "key"], "rep", BLOCK).mapInPandas(run, "a long, b long, d int").distinct()
+    return cells(sharded, ["m", "key"], "rep", WIDE_BLOCK if radius >= WIDE else BLOCK).mapInPandas(run, "a long, b long, d int").distinct()
 
 
 def similar_links(found: DataFrame, spots: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int, words: int,
@@ -268,12 +336,13 @@ def similar_links(found: DataFrame, spots: DataFrame, classes: DataFrame, docs:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2,
-                    keys: int | None = None, similarity: float | None = None, check_words: int = 5) -> DataFrame:
+                    miss: float | None = None, similarity: float | None = None, check_words: int = 5) -> DataFrame:
     """``id``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
 
     Without ``similarity`` equal fingerprints are one class.  Fingerprints
-    within ``radius`` bits link: without ``keys`` exactly, by block keys that
-    miss none; with ``keys`` by so many random bit samples, for large radii.
+    within ``radius`` bits link: without ``miss`` exactly, by block keys that
+    miss none; with ``miss`` by random bit samples that miss a pair at the
+    radius with that probability at most, whatever the size, for large radii.
     With ``similarity`` a class is a fingerprint and a set of ``check_words``-word
     shingles, and links between different sets, of one fingerprint too, must
     also reach that Jaccard similarity.
@@ -283,13 +352,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.  Other columns are ignored.
     """
     fps = settle(fingerprints(docs, id_col, text_col, words, check_words if similarity is not None else None), "fingerprints")
-    classes = settle(fps.groupBy("fp", "set").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("n")), "fingerprint-classes")
+    classes = settle(fps.groupBy("fp", "set").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("n"), F.min_by("sketch", "id").alias("sketch")), "fingerprint-classes")
     spots = classes
     if similarity is not None:
         spots = settle(classes.groupBy("fp").agg(
-            F.min("rep").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets")), "fingerprint-spots")
-    masks = sampled_masks(spots.count(), keys) if keys else exact_masks(radius)
-    found = links(spots, radius, masks, similarity or 0.0)
+            F.min("rep").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets"),
+            F.min("sketch").alias("sketch"), (F.count("*") > 1).alias("loose")), "fingerprint-spots")
+    masks = sampled_masks(spots.count(), radius, miss) if miss else exact_masks(radius)
+    found = links(spots, radius, masks, similarity or 0.0, sketch_limit(similarity) if miss and similarity is not None else 64)
     if similarity is not None:
         found = similar_links(found, spots, classes, docs, id_col, text_col, radius, check_words, similarity)
     parts = components(found.select("a", "b"))
@@ -297,14 +367,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, ["fp", "set"], "left").select("id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = 10, keys: int = 32, similarity: float = 0.8, words: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = 14, miss: float = 0.05, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """The documents without those that are a near copy of one with a smaller ``doc_id``; columns as they came.
 
-    Candidates are fingerprints (three-word shingles) within ``radius`` bits;
+    Candidates are fingerprints (three-word shingles) within ``radius`` bits,
+    of which at most ``miss`` go unfound at the radius, whatever the size;
     copies are texts whose five-word shingles have a Jaccard similarity of 0.8
     or more, whether or not their fingerprints are equal.  Rows without a
     doc_id stay.
     """
-    near = near_duplicates(docs.filter("doc_id is not null"), words=3, radius=radius, keys=keys, similarity=similarity, check_words=words)
+    near = near_duplicates(docs.filter("doc_id is not null"), words=3, radius=radius, miss=miss, similarity=similarity, check_words=words)
     gone = settle(near.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -1,5 +1,6 @@
 """Inputs on which the training-data operators once did less than the whole job."""
 
+import math
 import random
 
 from rosterline.llm import html_extract, simhash
@@ -40,6 +41,38 @@ def test_equal_fingerprints_are_compared(spark):
     texts += [texts[2], " ".join(texts[2].split()).upper()]
     assert len({simhash.fingerprint(t) for t in texts}) == 1
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, radius=10, keys=8, similarity=0.8).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, radius=10, miss=0.05, similarity=0.8).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 3, 7: 2, 8: 2}
     assert {r["doc_id"] for r in simhash.deduplicated(docs).collect()} == set(range(6))
+
+
+def test_bit_samples_keep_their_miss():
+    """Whatever the number of fingerprints, all samples together miss a pair at the radius with the stated probability at most."""
+    rng = random.Random(6)
+    for n in (1000, 46_000, 230_000, 14_000_000):
+        masks = simhash.sampled_masks(n, 14, 0.05)
+        bits = masks[0].bit_count()
+        assert (1 - math.comb(50, bits) / math.comb(64, bits)) ** len(masks) <= 0.05
+        apart = [sum(1 << b for b in rng.sample(range(64), 14)) for _ in range(2000)]
+        assert sum(all(m & d for m in masks) for d in apart) <= 0.08 * len(apart)
+
+
+def test_near_copies_at_the_bound():
+    """Texts at five-word Jaccard 0.8 lie within the radius and the sketch's limit."""
+    rng = random.Random(8)
+    lost = 0
+    for _ in range(200):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        a, turn = simhash.shingle_set(" ".join(words), 5), list(words)
+        while True:
+            trial = list(turn)
+            trial[rng.randrange(300)] = "new"
+            b = simhash.shingle_set(" ".join(trial), 5)
+            both = len(set(a) & set(b))
+            if both < 0.8 * (len(a) + len(b) - both):
+                break
+            turn, c = trial, b
+        x, y = simhash.fingerprint(" ".join(words)), simhash.fingerprint(" ".join(turn))
+        far = ((x ^ y) & (2**64 - 1)).bit_count() > 14
+        lost += far or ((simhash.sketch(a) ^ simhash.sketch(c)) & (2**64 - 1)).bit_count() > simhash.sketch_limit(0.8)
+    assert lost <= 6
