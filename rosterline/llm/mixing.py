@@ -62,8 +62,10 @@ def _key(seed: int, pref: Column) -> Column:
 
 
 def cuts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 5,
-         size: Column | None = None, preference: Column | None = None, fills: int = 4) -> DataFrame:
-    """What the mix takes of each source: ``source``, ``source_size``, ``target``, ``whole``, ``p``, ``cut``, ``cut_id``, ``filled``.
+         size: Column | None = None, preference: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of each source: ``source``, ``source_size``, ``target``, ``whole``, ``p``, ``cut``, ``cut_id``, ``rounds``.
+
+    The second frame has the ``words`` of documents of several rows that lie beyond the cut (``source``, ``doc_id``, ``pref``).
 
     A source of size S and target T takes every document r = T/S times on
     average: floor(r) whole copies for certain, and one more for a sample of
@@ -71,9 +73,11 @@ def cuts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     uniform on (0, 1) from a hash of the document and inclusion probability p,
     documents are ranked by (u / (1 - u)) / (p / (1 - p)) and taken in that
     order up to the words that remain.  p is the fractional part of r;
-    ``preference`` multiplies its odds per document.  The gap that the last
-    whole document leaves is filled, largest document first, by at most
-    ``fills`` documents per source out of order.
+    ``preference`` multiplies its odds per document.  A document that does not
+    fit is stepped over: the later ranks, without documents larger than the
+    gap, are cut again by the gap, until no later document fits.  A round is
+    the ranks it covers and the largest size it may take, so a row can tell
+    by itself whether it is drawn.
 
     The cut is found without sorting a source in one task: words are summed in
     4,096 cells of the rank key per source, three times finer each time, and
@@ -81,33 +85,46 @@ def cuts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     rows = docs.select("doc_id", "source", (word_count() if size is None else size).alias("size"),
                        (F.lit(1.0) if preference is None else preference).cast("double").alias("pref"))
-    units = settle(rows.groupBy("source", "doc_id", "pref").agg(F.sum("size").alias("words")), "mix-units")
+    units = settle(rows.groupBy("source", "doc_id", "pref").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-units")
     goal = targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = settle(goal.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)), "mix-targets")
     ranked = settle(
         units.join(goal.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
-        .select("source", "doc_id", "words", _key(seed, F.col("pref")).alias("key"),
+        .select("source", "doc_id", "pref", "words", "n", _key(seed, F.col("pref")).alias("key"),
                 (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")), "mix-ranks")
-    found = _cut(ranked, fills).drop("gap")
-    return settle(
+    found, beyond = _rounds(ranked)
+    plan = settle(
         goal.alias("g").join(found.withColumnRenamed("source", "source_"), F.col("g.source").eqNullSafe(F.col("source_")), "left").drop("source_"),
         "mix-cuts")
+    return plan, settle(beyond.filter("n > 1").select("source", "doc_id", "pref", "words"), "mix-repeated")
 
 
-def taken(docs: DataFrame, plan: DataFrame, seed: int = 5, preference: Column | None = None) -> DataFrame:
+def taken(docs: DataFrame, plan: DataFrame, repeated: DataFrame, size: Column, seed: int = 5, preference: Column | None = None) -> DataFrame:
     """The rows with ``copies`` and their source's ``source_size`` and ``target``.
 
-    Whether a row is drawn follows from its own hash and its source's row of
-    ``plan``, so texts are not shuffled unless the plan is too large to be
-    broadcast (the planner knows its size).
+    Whether a row is drawn follows from its own hash and size and its source's
+    row of ``plan``; only documents of several rows have their size in
+    ``repeated``.  Texts are not shuffled unless one of these is too large to
+    be broadcast (the planner knows their size).
     """
-    pref = (F.lit(1.0) if preference is None else preference).cast("double")
-    key = _key(seed, pref)
-    drawn = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("doc_id") <= F.col("cut_id"))) | F.array_contains("filled", F.col("doc_id"))
-    joined = docs.join(plan.withColumnRenamed("source", "_source"), docs["source"].eqNullSafe(F.col("_source")))
-    return joined.withColumn("copies", (F.col("whole") + F.coalesce(drawn.cast("long"), F.lit(0))).cast("long")).drop(
-        "_source", "whole", "p", "cut", "cut_id", "filled")
+    rows = docs.withColumn("_size", size).withColumn("_pref", (F.lit(1.0) if preference is None else preference).cast("double"))
+    rows = rows.join(plan.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")))
+    sums = repeated.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("pref").alias("_p"), F.col("words").alias("_words"))
+    rows = rows.join(
+        sums, (rows["doc_id"] == F.col("_d")) & rows["source"].eqNullSafe(F.col("_s")) & rows["_pref"].eqNullSafe(F.col("_p")), "left")
+    rows = rows.withColumn("_key", _key(seed, F.col("_pref"))).withColumn("_words", F.coalesce("_words", "_size"))
+    drawn = (F.col("_key") < F.col("cut")) | ((F.col("_key") == F.col("cut")) & (F.col("doc_id") <= F.col("cut_id"))) | (
+        (F.col("_words") > 0) & F.exists("rounds", lambda r: (
+            (F.col("_words") <= r["largest"]) & _beyond("_key", r["low"], r["low_id"])
+            & ((F.col("_key") < r["cut"]) | ((F.col("_key") == r["cut"]) & (F.col("doc_id") <= r["cut_id"]))))))
+    return rows.withColumn("copies", (F.col("whole") + F.coalesce(drawn.cast("long"), F.lit(0))).cast("long")).drop(
+        "_source", "whole", "p", "cut", "cut_id", "rounds", "_s", "_d", "_p", "_words", "_size", "_pref", "_key")
+
+
+def _beyond(key: str, cut: Column, cut_id: Column) -> Column:
+    """Whether a document ranks after a cut; those without an id do not."""
+    return (F.col("doc_id").isNotNull()) & ((F.col(key) > cut) | ((F.col(key) == cut) & (F.col("doc_id") > cut_id)))
 
 
 def mix(docs: DataFrame, seed: int = 5, size: Column | None = None, preference: Column | None = None, **options) -> DataFrame:
@@ -122,8 +139,8 @@ def mix(docs: DataFrame, seed: int = 5, size: Column | None = None, preference:
     narrow = settle(
         docs.select("doc_id", "source", (word_count() if size is None else size).alias("size"),
                     (F.lit(1.0) if preference is None else preference).cast("double").alias("pref")), "mix-sizes")
-    plan = cuts(narrow, seed=seed, size=F.col("size"), preference=F.col("pref"), **options)
-    return taken(narrow, plan, seed, F.col("pref")).select(
+    plan, repeated = cuts(narrow, seed=seed, size=F.col("size"), preference=F.col("pref"), **options)
+    return taken(narrow, plan, repeated, F.col("size"), seed, F.col("pref")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -133,13 +150,46 @@ def _prefix(cells: DataFrame, by: list[str], order: str) -> DataFrame:
     return cells.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
 
 
-def _cut(ranked: DataFrame, fills: int) -> DataFrame:
-    """``source``, ``cut``, ``cut_id``, ``filled``: per source the last rank taken in order, and documents taken to fill the gap."""
+def _rounds(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``source``, ``cut``, ``cut_id``, ``rounds`` per source, and the documents beyond the first cut.
+
+    Each round passes over the document at its end, which is larger than the
+    gap that is left, and all others larger than that gap.
+    """
     live = ranked.filter((F.col("rest") > 0) & (F.col("key") < 1.0))
-    # three refinements: the range that holds the cut is divided into cells, and the cell that holds it is the next range
+    state = _cut(live.select("source", "doc_id", "words", "key", "rest")).withColumn("low", F.col("cut")).withColumn("low_id", F.col("cut_id")) \
+        .withColumn("rounds", F.expr("cast(array() as array<struct<low:double,low_id:long,largest:long,cut:double,cut_id:long>>)"))
+    first = state
+
+    def after(documents, places):
+        c = places.select(F.col("source").alias("source_"), "gap", "low", "low_id")
+        return documents.join(c, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").filter(_beyond("key", F.col("low"), F.col("low_id")))
+
+    beyond = after(live.drop("rest"), first).drop("gap", "low", "low_id")
+    left = beyond.select("source", "doc_id", "words", "key").filter("words > 0")
+    while True:
+        left = settle(
+            after(left, state).filter("words <= gap").select("source", "doc_id", "words", "key", F.col("gap").cast("double").alias("rest")), "mix-left")
+        if left.isEmpty():
+            break
+        found = _cut(left, 2).select(F.col("source").alias("s"), F.col("cut").alias("c"), F.col("cut_id").alias("i"), F.col("gap").alias("g"), F.lit(True).alias("found"))
+        state = settle(
+            state.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select(
+                "source", "cut", "cut_id",
+                F.when(F.col("found"), F.concat("rounds", F.array(F.struct(
+                    "low", "low_id", F.floor("gap").cast("long").alias("largest"), F.col("c").alias("cut"), F.col("i").alias("cut_id")))))
+                .otherwise(F.col("rounds")).alias("rounds"),
+                F.coalesce("g", "gap").alias("gap"), F.coalesce("c", "low").alias("low"), F.coalesce("i", "low_id").alias("low_id")), "mix-cut")
+        left = left.drop("rest")
+    return state.select("source", "cut", "cut_id", "rounds"), beyond
+
+
+def _cut(live: DataFrame, refinements: int = 3) -> DataFrame:
+    """``source``, ``cut``, ``cut_id``, ``gap``: per source the last rank taken in order, and the words then left."""
+    # refinements: the range that holds the cut is divided into cells, and the cell that holds it is the next range
     bounds = live.groupBy("source").agg(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0).cast("long").alias("base"),
                                         F.first("rest").alias("rest"))
-    for _ in range(3):
+    for _ in range(refinements):
         bounds = settle(bounds, "mix-bounds")
         inside = live.drop("rest").join(bounds, live["source"].eqNullSafe(bounds["source"])).drop(bounds["source"]) \
             .filter("key >= low and key < high")
@@ -161,29 +211,16 @@ def _cut(ranked: DataFrame, fills: int) -> DataFrame:
     w = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = near.filter("key >= low and key < high").withColumn("run", F.col("base") + F.sum("words").over(w)).filter("run <= rest") \
         .groupBy("source").agg(F.max(F.struct("run", "key", "doc_id")).alias("m"))
-    cut = settle(
+    return settle(
         bounds.alias("b").join(last.alias("l"), F.col("b.source").eqNullSafe(F.col("l.source")), "left").select(
             "b.source", F.coalesce("l.m.key", "b.low").alias("cut"), F.coalesce("l.m.doc_id", F.lit(-(1 << 63))).alias("cut_id"),
-            (F.col("b.rest") - F.coalesce("l.m.run", "b.base")).alias("gap"), F.array().cast("array<long>").alias("filled")), "mix-cut")
-    after = live.select("source", "doc_id", "words", "key")
-    for _ in range(fills):
-        c = cut.withColumnRenamed("source", "source_")
-        fit = (
-            after.join(c, F.col("source").eqNullSafe(F.col("source_")))
-            .filter("words > 0 and words <= gap and (key > cut or key = cut and doc_id > cut_id) and not array_contains(filled, doc_id)")
-            .groupBy("source").agg(F.max(F.struct("words", -F.col("key"), "doc_id")).alias("m")).withColumnRenamed("source", "s")
-        )
-        cut = settle(
-            c.join(fit, F.col("source_").eqNullSafe(F.col("s")), "left").select(
-                F.col("source_").alias("source"), "cut", "cut_id", (F.col("gap") - F.coalesce("m.words", F.lit(0))).alias("gap"),
-                F.when(F.col("m").isNull(), F.col("filled")).otherwise(F.concat("filled", F.array("m.doc_id"))).alias("filled")), "mix-cut")
-    return cut
+            (F.col("b.rest") - F.coalesce("l.m.run", "b.base")).alias("gap")), "mix-cut")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 5, **options) -> DataFrame:
     """The documents, each as often as the mix takes it; columns as they came.  Copies repeat the row."""
-    plan = cuts(docs, seed=seed, **options)
+    plan, repeated = cuts(docs, seed=seed, **options)
     columns = docs.columns
-    rows = taken(docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "doc_id", "source"), plan, seed)
+    rows = taken(docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "doc_id", "source"), plan, repeated, word_count("_row.text"), seed)
     repeated = rows.select("_row", F.explode(F.expr("if(copies > 0, sequence(1, copies), cast(array() as array<bigint>))")).alias("_copy"))
     return repeated.select("_row.*")

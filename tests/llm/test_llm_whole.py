@@ -3,7 +3,7 @@
 import math
 import random
 
-from rosterline.llm import html_extract, simhash
+from rosterline.llm import html_extract, mixing, simhash
 
 
 def test_template_texts_inside_articles(spark):
@@ -76,3 +76,24 @@ def test_near_copies_at_the_bound():
         far = ((x ^ y) & (2**64 - 1)).bit_count() > 14
         lost += far or ((simhash.sketch(a) ^ simhash.sketch(c)) & (2**64 - 1)).bit_count() > simhash.sketch_limit(0.8)
     assert lost <= 6
+
+
+def test_gaps_are_filled_by_later_ranks(spark):
+    """Documents that do not fit are stepped over, however many others it takes to come near the target."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(1, 150), "s") for i in range(600)] + [(1000 + i, "w " * 50_000, "s") for i in range(2)]
+    rows += [(300, "w " * 40, "s"), (301, "w " * 70, "s"), (None, "w " * 5, "s"), (2000, "w " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for seed in (1, 2):
+        got = mixing.mix(docs, seed=seed, weights=(1,), share=0.25)
+        mine = [r for r in got.collect() if r["source"] == "s"]
+        target = mine[0]["target"]
+        taken = sum(r["taken"] for r in mine)
+        units = {}
+        for r in mine:
+            units.setdefault(r["doc_id"], []).append(r)
+        assert all(len({r["copies"] for r in u}) == 1 for u in units.values())
+        open_ = [sum(r["size"] for r in u) for i, u in units.items() if i is not None and not u[0]["copies"]]
+        assert taken <= target and all(taken + n > target for n in open_)
+        again = mixing.mixed_documents(docs, seed=seed, weights=(1,), share=0.25)
+        assert again.count() == got.agg({"copies": "sum"}).first()[0]
