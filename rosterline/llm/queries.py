@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html_extract, lengths, mixing, packing, sharding, simhash, toxicity, warc
+from . import align, ann, embed_dedup, html_extract, lengths, maxscore, mixing, packing, runs, sharding, simhash, toxicity, warc
 from .common import ship, table
 
 ship(__name__)
@@ -72,6 +73,38 @@ def op10_html_main_text(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def stretched(doc_id: int, words: list[bytes]) -> list[bytes]:
+    """Words of a tenth of the documents, from some word on replaced by a repeated stretch."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[: n - a]
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = runs.find_runs(table(spark, sf_dir, "documents"), rewrite=stretched)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("best")
+    return found.withColumn("best", runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_tokenizer_alignment(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_exact_top_k(spark, sf_dir):
+    return maxscore.top(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op2_embedding_near_duplicates"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -98,3 +131,15 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM m
 """
+
+ORACLES["op13_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
