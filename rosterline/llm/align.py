@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,21 @@ class Tokenizers:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_length = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_length = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
-        #: text of an id inside a side of a group, and at its end
-        self.a_text = object_array([t for i in range(len(self.a_bytes)) for t in (b"%d," % i, b"%d|" % i)])
-        self.b_text = object_array([t for i in range(len(self.b_bytes)) for t in (b"%d," % i, b"%d;" % i)])
+        self.a_digits, self.b_digits = digits(len(self.a_bytes)), digits(len(self.b_bytes))
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [self._a.ids(" " + t) for t in texts], self._b.encode(texts, num_threads=1)
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides; None for texts that B does not give back byte for byte (byte-level ids always do)."""
+        out = []
+        for text, b in zip(texts, self._b.encode(texts, num_threads=1)):
+            same = text and b"".join(map(self.b_bytes.__getitem__, b)) == b" " + text.encode()
+            out.append((self._a.array(" " + text).astype(np.int64), np.frombuffer(array("q", b), dtype=np.int64)) if same else None)
+        return out
 
 
-def object_array(values: list) -> np.ndarray:
-    out = np.empty(len(values), dtype=object)
-    out[:] = values
-    return out
+def digits(n: int) -> np.ndarray:
+    """Decimal digits of the numbers below n, one row each, right-aligned after zero bytes."""
+    width = len(str(n))
+    return np.frombuffer(b"".join(str(i).encode().rjust(width, b"\0") for i in range(n)), dtype=np.uint8).reshape(n, width)
 
 
 def groups_of(a: np.ndarray, b: np.ndarray, a_length: np.ndarray, b_length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def groups_of(a: np.ndarray, b: np.ndarray, a_length: np.ndarray, b_length: np.n
     both = np.zeros(int(a_end[-1]) + 1, dtype=np.int8)
     both[a_end] = 1
     both[b_end] += 1
-    ended = np.cumsum(both == 2)
+    ended = np.cumsum(both == 2, dtype=np.int32).astype(np.int64)
     return ended[a_end - 1], ended[b_end - 1], np.flatnonzero(both == 2)
 
 
@@ -100,23 +104,76 @@ def links(a_id, a_at, a_times, b, size_b, starts_b, n_b):
 
 def alignments(texts: list[str], tok: Tokenizers, digest: bool) -> list[tuple]:
     """Per text: n_a, n_b, n_groups, n_links, groups and slices of pairs."""
-    all_a, all_b = tok.ids(texts)
-    out = []
-    for text, ids_a, ids_b in zip(texts, all_a, all_b):
-        raw = b" " + text.encode()
-        if not text or b"".join(map(tok.a_bytes.__getitem__, ids_a)) != raw or b"".join(map(tok.b_bytes.__getitem__, ids_b)) != raw:
-            out.append((0, 0, 0, 0, "", []))
-            continue
-        a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-        a_group, b_group, ends = groups_of(a, b, tok.a_length, tok.b_length)
-        size_a, size_b = np.bincount(a_group), np.bincount(b_group)
-        # ids in order of groups, in each those of A before those of B
-        told = np.empty(len(a) + len(b), dtype=object)
-        told[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[a_group]] = tok.a_text[2 * a + np.append(a_group[1:] != a_group[:-1], True)]
-        told[np.arange(len(b)) + np.cumsum(size_a)[b_group]] = tok.b_text[2 * b + np.append(b_group[1:] != b_group[:-1], True)]
-        groups = b"".join(told.tolist())[:-1]
-        out.append((len(a), len(b), len(ends), int((size_a * size_b).sum()),
-                    hashlib.sha256(groups).hexdigest() if digest else groups.decode(), pair_counts(a, b, a_group, b_group, len(tok.b_bytes))))
+    ids = tok.ids(texts)
+    used = [i for i, x in enumerate(ids) if x]
+    out = [(0, 0, 0, 0, "", [])] * len(texts)
+    if not used:
+        return out
+    a, b = (np.concatenate([ids[i][side] for i in used]) for side in (0, 1))
+    n_a, n_b = (np.array([len(ids[i][side]) for i in used]) for side in (0, 1))
+    a_from, b_from = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    # every text ends a group, so that the texts can be cut in one go
+    a_group, b_group, ends = groups_of(a, b, tok.a_length, tok.b_length)
+    size_a, size_b = np.bincount(a_group), np.bincount(b_group)
+    first_group = a_group[a_from]
+    n_groups = np.diff(np.append(first_group, len(ends)))
+    n_links = np.add.reduceat(size_a * size_b, first_group)
+    told, told_ends = told_groups(a, b, a_group, b_group, size_a, size_b, n_a, n_b, tok)
+    pairs = batch_pairs(a, b, a_group, b_group, size_b, n_a, n_links, len(tok.a_bytes), len(tok.b_bytes))
+    start = 0
+    for at, i in enumerate(used):
+        groups = told[start:told_ends[at] - 1]
+        start = told_ends[at]
+        if n_links[at] > LINKS:
+            a_at, b_at = slice(a_from[at], a_from[at] + n_a[at]), slice(b_from[at], b_from[at] + n_b[at])
+            pairs[at] = pair_counts(a[a_at], b[b_at], a_group[a_at] - first_group[at], b_group[b_at] - first_group[at], len(tok.b_bytes))
+        out[i] = (int(n_a[at]), int(n_b[at]), int(n_groups[at]), int(n_links[at]),
+                  hashlib.sha256(groups).hexdigest() if digest else groups.decode(), pairs[at])
+    return out
+
+
+def told_groups(a, b, a_group, b_group, size_a, size_b, n_a, n_b, tok: Tokenizers) -> tuple[bytes, list[int]]:
+    """``a1,a2|b1;`` for each group of all texts, and where each text ends."""
+    width = max(tok.a_digits.shape[1], tok.b_digits.shape[1])
+    told = np.zeros((len(a) + len(b), width + 1), dtype=np.uint8)
+    a_at = np.arange(len(a)) + (np.cumsum(size_b) - size_b)[a_group]
+    b_at = np.arange(len(b)) + np.cumsum(size_a)[b_group]
+    for at, ids, group, table, end in ((a_at, a, a_group, tok.a_digits, "|"), (b_at, b, b_group, tok.b_digits, ";")):
+        told[at, width - table.shape[1]:width] = table[ids]
+        told[at, width] = np.where(np.append(group[1:] != group[:-1], True), ord(end), ord(","))
+    written = told != 0
+    tokens = np.cumsum(n_a + n_b)
+    return told[written].tobytes(), np.add.reduceat(written.sum(1), np.append(0, tokens[:-1])).cumsum().tolist()
+
+
+def batch_pairs(a, b, a_group, b_group, size_b, n_a, n_links, of_a: int, of_b: int) -> list[list]:
+    """One slice of pairs per text, for all texts of at most ``LINKS`` links; others stay empty."""
+    out: list[list] = [[] for _ in n_a]
+    starts_b = np.cumsum(size_b) - size_b
+    a_from = np.cumsum(n_a) - n_a
+    run = 0
+    while run < len(n_a):
+        # texts of about LINKS links in all
+        stop = run + 1
+        held = n_links[run]
+        while stop < len(n_a) and held + n_links[stop] <= LINKS:
+            held += n_links[stop]
+            stop += 1
+        if held <= LINKS:
+            at = slice(a_from[run], a_from[stop - 1] + n_a[stop - 1])
+            reps = size_b[a_group[at]]
+            inside = np.arange(int(held)) - np.repeat(np.cumsum(reps) - reps, reps)
+            key = np.repeat(np.repeat(np.arange(stop - run), n_a[run:stop]) * (of_a * of_b) + a[at] * of_b, reps)
+            key += b[np.repeat(starts_b[a_group[at]], reps) + inside]
+            key.sort()
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, times = key[new], np.diff(np.append(new, len(key)))
+            bounds = np.searchsorted(key, np.arange(stop - run + 1) * (of_a * of_b))
+            key %= of_a * of_b
+            for i in range(run, stop):
+                s = slice(bounds[i - run], bounds[i - run + 1])
+                out[i] = [(key[s], times[s])]
+        run = stop
     return out
 
 

@@ -142,6 +142,7 @@ class Encoder:
         whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
         self._whole, self._plain = whole.encode_ordinary, plain.encode_ordinary
+        self._whole_array, self._plain_array = whole.encode_to_numpy, plain.encode_to_numpy
         self._runs = regex.compile(r"\s\s").search
         self._ranks = ranks
         self.size = max(ranks.values()) + 1
@@ -149,6 +150,10 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         return self._whole(text) if self._runs(text) else self._plain(text)
 
+    def array(self, text: str) -> np.ndarray:
+        """The same ids without a Python list."""
+        return (self._whole_array if self._runs(text) else self._plain_array)(text, disallowed_special=())
+
     def tokens(self) -> dict[int, bytes]:
         return {i: token for token, i in self._ranks.items()}
 
