@@ -41,6 +41,25 @@ def pattern_rows(entries: list[tuple[str, str]], partial: float = 85.0) -> str:
     return rows(ddl, out)
 
 
+def full_bits(text: str) -> str:
+    """``full`` of :func:`pattern_rows` for a text column."""
+    return f"if(length({text}) <= {WORD}, shiftleft(1L, length({text})) - 1L, 0L)"
+
+
+def letter_masks(text: str) -> str:
+    """``masks`` of :func:`pattern_rows` for a text column."""
+    bits = "aggregate(sequence(0, size(cs) - 1), 0L, (a, i) -> if(get(cs, i) = c, a | shiftleft(1L, i), a))"
+    masks = let(f"split({text}, '')", "cs", f"map_from_entries(transform(array_distinct(cs), c -> struct(c, {bits})))")
+    return f"if(length({text}) <= {WORD}, {masks}, cast(map() as map<string,bigint>))"
+
+
+def whole_pieces(text: str, threshold: float) -> str:
+    """``pieces`` of :func:`pattern_rows` for a text column."""
+    n = f"2 * cast({1 - threshold / 100!r}D * length({text}) + 1e-9D as int) + 1"
+    piece = f"substr({text}, (i * length({text}) div n) + 1, ((i + 1) * length({text}) div n) - (i * length({text}) div n))"
+    return let(n, "n", f"transform(sequence(0, n - 1), i -> {piece})")
+
+
 def subsequence_length(chars: str, text: str) -> str:
     """LCS length of a character array and a text of any length.
 

@@ -299,22 +299,35 @@ def specialty_phrases(text: str) -> str:
     return let(runs, "runs", f"array_distinct(filter({phrases}, p -> length(p) > 3))")
 
 
-def specialty_fuzzy(text: str, specialties=None) -> str:
-    """Phrases close to a canonical name: ratio of 80, else partial ratio of 85."""
-    names = list(specialties or sp.SPECIALTIES)
-    table = similarity.pattern_rows([(n, n.lower()) for n in names], FUZZY_PARTIAL)
-    longest = max(map(len, names))
-    best = (
-        f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO, longest)}, "
-        f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL, longest)})"
-    )
-    hits = f"filter(transform({specialty_phrases(text)}, p -> {best}), b -> b IS NOT NULL)"
+def fuzzy_confidence(score: str) -> str:
+    return f"CASE WHEN {score} >= 90D THEN 0.8D WHEN {score} >= 85D THEN 0.7D ELSE 0.6D END"
+
+
+def specialty_fuzzy(text: str, specialties=None, known: dict[str, tuple[str, float]] | None = None) -> str:
+    """Phrases close to a canonical name: ratio of 80, else partial ratio of 85.
+
+    ``known`` holds the lower-case phrases of the batch that match, with label
+    and score (:func:`phrases.known_phrases`); without it every phrase is
+    scored in its row.
+    """
+    if known is None:
+        names = list(specialties or sp.SPECIALTIES)
+        table = similarity.pattern_rows([(n, n.lower()) for n in names], FUZZY_PARTIAL)
+        longest = max(map(len, names))
+        best = (
+            f"coalesce({similarity.best_ratio('lower(p)', table, FUZZY_RATIO, longest)}, "
+            f"{similarity.best_partial_ratio('lower(p)', table, FUZZY_PARTIAL, longest)})"
+        )
+        hits = f"filter(transform({specialty_phrases(text)}, p -> {best}), b -> b IS NOT NULL)"
+    else:
+        table = rows("label:string,score:double", known.values())
+        matched = f"filter(transform({specialty_phrases(text)}, p -> array_position({words(known)}, lower(p))), i -> i > 0)"
+        hits = f"transform({matched}, i -> get({table}, cast(i as int) - 1))"
     # a text may hold very many phrases, but never more labels than the dictionary
     first = "transform(array_distinct(transform(hs, x -> x.label)), l -> get(filter(hs, x -> x.label = l), 0))"
     out = (
         f"transform({first}, (h, i) -> named_struct('value', h.label, "
-        "'confidence', CASE WHEN h.score >= 90D THEN 0.8D WHEN h.score >= 85D THEN 0.7D ELSE 0.6D END, "
-        "'extractor_id', 'fuzzy_match', 'ord', i))"
+        f"'confidence', {fuzzy_confidence('h.score')}, 'extractor_id', 'fuzzy_match', 'ord', i))"
     )
     return let(hits, "hs", out)
 
@@ -333,11 +346,12 @@ def specialty_exact(text: str, specialties=None) -> str:
     return let(f"lower({text})", "lt", out)
 
 
-def specialties_union(text: str, specialties=None) -> str:
+def specialties_union(text: str, specialties=None, known=None) -> str:
     """All sources in order, the first hit per canonical name."""
-    parts = ", ".join(
-        f(text, specialties) for f in (specialty_synonyms, specialty_codes, specialty_fuzzy, specialty_exact)
-    )
+    parts = ", ".join([
+        specialty_synonyms(text, specialties), specialty_codes(text, specialties), specialty_fuzzy(text, specialties, known),
+        specialty_exact(text, specialties),
+    ])
     first = "filter(al, (h, i) -> array_position(transform(al, x -> x.value), h.value) = i + 1)"
     return let(f"concat({parts})", "al", first)
 

@@ -20,7 +20,7 @@ from ..vocab.transactions import (
     ATTRIBUTE_VALUES, ATTRIBUTE_WEIGHTS, REASON_CONTEXTS, REASON_WORDS, SUBJECT_FACTOR, TERM_ATTRIBUTE_PHRASES,
     TERM_REASONS,
 )
-from . import entities, patterns, sections, tables
+from . import entities, patterns, phrases, sections, tables
 
 
 # --- transaction attribute -------------------------------------------------
@@ -239,7 +239,7 @@ def extract(messages: DataFrame, gap: int = 2, compat: bool = False, checksum: s
 
 # --- long candidate table --------------------------------------------------
 
-def all_scans(text: str, compat: bool, checksum: str, specialties=None) -> str:
+def all_scans(text: str, compat: bool, checksum: str, specialties=None, known=None) -> str:
     """Candidates of every extractor family of one text but tables."""
     parts = [patterns.scan(text, f, checksum) for f in patterns.FIELDS]
     parts.append(entities.provider_names(text, compat))
@@ -249,13 +249,29 @@ def all_scans(text: str, compat: bool, checksum: str, specialties=None) -> str:
     org = patterns.candidate("organization", "o.value", "o.confidence", q("pattern_org_extended"), 0, "j")
     parts.append(f"transform({entities.found_organizations(text)}, (o, j) -> {org})")
     named = patterns.candidate("specialty", "s.value", "s.confidence", "s.extractor_id", 0, "j")
-    parts.append(f"transform({entities.specialties_union(text, specialties)}, (s, j) -> {named})")
+    parts.append(f"transform({entities.specialties_union(text, specialties, known)}, (s, j) -> {named})")
     kind = patterns.candidate("transaction_type", "t.value", "t.confidence", "t.extractor_id", 0)
     parts.append(f"transform(filter(array({entities.transaction_type(text)}), t -> t IS NOT NULL), t -> {kind})")
     return f"concat({', '.join(parts)})"
 
 
-def scanned_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", specialties=None) -> DataFrame:
+def _scan_texts(prepared: DataFrame, gap: int) -> DataFrame:
+    """Messages with ``blocks`` and ``scan_texts``: the text, then its block texts unless the whole text is the only block."""
+    own = "if(size(blocks) = 1 AND get(blocks, 0).text = text, cast(array() as array<string>), transform(blocks, b -> b.text))"
+    found = prepared.select("msg_id", "text", "html_content", F.expr(sections.blocks_or_default("text", gap)).alias("blocks"))
+    return found.select("msg_id", "text", "html_content", "blocks", F.expr(f"concat(array(text), {own})").alias("scan_texts"))
+
+
+def known_phrases(prepared: DataFrame, gap: int = 2, specialties=None) -> dict | None:
+    """Matched specialty phrases of the messages and their blocks, each distinct phrase scored once (a job of its own).
+
+    For ``known`` of the candidate functions, which give the same rows without it, slower.
+    """
+    texts = _scan_texts(prepared, gap).transform(explode_rows, [], "scan_texts", "text")
+    return phrases.known_phrases(texts, specialties)
+
+
+def scanned_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", specialties=None, known=None) -> DataFrame:
     """``msg_id`` and ``es``: candidates of the message, table and block scopes as ``(block_id, scope, c)``.
 
     The scans are written once, over the message text and its block texts; a
@@ -266,31 +282,29 @@ def scanned_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False,
     def tagged(array, scope, block):
         return f"transform({array}, c -> named_struct('block_id', {block}, 'scope', '{scope}', 'c', {fields}))"
 
-    own = "if(size(blocks) = 1 AND get(blocks, 0).text = text, cast(array() as array<string>), transform(blocks, b -> b.text))"
-    scans = f"transform(scan_texts, scan_text -> {all_scans('scan_text', compat, checksum, specialties)})"
+    scans = f"transform(scan_texts, scan_text -> {all_scans('scan_text', compat, checksum, specialties, known)})"
     full = tagged("get(scans, 0)", "full", "cast(null as int)")
     cells = tagged("cells", "table", "cast(null as int)")
     in_blocks = tagged("get(scans, if(size(scans) = 1, 0, bi + 1))", "block", "bi")
     return (
-        prepared.select("msg_id", "text", "html_content", F.expr(sections.blocks_or_default("text", gap)).alias("blocks"))
-        .select("msg_id", "text", "html_content", "blocks", F.expr(f"concat(array(text), {own})").alias("scan_texts"))
+        _scan_texts(prepared, gap)
         .select("msg_id", F.expr("size(blocks)").alias("n_blocks"), F.expr(scans).alias("scans"),
                 F.expr(tables.message_table_candidates("text", "html_content")).alias("cells"))
         .select("msg_id", F.expr(f"concat({full}, {cells}, flatten(transform(sequence(0, n_blocks - 1), bi -> {in_blocks})))").alias("es"))
     )
 
 
-def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", specialties=None) -> DataFrame:
+def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", specialties=None, known=None) -> DataFrame:
     """Provenance table: every candidate of the message, block and table scopes.
 
     A message without provider blocks is its own block 0.  Columns: msg_id, block_id (NULL for message and table scope), scope, field,
     value, confidence, extractor_id, pattern_ord, match_ord, validation_passed.
     """
-    found = scanned_candidates(prepared, gap, compat, checksum, specialties)
+    found = scanned_candidates(prepared, gap, compat, checksum, specialties, known)
     return found.transform(explode_rows, ["msg_id"], "es", "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
 
 
-def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard") -> DataFrame:
+def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", known=None) -> DataFrame:
     """Best candidate per message and field: declared priority of its extractor family (0 when undeclared), confidence, then scan order.
 
     The best is picked inside the message row, without a shuffle.
@@ -303,6 +317,6 @@ def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, c
     )
     keyed = f"transform(es, e -> named_struct('field', e.c.field, 'k', {key}))"
     best = "transform(array_distinct(ks.field), f -> named_struct('field', f, 'k', array_max(filter(ks, x -> x.field = f).k)))"
-    found = scanned_candidates(prepared, gap, compat, checksum)
+    found = scanned_candidates(prepared, gap, compat, checksum, known=known)
     return found.transform(explode_rows, ["msg_id"], let(keyed, "ks", best), "r").select(
         "msg_id", "r.field", "r.k.value", "r.k.priority", "r.k.confidence", "r.k.extractor_id")

@@ -114,29 +114,29 @@ def field_provenance(prepared: DataFrame, field: str, checksum: str = "standard"
                         "c.context", "c.validation_passed")
 
 
-def _message_candidates(compat: bool = False, checksum: str = "standard") -> str:
+def _message_candidates(compat: bool = False, checksum: str = "standard", known=None) -> str:
     fields = "named_struct('field', c.field, 'value', c.value, 'confidence', c.confidence, 'extractor_id', c.extractor_id, 'passed', c.validation_passed)"
-    full = fusion.all_scans("text", compat, checksum)
+    full = fusion.all_scans("text", compat, checksum, known=known)
     cells = tables.message_table_candidates("text", "html_content")
     return f"concat(transform({full}, c -> {fields}), transform({cells}, c -> {fields}))"
 
 
-def candidate_report(prepared: DataFrame) -> DataFrame:
+def candidate_report(prepared: DataFrame, known=None) -> DataFrame:
     """Message-wide and table candidates grouped by field, most confident first."""
     one = (
         "named_struct('field', f, 'candidates', transform(array_sort(transform(filter(cs, c -> c.field = f), (c, i) -> "
         "named_struct('rank', -c.confidence, 'ord', i, 'c', c))), s -> s.c))"
     )
-    grouped = let(_message_candidates(), "cs", f"transform(array_distinct(transform(cs, c -> c.field)), f -> {one})")
+    grouped = let(_message_candidates(known=known), "cs", f"transform(array_distinct(transform(cs, c -> c.field)), f -> {one})")
     return prepared.transform(explode_rows, ["msg_id"], grouped, "g").select(
         "msg_id", "g.field", F.size("g.candidates").alias("n"),
         F.expr("array_join(transform(g.candidates, c -> concat(c.value, ' (', c.extractor_id, ')')), '; ')").alias("candidates"))
 
 
-def message_summary(prepared: DataFrame, gap: int = 2) -> DataFrame:
+def message_summary(prepared: DataFrame, gap: int = 2, known=None) -> DataFrame:
     """Totals per message: candidates, successes, rate, blocks, tables."""
     totals = let(
-        _message_candidates(), "cs",
+        _message_candidates(known=known), "cs",
         "named_struct('total', size(cs), 'good', size(filter(cs, c -> c.passed AND c.confidence > 0.5D)))",
     )
     html = f"coalesce(html_content, {q(' ')})"
@@ -168,11 +168,11 @@ def metrics_report(records: DataFrame, files: DataFrame, candidates: DataFrame)
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def traces(prepared: DataFrame, gap: int = 2) -> DataFrame:
+def traces(prepared: DataFrame, gap: int = 2, known=None) -> DataFrame:
     """One trace per message: all its candidates as an array, block count, trim flag."""
     return prepared.select(
         "msg_id", "thread_trimmed", F.expr(f"size({sections.blocks('text', gap)})").alias("blocks_detected"),
-        F.expr(_message_candidates()).alias("field_traces"))
+        F.expr(_message_candidates(known=known)).alias("field_traces"))
 
 
 def file_runs(decoded_messages: DataFrame, gap: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.frames import explode_rows
 from ..functions import checks
 from ..functions import text as tx
 from ..operators import entities as en
+from ..operators import phrases
 from ..sources import fixture as fx
 from ..vocab import specialties as sp
 from ..vocab.business import LOB_GAZETTEER
@@ -311,11 +312,15 @@ def _specialty_query(build):
     return run
 
 
+def _batch_query(build):
+    return lambda spark, sf: build(_special_mails(spark, sf), ["msg_id"], text="body").select("msg_id", "value", "confidence", "extractor_id")
+
+
 _SP = "SELECT msg_id, value, confidence, extractor_id FROM"
 query("specialty_synonym", f"WITH {SPECIAL_CTE}, {synonyms_cte('mail', 'msg_id', 'body', 's')} {_SP} s")(_specialty_query(en.specialty_synonyms))
-query("specialty_fuzzy", f"WITH {SPECIAL_CTE}, {fuzzy_cte('mail', 'msg_id', 'body', 's')} {_SP} s")(_specialty_query(en.specialty_fuzzy))
+query("specialty_fuzzy", f"WITH {SPECIAL_CTE}, {fuzzy_cte('mail', 'msg_id', 'body', 's')} {_SP} s")(_batch_query(phrases.fuzzy_specialties))
 query("specialty_exact", f"WITH {SPECIAL_CTE}, {exact_cte('mail', 'msg_id', 'body', 's')} {_SP} s")(_specialty_query(en.specialty_exact))
-query("specialty_union", f"WITH {SPECIAL_CTE}, {specialties_cte('mail', 'msg_id', 'body', '')} {_SP} sp")(_specialty_query(en.specialties_union))
+query("specialty_union", f"WITH {SPECIAL_CTE}, {specialties_cte('mail', 'msg_id', 'body', '')} {_SP} sp")(_batch_query(phrases.specialties_of))
 
 
 query("specialty_taxonomy", f"WITH {SPECIAL_CTE}, {codes_cte('mail', 'msg_id', 'body', 's')} {_SP} s")(_specialty_query(en.specialty_codes))

@@ -108,8 +108,16 @@ def _prepared(spark, sf):
     return fusion.prepare(fx.messages(spark, sf))
 
 
-def _candidates(spark, sf):
-    return fusion.candidates(_prepared(spark, sf))
+def _with_known(build):
+    """A report over the candidates, the specialty phrases of the batch scored once."""
+    def run(spark, sf):
+        prepared = _prepared(spark, sf)
+        return build(prepared, known=fusion.known_phrases(prepared))
+
+    return run
+
+
+_candidates = _with_known(fusion.candidates)
 
 
 @query("candidates", f"{CAND} SELECT {_CAND_COLS} FROM cand")
@@ -125,7 +133,7 @@ _PRIORITY = "CASE " + " ".join(f"WHEN starts_with(extractor_id, '{p}') THEN {n}"
         CASE scope WHEN 'table' THEN 0 WHEN 'full' THEN 1 ELSE 2 END, coalesce(block_id, -1), pattern_ord, match_ord, extractor_id DESC, value DESC) AS rn FROM cand)
     SELECT msg_id, field, value, p::INT AS priority, confidence, extractor_id FROM k WHERE rn = 1""")
 def priority_ranking(spark, sf):
-    return fusion.ranked_candidates(_prepared(spark, sf))
+    return _with_known(fusion.ranked_candidates)(spark, sf)
 
 
 @query("extractor_analysis", f"""
@@ -152,7 +160,7 @@ def field_provenance(spark, sf):
         FROM cand WHERE scope <> 'block')
     SELECT msg_id, field, count(*)::INT AS n, string_agg(concat(value, ' (', extractor_id, ')'), '; ' ORDER BY confidence DESC, so, src, pattern_ord, match_ord, col) AS candidates FROM u GROUP BY 1, 2""")
 def candidate_report(spark, sf):
-    return quality.candidate_report(_prepared(spark, sf))
+    return _with_known(quality.candidate_report)(spark, sf)
 
 
 @query("message_summary", f"""
@@ -161,7 +169,7 @@ def candidate_report(spark, sf):
     SELECT m.msg_id, coalesce(c.n, 0) AS candidates, coalesce(c.good, 0) AS successful, coalesce(c.good, 0) / greatest(coalesce(c.n, 0), 1)::DOUBLE AS success_rate,
         coalesce(b.n, 0) AS blocks, coalesce(t.n, 0) AS tables FROM msg m LEFT JOIN c USING (msg_id) LEFT JOIN b USING (msg_id) LEFT JOIN t USING (msg_id)""")
 def message_summary(spark, sf):
-    return quality.message_summary(_prepared(spark, sf))
+    return _with_known(quality.message_summary)(spark, sf)
 
 
 @query("candidate_quality", f"""
@@ -438,5 +446,5 @@ def metrics_json(spark, sf):
 @query("trace_json")
 def trace_json(spark, sf):
     """One JSON trace per message."""
-    return quality.traces(_prepared(spark, sf)).select("msg_id", F.to_json(F.struct("*")).alias("trace"))
+    return _with_known(quality.traces)(spark, sf).select("msg_id", F.to_json(F.struct("*")).alias("trace"))
 
