@@ -224,6 +224,8 @@ def organization(text: str) -> str:
 SHORT_VETO = (
     "provider|deliver|other|over|under|after|never|number|management|different|treatment|department|agreement|statement"
 )
+SHORT_SYNONYM, VETO_REACH = 2, 20
+LONG_CONFIDENCE, SHORT_CONFIDENCE = 0.95, 0.7
 PHRASE_ENDINGS = ["medicine", "surgery", "ology", "ics", "ist", "ian", "specialty", "field"]
 PHRASE_LABELS = ["specialty", "field", "specialization", "area", "practice"]
 FUZZY_RATIO, FUZZY_PARTIAL = 80.0, 85.0
@@ -235,31 +237,36 @@ def _quote(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def specialty_synonyms(text: str, specialties=None) -> str:
-    """Dictionary hits in dictionary order, one per canonical name.
+def synonym_scan(text: str, entries: list[tuple[int, str, str]]) -> str:
+    """Hits of ``(ord, synonym, canonical)`` entries in order, one per canonical name.
 
     A plain substring test on the lower-cased text goes first, so a message
     pays for regular expressions only for synonyms it holds.
     """
-    entries = []
-    for i, (synonym, canonical) in enumerate(sp.reverse_map(specialties).items()):
-        short = len(synonym) <= 2
+    listed = []
+    for i, synonym, canonical in entries:
+        short = len(synonym) <= SHORT_SYNONYM
         pattern = "(?i)" + word(_quote(synonym))
         if not short:
             pattern += rf"|(?i){_quote(synonym)}(?=[\s,.]|\z)"
-        entries.append((synonym, canonical, pattern, short, i))
-    table = rows("syn:string,canonical:string,pattern:string,short:boolean,ord:int", entries)
-    around = "concat(substr(lt, greatest(p - 20, 1), least(20, p - 1)), substr(lt, p + length(s.syn), 20))"
+        listed.append((synonym, canonical, pattern, short, i))
+    table = rows("syn:string,canonical:string,pattern:string,short:boolean,ord:int", listed)
+    around = f"concat(substr(lt, greatest(p - {VETO_REACH}, 1), least({VETO_REACH}, p - 1)), substr(lt, p + length(s.syn), {VETO_REACH}))"
     veto = let(f"regexp_instr({text}, s.pattern)", "p", f"p > 0 AND NOT {around} rlike {q(SHORT_VETO)}")
     test = f"contains(lt, s.syn) AND if(s.short, {veto}, {text} rlike s.pattern)"
     first = "filter(hits, (h, i) -> array_position(transform(hits, x -> x.canonical), h.canonical) = i + 1)"
     out = (
-        f"transform({first}, h -> named_struct('value', h.canonical, 'confidence', if(h.short, 0.7D, 0.95D), "
+        f"transform({first}, h -> named_struct('value', h.canonical, 'confidence', if(h.short, {SHORT_CONFIDENCE}D, {LONG_CONFIDENCE}D), "
         "'extractor_id', 'enhanced_synonym_match', 'ord', h.ord))"
     )
     return let(f"lower({text})", "lt", let(f"filter({table}, s -> {test})", "hits", out))
 
 
+def specialty_synonyms(text: str, specialties=None) -> str:
+    """Dictionary hits in dictionary order, one per canonical name."""
+    return synonym_scan(text, [(i, s, c) for i, (s, c) in enumerate(sp.reverse_map(specialties).items())])
+
+
 def taxonomy_tokens(text: str) -> str:
     """Distinct lower-case tokens of the shape of a taxonomy code."""
     shape = q("(?i)" + word("[0-9]{3,4}[a-z]{0,2}[0-9]{4,5}x"))

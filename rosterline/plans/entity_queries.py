@@ -9,7 +9,8 @@ from ..functions.frames import explode_rows
 from ..functions import checks
 from ..functions import text as tx
 from ..operators import entities as en
-from ..operators import phrases
+from ..operators import gazetteer, phrases
+from ..sources import dictionaries
 from ..sources import fixture as fx
 from ..vocab import specialties as sp
 from ..vocab.business import LOB_GAZETTEER
@@ -471,3 +472,43 @@ def taxonomy_valid(spark, sf):
     codes = fx.table(spark, sf, "part").selectExpr(
         "p_partkey", f"concat(split_part('{_CODES}', ',', cast(p_partkey % 35 + 1 as int)), CASE WHEN p_size % 5 = 0 THEN ' ' WHEN p_size % 5 = 1 THEN '1' ELSE '' END) AS code")
     return codes.select("p_partkey", "code", F.expr(f"{checks.validate_taxonomy('code')}.is_valid").alias("is_valid"))
+
+
+# --- dictionaries in tables ------------------------------------------------
+
+#: five synonyms of every part, and texts of orders that name parts in whole, in other cases, and inside other words
+_PART_SYNONYMS = [
+    "concat(p_name, ' ', cast(p_partkey as string))", "concat(p_type, ' ', p_name, ' ', cast(p_partkey % 100 as string))",
+    "concat(p_brand, '/', cast(p_partkey as string))", "concat('no. ', cast(p_partkey as string))", "concat('z', cast(p_partkey % 10 as string))",
+]
+_ORDER_LINE = (
+    "concat(CASE l_linenumber % 3 WHEN 0 THEN 'x' WHEN 1 THEN '(' ELSE '' END, CASE WHEN l_orderkey % 2 = 0 THEN upper({s}) ELSE {s} END, "
+    "CASE l_quantity % 4 WHEN 0 THEN ',' WHEN 1 THEN 's' WHEN 2 THEN ' number' ELSE '' END)"
+)
+_PART_OF_LINE = "CASE l_suppkey % 5 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_PART_SYNONYMS)) + " END"
+_LINE_SQL = _ORDER_LINE.format(s=f"({_PART_OF_LINE})")
+_CANONICAL = "concat(p_name, ' of ', p_brand)"
+_PART_ROWS = " UNION ALL ".join(f"SELECT p_partkey * 5 + {i} AS ord, {s} AS synonym, {_CANONICAL} AS canonical FROM part" for i, s in enumerate(_PART_SYNONYMS))
+
+
+@query("dictionary_hits", f"""
+    WITH g AS ({_PART_ROWS}), d AS (SELECT lower(synonym) AS syn, min(ord) AS ord, arg_max(canonical, ord) AS canonical FROM g GROUP BY 1),
+    t AS (SELECT l_orderkey, string_agg(line, ' and ' ORDER BY l_linenumber, line) AS t FROM (SELECT l_orderkey, l_linenumber, {_LINE_SQL} AS line FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1),
+    keyed AS (SELECT *, left(syn, 4) AS head FROM d),
+    heads AS (SELECT DISTINCT l_orderkey, t, substr(lower(t), i::INT, 4) AS head FROM (SELECT l_orderkey, t, unnest(range(1, length(t) + 1)) AS i FROM t)),
+    h AS (SELECT l_orderkey, t, ord, syn, canonical FROM heads JOIN keyed USING (head) WHERE length(syn) >= 4 AND contains(lower(t), syn)
+        UNION ALL SELECT l_orderkey, t, ord, syn, canonical FROM t JOIN keyed ON length(syn) < 4 AND contains(lower(t), syn)),
+    x AS (SELECT *, string_split_regex(lower(t), concat('\\b', syn, '\\b'))[1] AS lead FROM h),
+    k AS (SELECT * FROM x WHERE CASE WHEN length(syn) <= 2
+        THEN regexp_matches(t, concat('(?i)\\b\\Q', syn, '\\E\\b')) AND NOT regexp_matches(concat(right(lead, 20), substr(lower(t), length(lead) + length(syn) + 1, 20)), '{en.SHORT_VETO}')
+        ELSE regexp_matches(t, concat('(?i)\\b\\Q', syn, '\\E\\b|\\Q', syn, '\\E(?:[\\s,.]|$)')) END)
+    SELECT l_orderkey, canonical AS value, CASE WHEN length(arg_min(syn, ord)) <= 2 THEN 0.7 ELSE 0.95 END::DOUBLE AS confidence, 'enhanced_synonym_match' AS extractor_id, min(ord)::BIGINT AS ord
+    FROM k GROUP BY 1, 2""")
+def dictionary_hits(spark, sf):
+    """Parts that the texts of orders name, by a dictionary of five synonyms a part."""
+    parts = fx.table(spark, sf, "part")
+    listed = ", ".join(f"named_struct('ord', p_partkey * 5 + {i}, 'synonym', {s}, 'canonical', {_CANONICAL})" for i, s in enumerate(_PART_SYNONYMS))
+    dictionary = dictionaries.synonym_table(parts.transform(explode_rows, [], f"array({listed})", "d").select("d.*"))
+    lines = fx.table(spark, sf, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey")).selectExpr("l_orderkey", "l_linenumber", f"{_LINE_SQL} AS line")
+    texts = lines.groupBy("l_orderkey").agg(F.expr("array_join(transform(array_sort(collect_list(struct(l_linenumber, line))), x -> x.line), ' and ')").alias("text"))
+    return gazetteer.synonym_hits(texts, ["l_orderkey"], dictionary).drop("row_id")
