@@ -119,11 +119,44 @@ def emit(condition: str, value: str, element: str) -> str:
     return f"if({condition}, array({value}), cast(array() as array<{element}>))"
 
 
-def match_starts(gaps: str, hits: str) -> str:
-    """0-based starts of matches from the texts between them and the matches."""
+def match_starts(gaps: str, hits: str, measure: str = "length({0})") -> str:
+    """0-based starts of matches from the texts between them and the matches; ``measure`` says what is counted."""
     return fold(
-        f"transform({hits}, (m, i) -> named_struct('gap', length(get({gaps}, i)), 'len', length(m)))",
+        f"transform({hits}, (m, i) -> named_struct('gap', {measure.format(f'get({gaps}, i)')}, 'len', {measure.format('m')}))",
         "0",
         lambda s, x: f"named_struct('s', {s} + {x}.gap + {x}.len, 'e', array({s} + {x}.gap))",
         "int",
     )
+
+
+def word_places(text: str, pattern: str, made: str) -> str:
+    """``made`` for each match ``m`` of a pattern (number ``j``), with ``w``: the number of the word it starts in.
+
+    Words are what white space parts; a match must not start or end with it.
+    """
+    count = "cast(regexp_count({0}, '\\\\s+') as int)"
+    built = f"transform(hits, (m, j) -> {let('get(places, j)', 'w', made)})"
+    return let(f"split({text}, {q(pattern)}, -1)", "gaps", let(f"regexp_extract_all({text}, {q(pattern)}, 0)", "hits", let(match_starts("gaps", "hits", count), "places", built)))
+
+
+def nearest(spans: str, places: str, far: int = 1 << 30) -> str:
+    """Distance of each span ``(first, last)`` to the nearest place, in span order; spans and places in any order.
+
+    One sweep over both from the left and one from the right: linear but for
+    the sorting, however many of both there are.  ``far`` without places.
+    """
+    kind = "array<struct<at:int,kind:int,ord:int>>"
+
+    def sweep(end, order, span_kind, distance):
+        events = f"concat(cast(transform(spans, (d, i) -> struct(d.{end}, {span_kind}, i)) as {kind}), cast(transform(places, k -> struct(k, {1 - span_kind}, -1)) as {kind}))"
+        found = fold(
+            order.format(f"array_sort({events})"), "cast(null as int)",
+            lambda s, x: f"if({x}.kind = {span_kind}, named_struct('s', {s}, 'e', array(named_struct('ord', {x}.ord, 'gap', coalesce({distance.format(s=s, x=x)}, {far})))), "
+                         f"named_struct('s', {x}.at, 'e', cast(array() as array<struct<ord:int,gap:int>>)))",
+            "struct<ord:int,gap:int>")
+        return f"array_sort({found})"
+
+    # at one and the same word the place comes first in either direction
+    left, right = sweep("first", "{0}", 1, "{x}.at - {s}"), sweep("last", "reverse({0})", 0, "{s} - {x}.at")
+    return let(spans, "spans", let(places, "places", let(left, "lefts", let(
+        right, "rights", "transform(lefts, (l, i) -> least(greatest(l.gap, 0), greatest(get(rights, i).gap, 0)))"))))

@@ -127,8 +127,8 @@ def _values(field: str, checksum: str, source: str = "text") -> str:
 
 
 def _best_date(text: str) -> str:
-    """Most confident date of the numeric and word scans, the first on ties."""
-    found = f"concat({patterns.scan(text, 'date')}, {entities.word_dates(text)})"
+    """Most confident date of the numeric scan and of the word dates in their context, the first on ties."""
+    found = f"concat({patterns.scan(text, 'date')}, {entities.word_dates_in_context(text)})"
     return let(
         found, "ds",
         "array_max(transform(ds, (d, i) -> named_struct('confidence', d.confidence, 'ord', -i, 'value', d.value))).value",

@@ -375,6 +375,39 @@ def word_dates_sql(src: str, key: str, text: str) -> str:
     return f"SELECT {key}, {value} AS value, 0.7::DOUBLE AS confidence, concat('date_fallback_', i) AS extractor_id, o AS match_ord, i FROM ({hits_sql(src, key, text, pats, 0)})"
 
 
+def word_dates_context_sql(src: str, key: str, text: str) -> str:
+    """Word dates with the confidence of their context: ten words on either side, cut from the text before and after each match."""
+    parts = []
+    for i, (p, _) in enumerate(en.WORD_DATES):
+        full = lit("(?i)" + p)
+        parts.append(f"""SELECT {key}, {i} AS i, o, hs[o + 1] AS m, concat(coalesce(list_aggregate(list_transform(range(0, o), lambda j: concat(gs[j + 1], hs[j + 1])), 'string_agg', ''), ''), gs[o + 1]) AS lead,
+            concat(gs[o + 2], coalesce(list_aggregate(list_transform(range(o + 1, len(hs)), lambda j: concat(hs[j + 1], gs[j + 2])), 'string_agg', ''), '')) AS tail
+            FROM (SELECT {key}, gs, hs, unnest(range(0, len(hs)))::INT AS o FROM (SELECT {key}, string_split_regex({text}, {full}) AS gs, regexp_extract_all({text}, {full}, 0) AS hs FROM {src}))""")
+    cues = "|".join(en.DATE_CUES)
+    near = "concat(array_to_string(string_split_regex(lead, '\s+')[-11:], ' '), '|', m, '|', array_to_string(string_split_regex(tail, '\s+')[1:11], ' '))"
+    return f"""SELECT w.{key}, w.value, CASE WHEN regexp_matches(lower({near}), '{cues}') THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, concat('date_context_', w.i) AS extractor_id, w.match_ord, w.i
+        FROM ({word_dates_sql(src, key, text)}) w JOIN ({' UNION ALL '.join(parts)}) c ON c.{key} = w.{key} AND c.i = w.i AND c.o = w.match_ord"""
+
+
+#: mails that name several dates in words: a first one, one after a number of filler words, and one next to a cue
+DATED = (
+    "concat('We met on ', cast(k % 28 + 1 as string), ' March 2024', CASE k % 4 WHEN 0 THEN ', please' WHEN 1 THEN chr(10) ELSE ' and talked' END, "
+    "repeat(' of this and that', cast(k % 5 as int)), CASE k % 3 WHEN 0 THEN ' Effective: ' WHEN 1 THEN ' the contract ends ' ELSE ' around ' END, "
+    "CASE WHEN k % 2 = 0 THEN 'May 5, 2025' ELSE '6th June 2025' END, repeat(' noted', cast(k % 13 as int)), '. Expires January 2026', chr(10), body)"
+)
+DATED_CTE = f"{MAIL_CTE.rsplit(', mail AS', 1)[0]}, mail AS (SELECT msg_id, {DATED} AS body FROM rendered)"
+
+
+def dated_mails(spark, sf):
+    return fx.rendered(spark, sf).selectExpr("msg_id", f"{DATED} AS body")
+
+
+@query("word_dates_context", f"WITH {DATED_CTE} SELECT msg_id, value, confidence, extractor_id, match_ord FROM ({word_dates_context_sql('mail', 'msg_id', 'body')})")
+def word_dates_context(spark, sf):
+    return dated_mails(spark, sf).transform(explode_rows, ["msg_id"], en.word_dates_in_context("body"), "c").select(
+        "msg_id", "c.value", "c.confidence", "c.extractor_id", "c.match_ord")
+
+
 @query("word_dates", f"WITH o AS (SELECT o_orderkey AS id, {DATE_TEXT} AS t FROM orders), c AS ({word_dates_sql('o', 'id', 't')}) SELECT id, value, confidence, extractor_id, match_ord FROM c")
 def word_dates(spark, sf):
     texts = fx.columns(spark, sf, "orders", "o_orderkey", "o_orderdate").selectExpr("o_orderkey AS id", f"{DATE_TEXT} AS t")

@@ -18,7 +18,7 @@ from ..vocab.transactions import (
 )
 from .entity_queries import (
     any_sql, codes_cte, exact_cte, fuzzy_cte, lob_cte, names_sql, organization_cte, synonyms_cte, title_words_sql, type_cte,
-    weighted_sql, word_dates_sql,
+    weighted_sql, word_dates_context_sql, word_dates_sql, DATED_CTE, dated_mails,
 )
 from .registry import MAIL_CTE, MIXED_CTE, lit, query, str_list
 from .scan_queries import date_sql, ppg_cte, scan_sql
@@ -195,7 +195,7 @@ def records_cte(gap: int = 2, html: bool = False) -> str:
     {_scalar('msg', 'msg_id', 'm_')}, {_scalar('blk', 'rid', 'b_')},
     m_num AS ({scan_sql('date', 'msg', 'msg_id', 'text')}),
     m_date AS (SELECT msg_id, arg_max(value, (confidence, -src, -i, -match_ord)) AS value FROM (SELECT msg_id, value, confidence, 0 AS src, i, match_ord FROM m_num
-        UNION ALL SELECT msg_id, value, confidence, 1, i, match_ord FROM m_word) GROUP BY 1),
+        UNION ALL SELECT msg_id, value, confidence, 1, i, match_ord FROM ({word_dates_context_sql('msg', 'msg_id', 'text')})) GROUP BY 1),
     {_first_specialty('msg', 'msg_id', 'm_')}, {_first_specialty('blk', 'rid', 'b_')},
     {organization_cte('msg', 'msg_id', 'text', 'm_')}, {organization_cte('blk', 'rid', 'text', 'b_')},
     typed AS (SELECT m.msg_id, m.both_texts, t.value AS kind FROM msg m JOIN ty t USING (msg_id)),
@@ -253,6 +253,13 @@ def resolved_dates(spark, sf):
     return raw_records(spark, sf).select("msg_id", "block_id", "transaction_type", "effective_date", "term_date")
 
 
+@query("resolved_dates_context", f"WITH RECURSIVE {DATED_CTE}, {records_cte()} SELECT msg_id, block_id, transaction_type, effective_date, term_date FROM rec")
+def resolved_dates_context(spark, sf):
+    """Of several dates in words a record takes the one next to a cue."""
+    messages = dated_mails(spark, sf).selectExpr("msg_id", "body AS text_content", "cast(null as string) AS html_content")
+    return fusion.extract(messages).select("msg_id", "block_id", "transaction_type", "effective_date", "term_date")
+
+
 @query("group_npi", f"{REC} SELECT msg_id, block_id, provider_npi, group_npi FROM rec")
 def group_npi(spark, sf):
     return raw_records(spark, sf).select("msg_id", "block_id", "provider_npi", "group_npi")
