@@ -160,3 +160,41 @@ def nearest(spans: str, places: str, far: int = 1 << 30) -> str:
     left, right = sweep("first", "{0}", 1, "{x}.at - {s}"), sweep("last", "reverse({0})", 0, "{s} - {x}.at")
     return let(spans, "spans", let(places, "places", let(left, "lefts", let(
         right, "rights", "transform(lefts, (l, i) -> least(greatest(l.gap, 0), greatest(get(rights, i).gap, 0)))"))))
+
+
+def stab(points: str, spans: str) -> str:
+    """Number of the span ``(first, past)`` that holds each point, in point order; NULL outside all.
+
+    Spans must not overlap.  One sweep over both in order of place.
+    """
+    kind = "array<struct<at:int,kind:int,ord:int,past:int>>"
+    events = (
+        f"array_sort(concat(cast(transform({spans}, (d, i) -> struct(d.first, 0, i, d.past)) as {kind}), "
+        f"cast(transform({points}, (p, i) -> struct(p, 1, i, cast(null as int))) as {kind})))"
+    )
+    found = fold(
+        events, "named_struct('ord', -1, 'past', -1)",
+        lambda s, x: f"if({x}.kind = 0, named_struct('s', named_struct('ord', {x}.ord, 'past', {x}.past), 'e', cast(array() as array<struct<ord:int,span:int>>)), "
+                     f"named_struct('s', {s}, 'e', array(named_struct('ord', {x}.ord, 'span', if({x}.at < {s}.past, {s}.ord, cast(null as int))))))",
+        "struct<ord:int,span:int>")
+    return f"transform(array_sort({found}), e -> e.span)"
+
+
+#: characters per piece of a text that contexts are cut from
+PIECE = 256
+
+
+def pieces(text: str) -> str:
+    """A text in pieces, for :func:`context_at`."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def context_at(pieces_: str, at: str, reach: str) -> str:
+    """Up to ``reach`` (at most a piece) characters on both sides of a place, line breaks as blanks, stripped.
+
+    Costs the same wherever in the text the place is.
+    """
+    near = f"concat(coalesce(get({pieces_}, pn - 1), ''), coalesce(get({pieces_}, pn), ''), coalesce(get({pieces_}, pn + 1), ''))"
+    here = f"{at} - (greatest(pn, 1) - 1) * {PIECE}"
+    cut = let(here, "ph", f"substr({near}, greatest(ph - {reach}, 0) + 1, ph + {reach} - greatest(ph - {reach}, 0))")
+    return let(f"cast({at} div {PIECE} as int)", "pn", strip(f"replace({cut}, '\\n', ' ')"))

@@ -195,6 +195,18 @@ def scan_with_positions(text: str, field: str, checksum: str = "standard") -> st
     return f"filter(concat({', '.join(arrays)}), c -> c.value IS NOT NULL)"
 
 
+def match_places(text: str, pattern: str) -> str:
+    """Array of the 0-based starts of a pattern's matches."""
+    full = q("(?i)" + pattern)
+    return let(f"split({text}, {full}, -1)", "gaps", let(f"regexp_extract_all({text}, {full}, 0)", "hits", match_starts("gaps", "hits")))
+
+
+def places(text: str) -> str:
+    """Struct with, per field, the match starts of each of its patterns."""
+    return "named_struct(" + ", ".join(
+        f"'{field}', array({', '.join(match_places(text, p) for p in shapes)})" for field, (shapes, _) in _FIELDS.items()) + ")"
+
+
 def transaction_lexicon(text: str) -> str:
     """Type with the most lexicon hits, NULL under a negation; struct ``(value, confidence, hits)``."""
     def hits(kind):

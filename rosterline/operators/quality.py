@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from ..functions.frames import explode_rows
 
 from ..functions import text as tx
-from ..functions.sql import let, q
+from ..functions.sql import context_at, fold, let, pieces, q, stab
 from ..vocab.business import SENTINEL, TRACKED_FIELDS
-from . import fusion, patterns, sections, tables
+from . import entities, fusion, patterns, sections, tables
 
 # Report thresholds.
 PROBLEM_RATE, TOP_RATE, TOP_N = 0.5, 0.8, 5
@@ -114,6 +114,48 @@ def field_provenance(prepared: DataFrame, field: str, checksum: str = "standard"
                         "c.context", "c.validation_passed")
 
 
+def provenance(prepared: DataFrame, gap: int = 2, checksum: str = "standard", compat: bool = False, known=None) -> DataFrame:
+    """Every candidate of every field of the message text: where it stands, what is around it, which block holds it.
+
+    Columns: msg_id, field, rank (per message and field, most confident first),
+    value, extractor_id, confidence, position, context, block_id,
+    validation_passed.  Pattern and word date matches have their own position;
+    other values are looked up in the text without regard to case, and have none
+    where they are not written there (canonical names, combined ids).  Positions
+    meet the spans of the blocks in one sweep; a message without blocks is its
+    own block 0, and a place outside all blocks has no block.
+    """
+    own = " ".join(f"WHEN {q(f)} THEN get(get(st.{f}, c.pattern_ord), c.match_ord)" for f in patterns.FIELDS)
+    words = f"array({', '.join(patterns.match_places('text', p) for p, _ in entities.WORD_DATES)})"
+    position = (
+        f"CASE WHEN startswith(c.extractor_id, concat(c.field, '_pattern_')) THEN CASE c.field {own} END "
+        "WHEN startswith(c.extractor_id, 'date_fallback_') THEN get(get(wd, c.pattern_ord), c.match_ord) "
+        "ELSE nullif(instr(lt, lower(c.value)), 0) - 1 END"
+    )
+    line_starts = fold(tx.lines("text"), "0", lambda s, x: f"named_struct('s', {s} + length({x}) + 1, 'e', array({s}))", "int")
+    span = "named_struct('first', get(ls, b.start_line), 'past', coalesce(get(ls, b.end_line + 1), length(text) + 1))"
+    spans = f"if(size(blocks) = 0, array(named_struct('first', 0, 'past', length(text) + 1)), transform(blocks, b -> {span}))"
+    reach = "CASE c.c.field " + " ".join(f"WHEN {q(f)} THEN {n}" for f, n in patterns.CONTEXT.items()) + " ELSE 20 END"
+    ranked = fold(
+        "array_sort(transform(cs, (c, i) -> named_struct('field', c.field, 'confidence', -c.confidence, 'ord', i, 'c', named_struct('c', c, 'at', get(at, i), 'block', get(stabbed, i)))))",
+        "named_struct('field', '', 'n', 0)",
+        lambda s, x: let(f"if({s}.field = {x}.field, {s}.n + 1, 0)", "rk", f"named_struct('s', named_struct('field', {x}.field, 'n', rk), 'e', array(named_struct('rank', rk, 'of', {x}.c)))"),
+        f"struct<rank:int,of:struct<c:{patterns.CANDIDATE},at:int,block:int>>")
+    rows = (
+        prepared.select("msg_id", "text", F.expr(sections.blocks("text", gap)).alias("blocks"),
+                        F.expr(fusion.all_scans("text", compat, checksum, known=known)).alias("cs"), F.expr(patterns.places("text")).alias("st"), F.expr(words).alias("wd"),
+                        F.expr(line_starts).alias("ls"))
+        .select("msg_id", "text", "cs", F.expr(spans).alias("spans"), F.expr(let("lower(text)", "lt", f"transform(cs, c -> cast({position} as int))")).alias("at"))
+        .select("msg_id", "cs", "at", F.expr(stab("at", "spans")).alias("stabbed"), F.expr(pieces("text")).alias("pcs"))
+    )
+    context = f"if(c.at IS NULL, cast(null as string), {context_at('pcs', 'c.at', reach)})"
+    made = f"named_struct('rank', r.rank, 'c', c, 'context', {context})"
+    built = f"transform({ranked}, r -> {let('r.of', 'c', made)})"
+    return rows.transform(explode_rows, ["msg_id"], built, "p").select(
+        "msg_id", "p.c.c.field", "p.rank", "p.c.c.value", "p.c.c.extractor_id", "p.c.c.confidence", F.col("p.c.at").alias("position"), "p.context",
+        F.col("p.c.block").alias("block_id"), "p.c.c.validation_passed")
+
+
 def _message_candidates(compat: bool = False, checksum: str = "standard", known=None) -> str:
     fields = "named_struct('field', c.field, 'value', c.value, 'confidence', c.confidence, 'extractor_id', c.extractor_id, 'passed', c.validation_passed)"
     full = fusion.all_scans("text", compat, checksum, known=known)

@@ -384,7 +384,7 @@ def word_dates_context_sql(src: str, key: str, text: str) -> str:
             concat(gs[o + 2], coalesce(list_aggregate(list_transform(range(o + 1, len(hs)), lambda j: concat(hs[j + 1], gs[j + 2])), 'string_agg', ''), '')) AS tail
             FROM (SELECT {key}, gs, hs, unnest(range(0, len(hs)))::INT AS o FROM (SELECT {key}, string_split_regex({text}, {full}) AS gs, regexp_extract_all({text}, {full}, 0) AS hs FROM {src}))""")
     cues = "|".join(en.DATE_CUES)
-    near = "concat(array_to_string(string_split_regex(lead, '\s+')[-11:], ' '), '|', m, '|', array_to_string(string_split_regex(tail, '\s+')[1:11], ' '))"
+    near = "concat(array_to_string(string_split_regex(lead, '\\s+')[-11:], ' '), '|', m, '|', array_to_string(string_split_regex(tail, '\\s+')[1:11], ' '))"
     return f"""SELECT w.{key}, w.value, CASE WHEN regexp_matches(lower({near}), '{cues}') THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, concat('date_context_', w.i) AS extractor_id, w.match_ord, w.i
         FROM ({word_dates_sql(src, key, text)}) w JOIN ({' UNION ALL '.join(parts)}) c ON c.{key} = w.{key} AND c.i = w.i AND c.o = w.match_ord"""
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, patterns, quality, records
+from ..functions.frames import explode_rows
+from ..operators import entities, fusion, patterns, quality, records
 from ..session import shared_folder
 from ..sources import attachments, fixture as fx, mail as mail_source
 from ..sources import sinks
@@ -15,7 +17,7 @@ from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
 from ..vocab.headers import attachment_rows
 from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, final_records, raw_records, readable_cte, records_cte
 from .registry import MAIL_CTE, RENDERED_CTE, lit, query
-from .scan_queries import hits_sql, luhn, ppg_cte, scan_sql
+from .scan_queries import hits_sql, luhn, ppg_cte, re2, scan_sql
 from .section_queries import blocks_cte, candidates_cte, cue_text_cte, cues_cte, header_map_cte, lines_cte, tables_cte
 from .entity_queries import context_sql, lob_cte, names_sql, organization_cte, specialties_cte, type_cte, word_dates_sql
 from .text_queries import TRIM_CTE, WS, clean_sql, punct_sql
@@ -154,6 +156,44 @@ def field_provenance(spark, sf):
     return quality.field_provenance(_prepared(spark, sf), "npi")
 
 
+def _places_sql(field: str, shapes: list[str], src: str = "msg", text: str = "text") -> str:
+    """Match starts of the patterns of one field: ``msg_id, field, i, o, position``."""
+    parts = []
+    for i, p in enumerate(shapes):
+        full = lit("(?i)" + re.sub(r"(?<!\\)\((?!\?)", "(?:", re2(p)))
+        parts.append(f"""SELECT msg_id, '{field}' AS field, {i} AS i, o, (list_sum(list_transform(gs[1:o + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(hs[1:o], lambda g: length(g))), 0))::INT AS position
+            FROM (SELECT msg_id, gs, hs, unnest(range(0, len(hs)))::INT AS o FROM (SELECT msg_id, string_split_regex({text}, {full}) AS gs, regexp_extract_all({text}, {full}, 0) AS hs FROM {src}))""")
+    return " UNION ALL ".join(parts)
+
+
+@query("match_context", f"""
+    WITH {MAIL_CTE}, p AS ({_places_sql('npi', patterns.NPI, 'mail', 'body')})
+    SELECT msg_id, i AS pattern_ord, o AS match_ord, position, {context_sql('body', 'position', 20, 20, '0')} AS context FROM p JOIN mail USING (msg_id)""")
+def match_context(spark, sf):
+    """Context of every match of every identifier pattern."""
+    found = fx.mail(spark, sf).transform(explode_rows, ["msg_id"], patterns.scan_with_positions("body", "npi"), "c")
+    return found.select("msg_id", "c.pattern_ord", "c.match_ord", "c.position", "c.context")
+
+
+_REACH = "CASE field " + " ".join(f"WHEN '{f}' THEN {n}" for f, n in patterns.CONTEXT.items()) + " ELSE 20 END"
+_WHERE = "substr(text, 1, position)"
+
+
+@query("provenance", f"""
+    WITH RECURSIVE {MAIL_CTE}, {PREP_CTE}, {lines_cte('msg', 'text')}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('msg', 'text', 2)}, {_scope_sql('full', 'msg', 'msg_id', 'f_')},
+    places AS MATERIALIZED ({" UNION ALL ".join(_places_sql(f, patterns._FIELDS[f][0]) for f in patterns.FIELDS)} UNION ALL {_places_sql('word', [p for p, _ in entities.WORD_DATES])}),
+    c AS (SELECT a.*, m.text, CASE WHEN starts_with(extractor_id, concat(field, '_pattern_')) THEN field WHEN starts_with(extractor_id, 'date_fallback_') THEN 'word' END AS kind FROM f_all a JOIN msg m USING (msg_id)),
+    d AS (SELECT c.*, CASE WHEN kind IS NULL THEN nullif(strpos(lower(text), lower(value)), 0) - 1 ELSE p.position END::INT AS position FROM c
+        LEFT JOIN places p ON p.msg_id = c.msg_id AND p.field = c.kind AND p.i = c.pattern_ord AND p.o = c.match_ord),
+    e AS (SELECT *, length({_WHERE}) - length(replace({_WHERE}, chr(10), '')) AS line FROM d)
+    SELECT e.msg_id, field, (row_number() OVER (PARTITION BY e.msg_id, field ORDER BY e.confidence DESC, coalesce(kind = 'word', false), pattern_ord, match_ord) - 1)::INT AS rank, value, extractor_id, e.confidence,
+        position, CASE WHEN position IS NOT NULL THEN trim(replace(substr(e.text, greatest(position - {_REACH}, 0) + 1, position + {_REACH} - greatest(position - {_REACH}, 0)), chr(10), ' '), {WS}) END AS context,
+        b.block_id, validation_passed FROM e LEFT JOIN blocks b ON b.msg_id = e.msg_id AND e.position IS NOT NULL AND e.line BETWEEN b.start_line AND b.end_line""")
+def provenance(spark, sf):
+    """All candidates of all fields of the messages, with place, context and block."""
+    return _with_known(quality.provenance)(spark, sf)
+
+
 @query("candidate_report", f"""
     {CAND}, u AS (SELECT *, CASE scope WHEN 'full' THEN 0 ELSE 1 END AS so,
         CASE WHEN scope = 'table' THEN 0 WHEN starts_with(extractor_id, 'date_fallback') THEN 1 ELSE 0 END AS src, try_cast(regexp_extract(extractor_id, '_col_(\\d+)$', 1) AS INT) AS col

@@ -177,19 +177,6 @@ def collapse_ws(spark, sf):
     return fx.columns(spark, sf, "documents", "doc_id", "text").select("doc_id", F.expr(tx.collapse_whitespace("text")).alias("text"))
 
 
-@query("match_context", f"""
-    WITH {MAIL_CTE}, m AS (SELECT msg_id, body, regexp_extract_all(body, 'NPI[:\\s#]*(\\d{{10}})', 0, 'i') AS hits,
-        string_split_regex(body, '(?i)NPI[:\\s#]*\\d{{10}}') AS gaps FROM mail),
-    n AS (SELECT msg_id, body, unnest(list_transform(hits, lambda h, i: {{'i': i - 1, 'pos':
-        list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0)}})) AS u FROM m)
-    SELECT msg_id, u.i::INT AS match_ord, u.pos::INT AS position,
-        trim(replace(substr(body, greatest(u.pos - 20, 0)::INT + 1, (u.pos + 20 - greatest(u.pos - 20, 0))::INT), chr(10), ' '), {WS}) AS context FROM n""")
-def match_context(spark, sf):
-    from ..operators import patterns
-    found = fx.mail(spark, sf).transform(explode_rows, ["msg_id"], patterns.scan_with_positions("body", "npi"), "c")
-    return found.filter("c.pattern_ord = 0").select("msg_id", "c.match_ord", "c.position", "c.context")
-
-
 PY_TITLE = "array_to_string(list_transform(regexp_extract_all({0}, '\\pL+|\\PL+'), lambda r: upper(r[1]) || lower(r[2:])), '')"
 
 
