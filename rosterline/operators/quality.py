@@ -15,6 +15,7 @@ from ..functions.frames import explode_rows
 from ..functions import text as tx
 from ..functions.sql import context_at, fold, let, pieces, q, stab
 from ..vocab.business import SENTINEL, TRACKED_FIELDS
+from ..sources import mail
 from . import entities, fusion, patterns, sections, tables
 
 # Report thresholds.
@@ -64,8 +65,12 @@ def field_analysis(success: DataFrame) -> DataFrame:
 
 def extractor_analysis(candidates: DataFrame) -> DataFrame:
     """Success rate per extractor; success is a confidence over 0.5."""
-    by = candidates.groupBy("extractor_id").agg(
-        F.count_if(F.col("confidence") > 0.5).alias("success"), F.count("*").alias("total"))
+    return judged(candidates.groupBy("extractor_id").agg(
+        F.count_if(F.col("confidence") > 0.5).alias("success"), F.count("*").alias("total")))
+
+
+def judged(by: DataFrame) -> DataFrame:
+    """Rate and verdict of extractors with ``success`` and ``total``."""
     rate = F.col("success") / F.col("total")
     used = F.col("total") >= LEAST_USES
     verdict = F.when(used & (rate > BEST_RATE), "best").when(used & (rate < WEAK_RATE), "weak").otherwise("")
@@ -217,11 +222,16 @@ def traces(prepared: DataFrame, gap: int = 2, known=None) -> DataFrame:
         F.expr(_message_candidates(known=known)).alias("field_traces"))
 
 
-def file_runs(decoded_messages: DataFrame, gap: int = 2) -> DataFrame:
-    """Per-message outcome of a batch: success, number of records, error."""
-    prepared = decoded_messages.select("msg_id", "source_file", "text_content", "html_content", "parse_error")
-    normal = tx.normalize_message("coalesce(text_content, '')", "coalesce(html_content, '')")
-    rows = prepared.withColumn("text", F.expr(f"{normal}.text"))
-    return rows.select(
+def file_runs(decoded: DataFrame, gap: int = 2) -> DataFrame:
+    """Log of a batch, one row per message of :func:`rosterline.sources.mail.decode`.
+
+    Success, number of records, attachments, warnings (text parts that could not
+    be read), error, and the seconds that decoding took.
+    """
+    found = mail.messages(decoded).withColumn("text", F.expr(f"{tx.normalize_message('text_content', 'html_content')}.text"))
+    readable = "p.content_type IN ('text/plain', 'text/html')"
+    return found.select(
         "msg_id", "source_file", F.col("parse_error").isNull().alias("success"),
-        F.expr(f"size({sections.blocks_or_default('text', gap)})").alias("records"), F.col("parse_error").alias("error"))
+        F.expr(f"size({sections.blocks_or_default('text', gap)})").alias("records"), F.col("parse_error").alias("error"),
+        F.expr("size(filter(parts, p -> p.payload IS NOT NULL))").alias("attachments"),
+        F.expr(f"size(filter(parts, p -> {readable} AND p.text IS NULL))").alias("warnings"), "seconds")

@@ -8,11 +8,11 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.frames import explode_rows
-from ..operators import entities, fusion, patterns, quality, records
+from ..operators import batch, counters, entities, fusion, patterns, quality, records
 from ..session import shared_folder
 from ..sources import attachments, fixture as fx, mail as mail_source
 from ..sources import sinks
-from ..streaming import roster_stream
+from ..streaming import metrics_stream, roster_stream
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
 from ..vocab.headers import attachment_rows
 from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, final_records, raw_records, readable_cte, records_cte
@@ -398,11 +398,51 @@ DECODED_CTE = f"""{RENDERED_CTE}, h AS (SELECT *, {fx.HTML_SQL} AS html0 FROM re
 @query("batch_run_log", f"""
     WITH RECURSIVE {DECODED_CTE}, {readable_cte(True)}, {TRIM_CTE.replace('FROM mail)', 'FROM raw)', 1)}, msg AS (SELECT msg_id, text FROM trimmed),
     {lines_cte('msg', 'text')}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('msg', 'text', 2)}, n AS (SELECT msg_id, count(*)::INT AS records FROM blocks GROUP BY 1)
-    SELECT r.msg_id::VARCHAR AS msg_id, concat('mail_', r.msg_id, '.eml') AS source_file, k % 17 <> 0 AS success, records, CASE WHEN k % 17 = 0 THEN 'no content' END AS error
-    FROM rendered r JOIN n USING (msg_id)""")
+    SELECT r.msg_id::VARCHAR AS msg_id, concat('mail_', r.msg_id, '.eml') AS source_file, k % 17 <> 0 AS success, records, CASE WHEN k % 17 = 0 THEN 'no content' END AS error,
+        (k % 17 <> 0)::INT AS attachments, (k % 17 <> 0 AND k % 7 = 3)::INT AS warnings, true AS timed, count(*) OVER () AS files, count(*) FILTER (WHERE k % 17 = 0) OVER () AS failed,
+        count(*) FILTER (WHERE k % 17 = 0) OVER () = 0 AS ok, 'decode,extract,log,write' AS stages FROM rendered r JOIN n USING (msg_id)""")
 def batch_run_log(spark, sf):
-    decoded = mail_source.messages(mail_source.decode(_raw_mails(spark, sf)))
-    return quality.file_runs(decoded)
+    """Log of the fixture mails run as one batch; seconds differ from run to run and are only told to be there."""
+    run = batch.run_batch(_raw_mails(spark, sf), shared_folder(spark, "batch"))
+    stages = sorted(r["stage"] for r in run.stages.filter("seconds > 0").collect())
+    return run.log.select(
+        "msg_id", "source_file", "success", "records", "error", "attachments", "warnings", (F.col("seconds") > 0).alias("timed"),
+        F.lit(run.files).cast("long").alias("files"), F.lit(run.failed).cast("long").alias("failed"), F.lit(run.ok).alias("ok"), F.lit(",".join(stages)).alias("stages"))
+
+
+@query("metrics_over_runs", f"""
+    WITH fs AS ({REC}, {success_cte('rec', 'fs')} SELECT * FROM fs), an AS ({ANALYSIS_SQL}), cand AS ({CAND} SELECT * FROM cand)
+    SELECT 'field' AS section, field AS key, success, total, rate, CASE WHEN problem THEN 'problem' WHEN top THEN 'top' ELSE '' END AS verdict FROM an
+    UNION ALL SELECT 'extractor', e, success, total, success / total::DOUBLE, CASE WHEN total >= 5 AND success / total::DOUBLE > 0.7 THEN 'best' WHEN total >= 5 AND success / total::DOUBLE < 0.3 THEN 'weak' ELSE '' END
+    FROM (SELECT CASE WHEN starts_with(extractor_id, 'table_row_') THEN 'table' ELSE extractor_id END AS e, count(*) FILTER (WHERE confidence > 0.5) AS success, count(*) AS total FROM cand GROUP BY 1)""")
+def metrics_over_runs(spark, sf):
+    """Rates over two runs of a stream, the second one over the mails that arrived after the first."""
+    base = shared_folder(spark, "metrics")
+    mails = fx.messages(spark, sf)
+    for part in (0, 1):
+        mails.filter(f"msg_id % 2 = {part}").write.mode("append").parquet(f"{base}/mails")
+        arriving = spark.readStream.schema(mails.schema).parquet(f"{base}/mails")
+        metrics_stream(arriving, f"{base}/state", f"{base}/checkpoint", "mails").awaitTermination()
+    sums = counters.merged(spark, f"{base}/state")
+    fields = counters.field_analysis(sums).select(
+        F.lit("field").alias("section"), F.col("field").alias("key"), "success", "total", "rate", F.expr("CASE WHEN problem THEN 'problem' WHEN top THEN 'top' ELSE '' END AS verdict"))
+    used = counters.extractor_analysis(sums).select(F.lit("extractor").alias("section"), F.col("extractor_id").alias("key"), "success", "total", "rate", "verdict")
+    return fields.unionByName(used)
+
+
+_TRACED = f"""{CAND}, n AS (SELECT msg_id, count(*) FILTER (WHERE indicators <> '')::INT AS blocks_detected FROM blk GROUP BY 1)"""
+
+
+@query("trace_export", f"""
+    {_TRACED} SELECT m.msg_id::VARCHAR AS msg_id, m.thread_trimmed, blocks_detected, field, value, confidence, extractor_id, validation_passed AS passed, (SELECT count(*) FROM msg) AS total_traces
+    FROM msg m JOIN n USING (msg_id) JOIN cand c ON c.msg_id = m.msg_id AND scope <> 'block'""")
+def trace_export(spark, sf):
+    """Traces of all messages written as JSON, read back and counted."""
+    path = shared_folder(spark, "traces")
+    sinks.write_traces(_with_known(quality.traces)(spark, sf), path)
+    rows = sinks.read_traces(spark, path).transform(explode_rows, ["msg_id", "thread_trimmed", "blocks_detected"], "field_traces", "t")
+    total = sinks.trace_count(spark, path).first()["total_traces"]
+    return rows.select("msg_id", "thread_trimmed", "blocks_detected", "t.*", F.lit(total).alias("total_traces"))
 
 
 FILES_CTE = f"""{RENDERED_CTE}, h AS (SELECT *, {fx.HTML_SQL} AS html0 FROM rendered),

@@ -7,6 +7,7 @@ Everything after it is Spark expressions over the decoded columns.
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.header import decode_header, make_header
@@ -24,7 +25,7 @@ HEADERS = ["From", "To", "Subject", "Date", "Message-ID"]
 MESSAGE_SCHEMA = (
     "msg_id string, source_file string, headers map<string,string>, "
     "parts array<struct<idx:int,content_type:string,disposition:string,filename:string,text:string,payload:binary>>, "
-    "parse_error string"
+    "parse_error string, seconds double"
 )
 
 
@@ -54,7 +55,7 @@ _PART = pa.struct([
 ])
 _ROW = pa.schema([
     ("msg_id", pa.string()), ("source_file", pa.string()), ("headers", pa.map_(pa.string(), pa.string())),
-    ("parts", pa.list_(_PART)), ("parse_error", pa.string()),
+    ("parts", pa.list_(_PART)), ("parse_error", pa.string()), ("seconds", pa.float64()),
 ])
 #: decoded messages per output batch; bounds the memory of a Python worker
 _BATCH_ROWS = 256
@@ -96,6 +97,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for start in range(0, batch.num_rows, _BATCH_ROWS):
             rows = []
             for row in batch.slice(start, _BATCH_ROWS).to_pylist():
+                started = time.perf_counter()
                 try:
                     if row["content"] is None:
                         raise ValueError("no content")
@@ -104,12 +106,12 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 except Exception as failure:  # one bad message must not fail the batch
                     headers, parts, error = [], [], str(failure)
                 rows.append({"msg_id": row["msg_id"], "source_file": row["source_file"], "headers": headers,
-                             "parts": parts, "parse_error": error})
+                             "parts": parts, "parse_error": error, "seconds": time.perf_counter() - started})
             yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
 
 def decode(mail: DataFrame) -> DataFrame:
-    """Bytes to headers and parts; a message that fails keeps a row with ``parse_error``."""
+    """Bytes to headers and parts; a message that fails keeps a row with ``parse_error``.  ``seconds``: time it took."""
     return mail.selectExpr("cast(msg_id as string) AS msg_id", "source_file", "content").mapInArrow(
         _decode_batches, MESSAGE_SCHEMA)
 
@@ -122,7 +124,7 @@ def messages(decoded: DataFrame) -> DataFrame:
     text = f"CASE WHEN parse_error IS NULL THEN {joined('text/plain')} ELSE concat('Error reading email: ', parse_error) END"
     return decoded.select(
         "msg_id", "source_file", "headers", F.expr(text).alias("text_content"),
-        F.expr(joined("text/html")).alias("html_content"), "parse_error")
+        F.expr(joined("text/html")).alias("html_content"), "parse_error", "parts", "seconds")
 
 
 def compact(messages_: DataFrame, path: str) -> None:

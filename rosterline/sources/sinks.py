@@ -44,10 +44,30 @@ def write_json(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def write_traces(traces: DataFrame, path: str, files: int | None = None) -> None:
-    """Per-message traces as JSON lines."""
-    (traces.coalesce(files) if files else traces).write.mode("overwrite").json(path)
+#: rows of a written trace
+TRACE = (
+    "msg_id string, thread_trimmed boolean, blocks_detected int, "
+    "field_traces array<struct<field:string,value:string,confidence:double,extractor_id:string,passed:boolean>>"
+)
+
+
+def write_traces(traces: DataFrame, path: str, buckets: int = 16, records_per_file: int = 10_000) -> None:
+    """Per-message traces as JSON lines, in folders by a hash of the message and files of bounded length.
+
+    Nothing is shuffled: every task writes its own files, at most ``buckets`` at a time.
+    """
+    bucket = F.pmod(F.xxhash64(F.col("msg_id").cast("string")), F.lit(buckets)).cast("int")
+    traces.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").option("maxRecordsPerFile", records_per_file).json(path)
+
+
+def read_traces(spark: SparkSession, path: str, msg_id=None, buckets: int = 16) -> DataFrame:
+    """Written traces; those of one message come from its folder alone (``buckets`` as on writing)."""
+    found = spark.read.schema(f"{TRACE}, bucket int").json(path)
+    if msg_id is None:
+        return found.drop("bucket")
+    bucket = F.pmod(F.xxhash64(F.lit(str(msg_id))), F.lit(buckets)).cast("int")
+    return found.filter((F.col("bucket") == bucket) & (F.col("msg_id") == str(msg_id))).drop("bucket")
 
 
 def trace_count(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path).agg(F.count("*").alias("total_traces"))
+    return read_traces(spark, path).agg(F.count("*").alias("total_traces"))
