@@ -195,6 +195,30 @@ def message_summary(prepared: DataFrame, gap: int = 2, known=None) -> DataFrame:
         (F.col("t.good") / F.greatest(F.col("t.total"), F.lit(1))).alias("success_rate"), "blocks", "tables")
 
 
+def processing_summary(decoded: DataFrame, gap: int = 2, known=None) -> DataFrame:
+    """Summary of every message of :func:`rosterline.sources.mail.decode`.
+
+    The totals of :func:`message_summary`, with attachments, errors, warnings
+    (text parts that could not be read) and the seconds of its decoding.  A
+    message that could not be decoded is summed up over its error text.
+    """
+    normal = tx.normalize_message("text_content", "html_content")
+    found = mail.messages(decoded).select("msg_id", "source_file", "html_content", "parse_error", "parts", "seconds", F.expr(f"{normal}.text").alias("text"))
+    totals = let(
+        _message_candidates(known=known), "cs",
+        "named_struct('total', size(cs), 'good', size(filter(cs, c -> c.passed AND c.confidence > 0.5D)))")
+    html = f"coalesce(html_content, {q(' ')})"
+    unread = "p.content_type IN ('text/plain', 'text/html') AND p.text IS NULL"
+    rows = found.select(
+        "msg_id", "source_file", F.expr(totals).alias("t"), F.expr(f"size({sections.blocks('text', gap)})").alias("blocks"),
+        F.expr(f"size({tables.html_tables(html)}) + size({tables.text_tables('text')})").alias("tables"),
+        F.expr("size(filter(parts, p -> p.payload IS NOT NULL))").alias("attachments"), F.col("parse_error").isNotNull().cast("int").alias("errors"),
+        F.expr(f"size(filter(parts, p -> {unread}))").alias("warnings"), "seconds")
+    return rows.select(
+        "msg_id", "source_file", F.col("t.total").alias("candidates"), F.col("t.good").alias("successful"),
+        (F.col("t.good") / F.greatest(F.col("t.total"), F.lit(1))).alias("success_rate"), "blocks", "tables", "attachments", "errors", "warnings", "seconds")
+
+
 def metrics_report(records: DataFrame, files: DataFrame, candidates: DataFrame) -> DataFrame:
     """Full report as rows ``(section, entry)``; ``entry`` is JSON.
 

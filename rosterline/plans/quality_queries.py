@@ -15,8 +15,8 @@ from ..sources import sinks
 from ..streaming import metrics_stream, roster_stream
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
 from ..vocab.headers import attachment_rows
-from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, final_records, raw_records, readable_cte, records_cte
-from .registry import MAIL_CTE, RENDERED_CTE, lit, query
+from .record_queries import _COLS, DMG, FINAL_CTE, REC, RID, S, _damaged, final_records, raw_records, cells_cte, readable_cte, records_cte
+from .registry import MAIL_CTE, MIXED_CTE, RENDERED_CTE, lit, query
 from .scan_queries import hits_sql, luhn, ppg_cte, re2, scan_sql
 from .section_queries import blocks_cte, candidates_cte, cue_text_cte, cues_cte, header_map_cte, lines_cte, tables_cte
 from .entity_queries import context_sql, lob_cte, names_sql, organization_cte, specialties_cte, type_cte, word_dates_sql
@@ -410,6 +410,43 @@ def batch_run_log(spark, sf):
         F.lit(run.files).cast("long").alias("files"), F.lit(run.failed).cast("long").alias("failed"), F.lit(run.ok).alias("ok"), F.lit(",".join(stages)).alias("stages"))
 
 
+def _html_candidates_cte(mails: str) -> str:
+    """Like :data:`CAND` for mails with HTML parts."""
+    return f"""WITH RECURSIVE {mails}, {readable_cte(True)}, {TRIM_CTE.replace('FROM mail)', 'FROM raw)', 1)}, msg AS (SELECT msg_id, text FROM trimmed),
+    {lines_cte('msg', 'text')}, {cues_cte()}, {cue_text_cte()}, {blocks_cte('msg', 'text', 2)}, blk AS (SELECT {RID} AS rid, * FROM blocks), {cells_cte(True)},
+    {_scope_sql('full', 'msg', 'msg_id', 'f_')}, {_scope_sql('block', 'blk', 'rid', 'b_')},
+    cand AS (SELECT msg_id, NULL::INT AS block_id, 'full' AS scope, field, value, confidence, extractor_id, pattern_ord, match_ord, validation_passed FROM f_all
+        UNION ALL SELECT msg_id, NULL, 'table', field, value, confidence, concat('table_row_', row_idx, '_col_', col_idx), table_id, row_idx, true FROM tc
+        UNION ALL SELECT rid // 4294967296, (rid % 4294967296)::INT, 'block', field, value, confidence, extractor_id, pattern_ord, match_ord, validation_passed FROM b_all)"""
+
+
+@query("candidates_html", f"{_html_candidates_cte(MIXED_CTE)} SELECT {_CAND_COLS} FROM cand")
+def candidates_html(spark, sf):
+    """All candidates of mails of which some have HTML parts with tables."""
+    prepared = fusion.prepare(fx.messages(spark, sf, True))
+    return fusion.candidates(prepared, known=fusion.known_phrases(prepared))
+
+
+@query("extractor_analysis_html", f"""
+    {_html_candidates_cte(MIXED_CTE)}, per AS (SELECT extractor_id, count(*) FILTER (WHERE confidence > 0.5) AS success, count(*) AS total FROM cand GROUP BY 1)
+    SELECT extractor_id, success, total, success / total::DOUBLE AS rate, CASE WHEN total >= 5 AND success / total::DOUBLE > 0.7 THEN 'best'
+        WHEN total >= 5 AND success / total::DOUBLE < 0.3 THEN 'weak' ELSE '' END AS verdict FROM per""")
+def extractor_analysis_html(spark, sf):
+    return quality.extractor_analysis(candidates_html(spark, sf))
+
+
+@query("processing_summary", f"""
+    {_html_candidates_cte(DECODED_CTE)}, c AS (SELECT msg_id, count(*)::INT AS n, (count(*) FILTER (WHERE validation_passed AND confidence > 0.5))::INT AS good FROM cand WHERE scope <> 'block' GROUP BY 1),
+    b AS (SELECT msg_id, count(*)::INT AS n FROM blk WHERE indicators <> '' GROUP BY 1), t AS (SELECT msg_id, count(*)::INT AS n FROM t_tab GROUP BY 1), x AS (SELECT msg_id, count(*)::INT AS n FROM h1 GROUP BY 1)
+    SELECT r.msg_id::VARCHAR AS msg_id, concat('mail_', r.msg_id, '.eml') AS source_file, coalesce(c.n, 0) AS candidates, coalesce(c.good, 0) AS successful, coalesce(c.good, 0) / greatest(coalesce(c.n, 0), 1)::DOUBLE AS success_rate,
+        coalesce(b.n, 0) AS blocks, coalesce(t.n, 0) + coalesce(x.n, 0) AS tables, (k % 17 <> 0)::INT AS attachments, (k % 17 = 0)::INT AS errors, (k % 17 <> 0 AND k % 7 = 3)::INT AS warnings, true AS timed
+    FROM rendered r LEFT JOIN c USING (msg_id) LEFT JOIN b USING (msg_id) LEFT JOIN t USING (msg_id) LEFT JOIN x USING (msg_id)""")
+def processing_summary(spark, sf):
+    """Summary of every decoded fixture mail; seconds differ from run to run and are only told to be there."""
+    found = quality.processing_summary(mail_source.decode(_raw_mails(spark, sf)))
+    return found.withColumn("timed", F.col("seconds") > 0).drop("seconds")
+
+
 @query("metrics_over_runs", f"""
     WITH fs AS ({REC}, {success_cte('rec', 'fs')} SELECT * FROM fs), an AS ({ANALYSIS_SQL}), cand AS ({CAND} SELECT * FROM cand)
     SELECT 'field' AS section, field AS key, success, total, rate, CASE WHEN problem THEN 'problem' WHEN top THEN 'top' ELSE '' END AS verdict FROM an
