@@ -109,20 +109,25 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, wi
     """Models of the categories in order, and the out-of-fold logits of each (rows x categories).
 
     Each model sees the earlier categories' logits.  In training these come
-    from models that did not see the row, as they will for new documents.
+    from models that did not see the row, as they will for new documents.  Rows
+    without a label (NaN) in a category are not learnt from there, but have a
+    logit for the later ones.
     """
     n, categories = labels.shape
     held = np.zeros((n, 0))
     models = []
     for c in range(categories):
-        y, own = labels[:, c].astype(float), np.zeros(n)
+        y, own = labels[:, c], np.zeros(n)
+        told = ~np.isnan(y)
+
+        def model_of(at):
+            return fit([rows[i] for i in at], held[at], y[at], width) if len(at) else (np.zeros(width), np.zeros(held.shape[1]), -30.0)
+
         for f in range(FOLDS):
-            seen = np.flatnonzero(fold != f)
             unseen = np.flatnonzero(fold == f)
             if len(unseen):
-                model = fit([rows[i] for i in seen], held[seen], y[seen], width)
-                own[unseen] = logits([rows[i] for i in unseen], held[unseen], model)
-        models.append(fit(rows, held, y, width))
+                own[unseen] = logits([rows[i] for i in unseen], held[unseen], model_of(np.flatnonzero((fold != f) & told)))
+        models.append(model_of(np.flatnonzero(told)))
         held = np.column_stack([held, np.clip(own, -8, 8)])
     return models, held
 
@@ -172,43 +177,49 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     Uses at most ``sample`` labelled documents, those whose id hashes lowest.
     Words are counted on the executors; the driver gets the features that tell
     some category apart (2,048 at most) and, per document of the sample, the
-    numbers of those it has.  Rows with a null label or id are left out,
-    several labels of one document count with their largest.  Without labels
-    nothing is toxic.
+    numbers of those it has.  Each category learns from the documents that have a
+    label in it; rows with a null id or no label at all are left out.  Several
+    labels of one document count with their largest, several texts of one id
+    with the greatest.  Without labels nothing is toxic.
     """
     spark = docs.sparkSession
-    known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).na.drop()
+    known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).na.drop(subset=["doc_id"]).na.drop(how="all", subset=categories)
     picked = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(sample)
     picked = settle(picked, "toxicity-sample")
     # at most `sample` rows of an id and a few small numbers
-    train_docs = settle(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "toxicity-documents")
+    train_docs = settle(
+        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", *categories).agg(F.max("text").alias("text"))
+        .select("doc_id", "text", *categories), "toxicity-documents")
     names = list(categories)
 
     def count(batches):
-        total, hits = Counter(), [Counter() for _ in names]
+        # documents with a feature: all, and per category those with a label and those with a positive one
+        total, sums = Counter(), {k: Counter() for k in per_category}
         for b in batches:
-            for row in b.itertuples(index=False):
-                found = named(row.text)
+            for row in b.to_dict("records"):
+                found = named(row["text"])
                 total.update(found)
-                for c, h in zip(names, hits):
-                    if getattr(row, c):
-                        h.update(found)
+                for c in names:
+                    if pd.notna(row[c]):
+                        sums[f"m_{c}"].update(found)
+                        if row[c]:
+                            sums[f"n_{c}"].update(found)
         if total:
             frame = pd.DataFrame({"feature": list(total), "n": list(total.values())})
-            for c, h in zip(names, hits):
-                frame[f"n_{c}"] = [h[f] for f in frame["feature"]]
+            for k, h in sums.items():
+                frame[k] = [h[f] for f in frame["feature"]]
             yield frame[frame["n"] > 0]
 
-    counted = train_docs.mapInPandas(count, "feature string, n long, " + ", ".join(f"n_{c} long" for c in names))
-    counted = counted.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in names]).filter("n >= 3")
-    totals = train_docs.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).first()
-    n = totals["n"]
-    if not n:
+    per_category = [f"{k}_{c}" for c in names for k in ("m", "n")]
+    counted = train_docs.mapInPandas(count, "feature string, n long, " + ", ".join(f"{k} long" for k in per_category))
+    counted = counted.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in per_category]).filter("n >= 3")
+    totals = train_docs.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("m", F.count), ("n", F.sum))]).first()
+    if not totals["n"]:
         return Chain(names, [{}] * KINDS, [(np.zeros(0), np.zeros(k), -30.0) for k in range(len(names))], [0.5] * len(names))
 
     def telling(c: str) -> Column:
         """Log-likelihood ratio of the 2 x 2 table of feature and category."""
-        a, f, y = F.col(f"n_{c}").cast("double"), F.col("n").cast("double"), float(totals[c])
+        a, f, y, n = F.col(f"n_{c}").cast("double"), F.col(f"m_{c}").cast("double"), float(totals[f"n_{c}"] or 0), float(max(totals[f"m_{c}"], 1))
         cells = [(a, f * y / n), (f - a, f * (n - y) / n), (y - a, (n - f) * y / n), (n - f - y + a, (n - f) * (n - y) / n)]
         return 2 * sum((F.when(o > 0, o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
 
@@ -226,10 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
 
     data = train_docs.mapInPandas(sparse, "doc_id long, " + ", ".join(f"{c} int" for c in names) + ", f array<int>").toPandas().sort_values("doc_id")
     rows = [np.asarray(f, dtype=np.int64) for f in data["f"]]
-    y = data[names].to_numpy().astype(bool)
+    y = data[names].to_numpy().astype(float)
     fold = np.array([hash((int(i) * 2654435761) & 0xFFFFFFFF) >> 7 for i in data["doc_id"]]) % FOLDS
     models, held = train_chain(rows, y, fold, len(chosen))
-    return Chain(names, numbers, models, [threshold_of(held[:, k], y[:, k]) for k in range(len(names))])
+    return Chain(names, numbers, models, [threshold_of(held[told, k], y[told, k] > 0) for k, told in enumerate((~np.isnan(y)).T)])
 
 
 def label_categories(labels: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -252,4 +263,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are not toxic; columns as they came."""
     chain = train(docs, *label_categories(labels), sample)
-    return docs.withColumn("_p", chain.column(F.col("text"))).filter(F.col("_p.p_toxic") < chain.thresholds[-1]).select(*docs.columns)
+    # the row travels as one column, so that no column of it can be taken for another
+    rows = docs.select(F.struct("*").alias("doc"), chain.column(F.col("text")).alias("p"))
+    return rows.filter(F.col("p.p_toxic") < chain.thresholds[-1]).select("doc.*")
