@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from rosterline.plans import catalog
 from tools.compare import compare, connect
 
 
@@ -11,9 +12,9 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf, con, name):
-    text, _, ok = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), sf)
+    text, _, ok = compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLES.get(name), sf)
     assert ok, text
     assert "EMPTY" not in text and text != "rows-only 0"
 
