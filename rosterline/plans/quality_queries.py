@@ -479,7 +479,7 @@ def trace_export(spark, sf):
     sinks.write_traces(_with_known(quality.traces)(spark, sf), path)
     rows = sinks.read_traces(spark, path).transform(explode_rows, ["msg_id", "thread_trimmed", "blocks_detected"], "field_traces", "t")
     total = sinks.trace_count(spark, path).first()["total_traces"]
-    return rows.select("msg_id", "thread_trimmed", "blocks_detected", "t.*", F.lit(total).alias("total_traces"))
+    return rows.select("msg_id", "thread_trimmed", "blocks_detected", "t.*", F.lit(total).cast("long").alias("total_traces"))
 
 
 FILES_CTE = f"""{RENDERED_CTE}, h AS (SELECT *, {fx.HTML_SQL} AS html0 FROM rendered),
