@@ -18,9 +18,9 @@ ship(__name__)
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
-ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 #: elements whose content is no text of the page
-SKIPPED = frozenset("script style title textarea noscript iframe template svg math object select button head".split()) - {"head"}
+SKIPPED = frozenset("script style title textarea noscript iframe template svg select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -40,6 +40,8 @@ NOISE_WORDS = frozenset(
     "search copyright complementary contentinfo banner".split())
 #: the same, but inside an article they may hold its title
 HEAD_WORDS = frozenset("header masthead topbar".split())
+#: classes and ids that mark adverts and reader comments inside articles too, whatever the template says
+PLAIN_WORDS = frozenset("ad ads advert adverts advertisement sponsored comments disqus replies respond".split())
 #: share of a host's pages on which a token of its template stands, and pages it needs
 FREQUENT, PAGES = 0.5, 3
 
@@ -50,19 +52,22 @@ class Block(NamedTuple):
     noise: bool
     text: str
     linked: int
+    #: elements inside the article that hold the block and whose names hint at noise: key, and whether the names leave little doubt
+    hints: tuple[tuple[str, bool], ...] = ()
 
 
 class Element:
-    __slots__ = ("tag", "path", "region", "noise")
+    __slots__ = ("tag", "path", "region", "noise", "hints")
 
-    def __init__(self, tag: str, path: str, region: str, noise: bool):
-        self.tag, self.path, self.region, self.noise = tag, path, region, noise
+    def __init__(self, tag: str, path: str, region: str, noise: bool, hints: tuple = ()):
+        self.tag, self.path, self.region, self.noise, self.hints = tag, path, region, noise, hints
 
 
 def read_page(page: str | None) -> tuple[list[Block], Counter]:
     """Text blocks in page order, and how often each element path occurs.
 
-    A path names the open block elements with their classes.  Unclosed and
+    A path names the open block elements with their classes (those of the page
+    itself, ``html`` and ``body``, left out).  Unclosed and
     stray tags are repaired: paragraphs end where the next block starts, list
     items and cells where the next one does, and an end tag reaches its start
     tag only within the nearest section.
@@ -80,7 +85,7 @@ def read_page(page: str | None) -> tuple[list[Block], Counter]:
             text = " ".join("".join(buffer).split())
             if text:
                 top = next(e for e in reversed(stack) if e.tag in BLOCK or not e.tag)
-                blocks.append(Block(top.path, top.region, stack[-1].noise, text, linked))
+                blocks.append(Block(top.path, top.region, stack[-1].noise, text, linked, stack[-1].hints))
             buffer.clear()
         linked = 0
 
@@ -140,33 +145,60 @@ def read_page(page: str | None) -> tuple[list[Block], Counter]:
             if re.fullmatch("h[1-6]", name):
                 close({"h1", "h2", "h3", "h4", "h5", "h6"}, STRUCTURE)
         parent = stack[-1]
-        attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
-        region, noise = parent.region, parent.noise or marks_noise(name, attrs, bool(parent.region), m[3] or m[6] or "")
-        path = parent.path
+        attrs: dict[str, str] = {}
+        for key, value in ATTRIBUTE.findall(m[3] or m[6] or ""):
+            attrs.setdefault(key.lower(), value.strip("\"'"))
+        region, noise = parent.region, parent.noise or marks_noise(name, attrs, bool(parent.region))
+        path, hints = parent.path, parent.hints
         if name in BLOCK:
-            classes = re.sub(r"\d+", "#", ".".join(attrs.get("class", "").split()[:2]))
+            classes = "" if name in ("html", "body") else re.sub(r"\d+", "#", ".".join(attrs.get("class", "").split()))
             path = f"{path}>{name}{'.' + classes if classes else ''}"
             seen[path] += 1
             if not noise and (name in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"):
                 region = path
+        if parent.region and attrs and not noise and (doubt := hints_noise(attrs)) is not None:
+            key = f"{path}>{name}.{attrs.get('class', '')}#{attrs.get('id', '')}"
+            hints = (*hints, (re.sub(r"\d+", "#", key), not doubt))
         if not (m[3] or m[6] or "").endswith("/") or name in BLOCK:
-            stack.append(Element(name, path, region, noise))
+            stack.append(Element(name, path, region, noise, hints))
     flush()
     return blocks, seen
 
 
-def marks_noise(name: str, attrs: dict[str, str], inside: bool, raw: str) -> bool:
-    """Whether an element lies beside the article by its kind, class, id or role, or is hidden."""
+def words_of(text: str) -> set[str]:
+    return set(re.split(r"[^a-z0-9]+", text.lower())) - {""}
+
+
+def marks_noise(name: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element lies beside the article by its kind, or is hidden; outside articles also by its class, id or role."""
     if name in NOISE_TAGS or name == "header" and not inside:
         return True
     if not attrs:
-        return bool(raw) and raw.strip().lower() == "hidden"
-    words = set(re.split(r"[^a-z0-9]+", " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
-    if words & NOISE_WORDS and name not in ("body", "html", "article", "main") or words & {"comment", "comments"} and name == "article":
-        return True
-    if words & HEAD_WORDS and not inside and name not in ("body", "html"):
+        return False
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    return attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", raw))
+    words = words_of(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))
+    if name == "article":
+        return bool(words & {"comment", "comments"})
+    if name in ("body", "html", "main"):
+        return False
+    if inside:
+        return bool(PLAIN_WORDS & {*attrs.get("class", "").lower().split(), attrs.get("id", "").lower()})
+    return bool(words & NOISE_WORDS or words & HEAD_WORDS)
+
+
+def hints_noise(attrs: dict[str, str]) -> bool | None:
+    """Whether the names of an element inside an article hint at noise: None if not, else whether other words leave doubt.
+
+    Headings have ids and prose has classes of their own ("related work"), so
+    a word alone decides nothing: the host's template does, or, where a host
+    has too few pages for one, names in which every class tells.
+    """
+    classes = attrs.get("class", "").lower().split()
+    names, role = words_of(attrs.get("id", "")), words_of(attrs.get("role", ""))
+    if not (words_of(" ".join(classes)) | names | role) & NOISE_WORDS:
+        return None
+    return not (bool(classes) and all(words_of(c) & NOISE_WORDS for c in classes) or bool(names) and names <= NOISE_WORDS or bool(role & NOISE_WORDS))
 
 
 def host_of(url: str = "url"):
@@ -178,7 +210,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     """Tokens of each page with their count: element paths, and the first occurrence of each text under its path.
 
     ``article`` marks paths that are an article element.  Texts inside articles are tokens like others.
-    The empty path stands once for every page.
+    The empty path stands once for every page; paths after an ``@`` are elements inside articles whose names hint at noise.
     """
 
     def run(batches):
@@ -197,6 +229,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 out.append((host, "", None, 1, key, 0, 0, False))
                 for path, n in seen.items():
                     out.append((host, path, None, n, key, chars[path], linked[path], path in articles))
+                for hint in {k for x in blocks if not x.noise for k, _ in x.hints}:
+                    out.append((host, "@" + hint, None, 1, key, 0, 0, False))
                 for (path, text), n in texts.items():
                     out.append((host, path, hash_text(text), 1, key, n, 0, False))
             if out:
@@ -217,11 +251,14 @@ def hash_text(text: str) -> int:
 
 def hash_page(blocks: list[Block]) -> int:
     """Hash of what a page says beside its noise; equal for copies whose scripts, adverts or menus differ."""
-    return hash_text("\0".join(f"{b.path}\0{b.text}" for b in blocks if not b.noise))
+    kept = [b for b in blocks if not b.noise]
+    kept = [b for b in kept if not b.hints] or kept
+    return hash_text("\0".join(f"{b.path}\0{b.text}" for b in kept))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Template of each host: ``region`` (path of the slot that holds the article, or null) and ``fixed`` (texts of the template, hashed).
+    """Template of each host: ``region`` (path of the slot that holds the article, or null), ``fixed`` (texts of the template, hashed)
+    and ``frames`` (elements of the template inside articles whose names hint at noise; null where the host has too few pages).
 
     The occurrence vector of a token says how often it stands on each page of
     its host.  It is never built: a token carries the number of its pages and
@@ -233,6 +270,10 @@ def templates(pages: DataFrame) -> DataFrame:
     their pages and hold most of the text that changes, the slot of the
     article is an article element if there is one, else the innermost.
 
+    Elements with telling names are the template's if three pages have them: an
+    advert's text changes and it need not stand on half of the pages, but prose
+    does not repeat the names of its elements from page to page.
+
     Copies of a page say nothing about the template: pages of equal content
     count once per host.
     """
@@ -244,7 +285,8 @@ def templates(pages: DataFrame) -> DataFrame:
         .filter((F.col("pages") >= PAGES) | (F.col("path") == "") & ~F.col("is_text")), "html-tokens")
     whole = (F.col("path") == "") & ~F.col("is_text")
     total = counted.filter(whole).select("host", F.col("pages").alias("host_pages"))
-    frequent = counted.filter(~whole).join(total, "host").filter(F.col("pages") >= FREQUENT * F.col("host_pages"))
+    hint = F.col("path").startswith("@")
+    frequent = counted.filter(~whole & ~hint).join(total, "host").filter(F.col("pages") >= FREQUENT * F.col("host_pages"))
     # equivalence classes: tokens of one vector; a class of a path that stands once per page can hold slots
     classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
     valid = frequent.join(classes, ["host", "vector", "pages"]).filter("size >= 2")
@@ -265,16 +307,23 @@ def templates(pages: DataFrame) -> DataFrame:
         .groupBy("host").agg(F.max(F.struct("article", F.size(F.split("holder", ">")), "holder")).getField("holder").alias("region"))
     )
     fixed = valid.filter("is_text").groupBy("host").agg(F.collect_set("text").alias("fixed"))
-    return settle(total.select("host").join(region, "host", "left").join(fixed, "host", "left"), "html-templates")
+    frames = counted.filter(hint).groupBy("host").agg(F.collect_set(F.substring("path", 2, 1 << 30)).alias("frames"))
+    none = F.array().cast("array<string>")
+    found = total.join(region, "host", "left").join(fixed, "host", "left").join(frames, "host", "left")
+    return settle(
+        found.select("host", "region", "fixed", F.when(F.col("host_pages") >= PAGES, F.coalesce("frames", none)).alias("frames")), "html-templates")
 
 
-def main_text(blocks: list[Block], region: str | None, fixed: set[int], hash_text) -> str:
+def main_text(blocks: list[Block], region: str | None, fixed: set[int], hash_text, frames: set[str] | None = None) -> str:
     """Slots of a page that remain: the host's slot, without template texts or noise.
 
     A page that lacks the slot, or a host without one, falls back to the
     article element of the page, then to all its text that is not mostly
-    links; template texts are left out there too.
+    links; template texts are left out there too.  Elements inside the article
+    whose names hint at noise go if they are the template's (``frames``); without
+    a template, if their names leave little doubt.
     """
+    blocks = [b for b in blocks if not any(sure if frames is None else key in frames for key, sure in b.hints)]
     chars, linked = Counter(), Counter()
     for b in blocks:
         if not b.noise:
@@ -303,11 +352,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for page, region, fixed in zip(b.column("html"), b.column("region").to_pylist(), b.column("fixed").to_pylist()):
-                texts.append(main_text(read_page(page.as_py())[0], region, set(fixed or ()), hash_text))
+            rules = (b.column(c).to_pylist() for c in ("region", "fixed", "frames"))
+            for page, region, fixed, frames in zip(b.column("html"), *rules):
+                texts.append(main_text(
+                    read_page(page.as_py())[0], region, set(fixed or ()), hash_text, None if frames is None else set(frames)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return joined.select("page_id", "url", "html", "region", "fixed").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "region", "fixed", "frames").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -160,6 +160,10 @@ def text_of(page, region=None, fixed=()):
     ("<p title='a>b'>x</p><p title=\"unclosed>y</p>", "x\ny"),
     ("<div id=cookie-notice>ok?</div><div hidden>h</div><div style='display: none'>h</div><p>t</p>", "t"),
     ("<p>unclosed <i>tags <p>next", "unclosed tags\nnext"),
+    ("<p title=\"a hidden gem\">text one</p><p data-x=hidden>two</p><p class=x HIDDEN>three</p>", "text one\ntwo"),
+    ("<p>the sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> end</p>", "the sum x+1 end"),
+    ("<article><section id=\"search-algorithms\"><p>a</p></section><div class=\"related work\"><p>b</p></div></article>", "a\nb"),
+    ("<article><div class='ad box'>buy</div><p>a</p><div class=share-bar>s</div><div id=comments>c</div></article>", "a"),
 ])
 def test_main_text(page, want):
     assert text_of(page) == want

@@ -32,6 +32,65 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [got[20 + i] for i in range(5)] == [(f"story {i} " * 9).strip() for i in range(5)]
 
 
+def test_names_inside_articles_are_judged_by_the_template(spark):
+    """A telling class in an article is noise where the host's pages share it, and prose where one page has it."""
+    def page(i):
+        own = "<div class='related work'><p>prior studies</p></div><section class=search><p>how to search</p></section>" if i == 3 else ""
+        return (f"<html><body class='p{i}'><div>Our site</div><article><p>story {i} {'long ' * 20}</p>{own}"
+                f"<div class='share links'><p>tell {i}</p></div><div class='promo box'>offer {i * 7}</div></article><div>All rights</div></body></html>")
+
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(9)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    long = ("long " * 20).strip()
+    assert got == {i: f"story {i} {long}" + ("\nprior studies\nhow to search" if i == 3 else "") for i in range(9)}
+    alone = {i: html_extract.main_text(html_extract.read_page(page(i))[0], None, set(), hash) for i in range(9)}
+    assert all(alone[i] != got[i] for i in range(9))  # without the host's pages the names decide otherwise
+
+
+def test_templates_equal_plain_occurrence_vectors(spark):
+    """Fixed texts are those of valid classes, found by building every token's vector; without the template, results differ."""
+    random.seed(4)
+    lines = [f"line {k}" for k in range(6)]
+    made = []
+    for i in range(14):
+        some = [x for x in lines if random.random() < 0.6]
+        made.append("<html><body><div><p>Top of site</p></div><div>" + "".join(f"<p>{x}</p>" for x in some)
+                    + f"<p>{' '.join(f'w{i}x{j}' for j in range(30))}</p></div><div><b>End of site</b></div></body></html>")
+    made += made[:3]  # copies count once
+    rows = [(i, f"http://h.example/{i}", x) for i, x in enumerate(made)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    vectors = {}
+    distinct = list(dict.fromkeys(made))
+    for i, x in enumerate(distinct):
+        blocks, seen = html_extract.read_page(x)
+        for path, n in seen.items():
+            vectors.setdefault((path, None), [0] * len(distinct))[i] = n
+        for b in blocks:
+            vectors.setdefault((b.path, b.text), [0] * len(distinct))[i] = 1
+    members = {}
+    for token, v in vectors.items():
+        if sum(map(bool, v)) >= max(3, 0.5 * len(distinct)):
+            members.setdefault(tuple(v), []).append(token)
+    fixed = {text for tokens in members.values() if len(tokens) >= 2 for _, text in tokens if text}
+    found = html_extract.templates(pages.withColumn("host", html_extract.host_of())).collect()
+    assert len(found) == 1 and {html_extract.hash_text(t) for t in fixed} == set(found[0]["fixed"])
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for i, x in enumerate(made):
+        assert got[i] == html_extract.main_text(html_extract.read_page(x)[0], found[0]["region"], fixed, lambda t: t, set())
+        assert got[i] != html_extract.main_text(html_extract.read_page(x)[0], None, set(), hash)
+
+
+def test_pages_of_any_length_and_repeated(spark):
+    """A very long page is read whole; repeated rows give equal results; ids may be null."""
+    long = "<p>" + "</p><p>".join(f"paragraph {i}" for i in range(60_000)) + "</p>"
+    rows = [(1, "http://h.example/1", f"<article>{long}</article>"), (2, "http://h.example/2", "<p>x</p>"), (2, "http://h.example/2", "<p>x</p>"),
+            (None, "http://h.example/3", "<p>y</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = sorted((r["page_id"] or 0, r["n_chars"], r["text"][-15:]) for r in html_extract.extract(pages).collect())
+    whole = "\n".join(f"paragraph {i}" for i in range(60_000))
+    assert got == [(0, 1, "y"), (1, len(whole), whole[-15:]), (2, 1, "x"), (2, 1, "x")]
+
+
 def test_equal_fingerprints_are_compared(spark):
     """Texts that one repeated word rules have equal fingerprints; only those of similar text are copies, also of other texts than the first."""
     rng = random.Random(4)
