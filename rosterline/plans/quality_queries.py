@@ -11,7 +11,7 @@ from ..functions.frames import explode_rows
 from ..operators import batch, counters, entities, fusion, patterns, quality, records
 from ..session import shared_folder
 from ..sources import attachments, fixture as fx, mail as mail_source
-from ..sources import sinks
+from ..sources import mailbox, sinks
 from ..streaming import metrics_stream, roster_stream
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
 from ..vocab.headers import attachment_rows
@@ -486,18 +486,34 @@ FILES_CTE = f"""{RENDERED_CTE}, h AS (SELECT *, {fx.HTML_SQL} AS html0 FROM rend
     mail AS (SELECT msg_id, CASE WHEN k % 7 = 3 THEN '' ELSE concat(body, ' – end') END AS body, html0 AS html FROM h)"""
 
 
-@query("mail_files_roster", f"WITH RECURSIVE {FILES_CTE}, {records_cte(html=True)}, {FINAL_CTE} SELECT msg_id, block_id, {_COLS} FROM fin")
+_FILES_ROSTER = f"WITH RECURSIVE {FILES_CTE}, {records_cte(html=True)}, {FINAL_CTE} SELECT msg_id, block_id, {_COLS} FROM fin"
+
+
+@query("mail_files_roster", _FILES_ROSTER)
 def mail_files_roster(spark, sf):
     """The fixture mails written as one file each to the shared folder, read back as a mail folder, and their roster."""
     folder = os.path.join(shared_folder(spark, "mail-files"), "mails")
     mails = fx.rendered(spark, sf).selectExpr("*", f"{fx.HTML_SQL} AS html").selectExpr(f"{_EML} AS value")
     mails.write.option("maxRecordsPerFile", 1).text(folder)
-    decoded = mail_source.decode(mail_source.read_mail_files(spark, folder, "*.txt"))
-    found = mail_source.messages(decoded).withColumn(
+    return _roster_of(mail_source.read_mail_files(spark, folder, "*.txt"))
+
+
+def _roster_of(files):
+    """Roster of fixture mails, which carry their number in the header."""
+    found = mail_source.messages(mail_source.decode(files)).withColumn(
         "msg_id", F.regexp_extract(F.col("headers")["Message-ID"], "<([0-9]+)@", 1).cast("bigint"))
     return found.transform(fusion.extract).transform(records.process).select("msg_id", "block_id", *OUTPUT_COLUMNS)
 
 
+@query("mailbox_roster", _FILES_ROSTER)
+def mailbox_roster(spark, sf):
+    """The fixture mails written as mailbox archives to the shared folder, cut into mails again, and their roster."""
+    folder = os.path.join(shared_folder(spark, "mailboxes"), "boxes")
+    mails = fx.rendered(spark, sf).selectExpr("*", f"{fx.HTML_SQL} AS html").selectExpr(f"encode({_EML}, 'UTF-8') AS content")
+    mailbox.write_mailboxes(mails, folder, mails_per_file=100_000)
+    return _roster_of(mailbox.read_mailboxes(spark, folder, "*.txt"))
+
+
 _SHORT = ["TIN", "Provider Name", "Provider NPI", "Roster Note", "Term Date"]
 
 
