@@ -304,14 +304,19 @@ def candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum
     return found.transform(explode_rows, ["msg_id"], "es", "e").select("msg_id", "e.block_id", "e.scope", "e.c.*")
 
 
-def ranked_candidates(prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", known=None) -> DataFrame:
+def ranked_candidates(
+        prepared: DataFrame, gap: int = 2, compat: bool = False, checksum: str = "standard", known=None, rank_by: str = "priority") -> DataFrame:
     """Best candidate per message and field: declared priority of its extractor family (0 when undeclared), confidence, then scan order.
 
+    ``rank_by="confidence"`` lets the confidence decide before the priority.
     The best is picked inside the message row, without a shuffle.
     """
+    if rank_by not in ("priority", "confidence"):
+        raise ValueError(f"rank_by must be 'priority' or 'confidence', not {rank_by!r}")
     priority = " ".join(f"WHEN startswith(e.c.extractor_id, {q(prefix)}) THEN {n}" for prefix, n in EXTRACTOR_PRIORITY.items())
+    first = [f"'priority', CASE {priority} ELSE 0 END", "'confidence', e.c.confidence"]
     key = (
-        f"named_struct('priority', CASE {priority} ELSE 0 END, 'confidence', e.c.confidence, "
+        f"named_struct({', '.join(first if rank_by == 'priority' else first[::-1])}, "
         "'scope', CASE e.scope WHEN 'table' THEN 0 WHEN 'full' THEN -1 ELSE -2 END, 'block', -coalesce(e.block_id, -1), "
         "'pattern', -e.c.pattern_ord, 'match', -e.c.match_ord, 'extractor_id', e.c.extractor_id, 'value', e.c.value)"
     )

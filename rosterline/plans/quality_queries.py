@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -130,14 +131,24 @@ def candidates(spark, sf):
 _PRIORITY = "CASE " + " ".join(f"WHEN starts_with(extractor_id, '{p}') THEN {n}" for p, n in EXTRACTOR_PRIORITY.items()) + " ELSE 0 END"
 
 
-@query("priority_ranking", f"""
-    {CAND}, k AS (SELECT *, {_PRIORITY} AS p, row_number() OVER (PARTITION BY msg_id, field ORDER BY {_PRIORITY} DESC, confidence DESC,
+def _ranking_sql(first: str) -> str:
+    return f"""
+    {CAND}, k AS (SELECT *, {_PRIORITY} AS p, row_number() OVER (PARTITION BY msg_id, field ORDER BY {first},
         CASE scope WHEN 'table' THEN 0 WHEN 'full' THEN 1 ELSE 2 END, coalesce(block_id, -1), pattern_ord, match_ord, extractor_id DESC, value DESC) AS rn FROM cand)
-    SELECT msg_id, field, value, p::INT AS priority, confidence, extractor_id FROM k WHERE rn = 1""")
+    SELECT msg_id, field, value, p::INT AS priority, confidence, extractor_id FROM k WHERE rn = 1"""
+
+
+@query("priority_ranking", _ranking_sql(f"{_PRIORITY} DESC, confidence DESC"))
 def priority_ranking(spark, sf):
     return _with_known(fusion.ranked_candidates)(spark, sf)
 
 
+@query("confidence_ranking", _ranking_sql(f"confidence DESC, {_PRIORITY} DESC"))
+def confidence_ranking(spark, sf):
+    """Best candidates by confidence first, by the priority of their extractors only among equals."""
+    return _with_known(partial(fusion.ranked_candidates, rank_by="confidence"))(spark, sf)
+
+
 @query("extractor_analysis", f"""
     {CAND}, per AS (SELECT extractor_id, count(*) FILTER (WHERE confidence > 0.5) AS success, count(*) AS total FROM cand GROUP BY 1)
     SELECT extractor_id, success, total, success / total::DOUBLE AS rate, CASE WHEN total >= 5 AND success / total::DOUBLE > 0.7 THEN 'best'

@@ -3,11 +3,12 @@
 import os
 from email.message import EmailMessage
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterline.operators import fusion, records
 from rosterline.session import shared_folder
-from rosterline.sources import attachments, dictionaries, mail, sinks
+from rosterline.sources import attachments, dictionaries, fixture, mail, sinks
 from rosterline.streaming import roster_stream
 
 
@@ -136,3 +137,19 @@ def test_ranking_does_not_shuffle(spark):
     ranked = fusion.ranked_candidates(fusion.prepare(messages))
     assert "Exchange hashpartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
     assert {r["field"] for r in ranked.collect()} >= {"npi", "tin"}
+
+
+def test_ranking_by_confidence(spark, sf):
+    """The best candidate has the greatest confidence of its field; by priority some other candidate may win."""
+    prepared = fusion.prepare(fixture.messages(spark, sf)).filter("msg_id <= 40")
+    most = {(r.msg_id, r.field): r.m for r in fusion.candidates(prepared).groupBy("msg_id", "field").agg(F.max("confidence").alias("m")).collect()}
+    by = {how: {(r.msg_id, r.field): r for r in fusion.ranked_candidates(prepared, rank_by=how).collect()} for how in ("priority", "confidence")}
+    assert {k: r.confidence for k, r in by["confidence"].items()} == most and by["priority"].keys() == most.keys()
+    # one of four headers is known, so the table's number has priority but little confidence
+    html = ("<p>Provider NPI: 1234567893</p><table><tr><th>NPI</th><th>Qqq</th><th>Wxz</th><th>Zzk</th></tr>"
+            "<tr><td>1987654321</td><td>a</td><td>b</td><td>c</td></tr></table>")
+    one = fusion.prepare(spark.createDataFrame([("1", "", html)], "msg_id string, text_content string, html_content string"))
+    first = {how: {r.field: (r.value, r.priority) for r in fusion.ranked_candidates(one, rank_by=how).collect()} for how in by}
+    assert first["priority"]["npi"] == ("1987654321", 100) and first["confidence"]["npi"] == ("1234567893", 90)
+    with pytest.raises(ValueError):
+        fusion.ranked_candidates(prepared, rank_by="length")
