@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,10 @@ from .graph import components
 
 ship(__name__)
 
-#: fingerprints of one tree, and queries sent to it at a time
-BLOCK = 1024
-#: unrelated fingerprints in a shard of sampled bits
+#: unrelated fingerprints in a shard
 SHARD = 1024
+#: most fingerprints of one tree, and queries sent to it at a time
+BLOCK = 2 * SHARD
 #: the same as BLOCK where pairs are compared in rows
 WIDE_BLOCK = 4096
 #: radius from which a tree rules out next to nothing and pairs are compared in rows
@@ -120,22 +120,25 @@ def insert(root: Node, value: int, row: int) -> None:
         node = child
 
 
-def search(root: Node, value: int, radius: int) -> list[tuple[int, int]]:
-    """(distance, row) of the nodes within the radius.
+def visits(root: Node, value: int, radius: int) -> Iterator[tuple[int, int]]:
+    """(distance, row) of the nodes that a search compares.
 
     A node at distance d of the query has its matches only below edges of
     d - radius to d + radius (triangle inequality); other edges are skipped.
     """
-    found, todo = [], [root]
+    todo = [root]
     while todo:
         node = todo.pop()
         d = (node.value ^ value).bit_count()
-        if d <= radius:
-            found.append((d, node.row))
+        yield d, node.row
         for edge, child in node.children.items():
             if d - radius <= edge <= d + radius:
                 todo.append(child)
-    return found
+
+
+def search(root: Node, value: int, radius: int) -> list[tuple[int, int]]:
+    """(distance, row) of the nodes within the radius."""
+    return [(d, row) for d, row in visits(root, value, radius) if d <= radius]
 
 
 def forest(values: list[int], own: np.ndarray, i: int, j: int, radius: int, accept=None) -> list[tuple[int, int, int]]:
@@ -205,16 +208,17 @@ def scan(values: np.ndarray, own: np.ndarray, i: int, j: int, radius: int, few:
     return out
 
 
-def exact_masks(radius: int) -> list[int]:
+def exact_masks(n: int, radius: int) -> list[int]:
     """Shard keys that miss no pair within the radius.
 
-    64 bits in radius + 2 blocks: two values that differ in at most ``radius``
-    bits agree on two whole blocks at least, so they share the key of some
-    pair of blocks.
+    radius + 1 masks of different bits: ``radius`` differing bits spoil at
+    most as many masks, so two values agree under one of them at least.  The
+    masks are as wide as it takes that about ``SHARD`` of n unrelated values
+    share a key, so that every tree is large enough to prune and a value is
+    copied radius + 1 times at every n.
     """
-    cut = np.linspace(0, 64, radius + 3).round().astype(int)
-    blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(cut[:-1], cut[1:])]
-    return [x | y for x, y in combinations(blocks, 2)]
+    bits = min(64 // (radius + 1), max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
+    return [((1 << bits) - 1) << k * bits for k in range(radius + 1)] if bits else [0]
 
 
 def sampled_masks(n: int, radius: int, miss: float, seed: int = 3) -> list[int]:
@@ -340,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
 
     Without ``similarity`` equal fingerprints are one class.  Fingerprints
-    within ``radius`` bits link: without ``miss`` exactly, by block keys that
+    within ``radius`` bits link: without ``miss`` exactly, by shards that
     miss none; with ``miss`` by random bit samples that miss a pair at the
     radius with that probability at most, whatever the size, for large radii.
     With ``similarity`` a class is a fingerprint and a set of ``check_words``-word
@@ -358,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spots = settle(classes.groupBy("fp").agg(
             F.min("rep").alias("rep"), F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("sets"),
             F.min("sketch").alias("sketch"), (F.count("*") > 1).alias("loose")), "fingerprint-spots")
-    masks = sampled_masks(spots.count(), radius, miss) if miss else exact_masks(radius)
+    masks = sampled_masks(spots.count(), radius, miss) if miss else exact_masks(spots.count(), radius)
     found = links(spots, radius, masks, similarity or 0.0, sketch_limit(similarity) if miss and similarity is not None else 64)
     if similarity is not None:
         found = similar_links(found, spots, classes, docs, id_col, text_col, radius, check_words, similarity)

@@ -185,10 +185,11 @@ def test_simhash(odd, none):
 
 def test_large_shards(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SHARD", 8)
     rng = random.Random(9)
     values = list({(rng.getrandbits(64) if i % 9 == 0 else 0xABCDEF ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))) for i in range(200)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.links(spark.createDataFrame([(i, v, 0) for i, v in enumerate(signed)], "rep long, fp long, n long"), 2, simhash.exact_masks(2))
+    found = simhash.links(spark.createDataFrame([(i, v, 0) for i, v in enumerate(signed)], "rep long, fp long, n long"), 2, simhash.exact_masks(len(values), 2))
     parts = {r["node"]: r["component"] for r in graph.components(found.select("a", "b")).collect()}
     low = list(range(len(values)))
     for _ in range(20):

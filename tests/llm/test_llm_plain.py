@@ -86,11 +86,35 @@ def test_tree_search_and_masks():
         for radius in (0, 1, 2, 5):
             want = {r for r, v in enumerate(values) if (v ^ q).bit_count() <= radius}
             assert {r for _, r in simhash.search(root, q, radius)} == want
-    masks = simhash.exact_masks(2)
-    for _ in range(500):
-        a = rng.getrandbits(64)
-        b = a ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
-        assert any(a & m == b & m for m in masks)
+    for n in (0, 1, 1024, 1025, 230_000, 10**9, 10**12):
+        masks = simhash.exact_masks(n, 2)
+        assert len(masks) <= 3
+        for _ in range(500):
+            a = rng.getrandbits(64)
+            b = a ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+            assert any(a & m == b & m for m in masks)
+
+
+def test_shard_trees_prune():
+    """Shards hold about as many values at every n, and a search compares few nodes of its tree."""
+    rng = random.Random(8)
+    for n in (3_000, 50_000):
+        values = [rng.getrandbits(64) for _ in range(n)]
+        visited = of = 0
+        for mask in simhash.exact_masks(n, 2):
+            shards = {}
+            for row, v in enumerate(values):
+                shards.setdefault(v & mask, []).append((row, v))
+            assert 256 < min(map(len, shards.values())) and max(map(len, shards.values())) < simhash.BLOCK
+            part = shards[min(shards)]
+            root = simhash.Node(part[0][1], part[0][0])
+            for row, v in part[1:]:
+                simhash.insert(root, v, row)
+            for row, v in part[:100]:
+                visited += sum(1 for _ in simhash.visits(root, v, 2))
+                of += len(part)
+                assert (0, row) in simhash.search(root, v, 2)
+        assert visited < 0.1 * of
 
 
 def test_local_roots():
