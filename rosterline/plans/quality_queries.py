@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import explode_rows
 from ..operators import batch, counters, entities, fusion, patterns, quality, records
 from ..session import shared_folder
-from ..sources import attachments, fixture as fx, mail as mail_source
+from ..sources import attachments, delimited, fixture as fx, mail as mail_source
 from ..sources import mailbox, sinks
 from ..streaming import metrics_stream, roster_stream
 from ..vocab.business import EXTRACTOR_PRIORITY, OUTPUT_COLUMNS, TRACKED_FIELDS
@@ -358,6 +358,22 @@ def csv_attachment_rows(spark, sf):
     return attachments.csv_cells(files)
 
 
+_BLOCKS = "concat('\"', person, ', \"\"MD\"\"', chr(10), chr(10), 'second line\",', npi, ',\"', chr(10), ',\"\"x\"\"\",', phone)"
+
+
+@query("csv_attachment_blocks", f"""
+    WITH {RENDERED_CTE}, r AS (SELECT *, (c // 500)::BIGINT AS msg, row_number() OVER (PARTITION BY c // 500 ORDER BY c)::INT - 1 AS i FROM (SELECT *, msg_id::BIGINT AS c FROM rendered))
+    SELECT msg AS msg_id, i AS row_idx, 0 AS col_idx, 'Provider Name' AS header, 'provider_name' AS field, concat(person, ', "MD"', chr(10), chr(10), 'second line') AS value FROM r
+    UNION ALL SELECT msg, i, 1, 'NPI #', 'npi', npi FROM r UNION ALL SELECT msg, i, 3, 'Office, Phone', 'phone', phone FROM r""")
+def csv_attachment_blocks(spark, sf):
+    """Rosters of up to 500 providers, each one payload, read in blocks of 64 lines with records across them."""
+    rows = fx.rendered(spark, sf).selectExpr("cast(msg_id as long) AS c", f"{_BLOCKS} AS line")
+    files = rows.groupBy(F.expr("c div 500").alias("msg_id")).agg(F.sort_array(F.collect_list(F.struct("c", "line"))).alias("found"))
+    head = "'Provider Name,NPI #,Notes,\"Office, Phone\"'"
+    payload = F.expr(f"concat({head}, chr(10), array_join(found.line, chr(10)))").alias("payload")
+    return delimited.cells(delimited.payload_lines(files.select("msg_id", payload), block=64))
+
+
 # --- decoding --------------------------------------------------------------
 
 #: raw mails: plain and HTML alternative (quoted text in base64 for some), a CSV attachment; some unreadable

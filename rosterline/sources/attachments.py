@@ -51,13 +51,18 @@ def map_attachment_header(header: str) -> str:
         "regexp_extract_all(hd, '\\\\S+', 0)", "ws", let(table, "vs", f"coalesce({exact}, {near})")))
 
 
+def record_cells(record: str) -> str:
+    """Cells of one record, quotes undone."""
+    cell = q(r'("(?:[^"]|"")*+"|[^,]*+),')
+    undo = "if(startswith(c, '\"'), replace(substr(c, 2, length(c) - 2), '\"\"', '\"'), c)"
+    return f"transform(regexp_extract_all(concat({record}, ','), {cell}, 1), c -> {undo})"
+
+
 def csv_records(payload: str) -> str:
     """Records of a comma-separated text: array of arrays of cells, quotes undone."""
     record = q(r'(?:[^"\n]|"(?:[^"]|"")*+"?)++')
-    cell = q(r'("(?:[^"]|"")*+"|[^,]*+),')
-    undo = "if(startswith(c, '\"'), replace(substr(c, 2, length(c) - 2), '\"\"', '\"'), c)"
     unix = f"regexp_replace({payload}, {q(chr(92) + 'r' + chr(92) + 'n?')}, '\\n')"
-    return f"transform(regexp_extract_all({unix}, {record}, 0), r -> transform(regexp_extract_all(concat(r, ','), {cell}, 1), c -> {undo}))"
+    return f"transform(regexp_extract_all({unix}, {record}, 0), r -> {record_cells('r')})"
 
 
 def csv_cells(attachments: DataFrame, payload: str = "payload") -> DataFrame:
