@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def by_length(size: Column) -> Column:
+    """Odds factor of a document in the registered mix: its words over 128, from 1/4 to 4, so that scraps are drawn less often."""
+    return F.greatest(F.least(size / 128.0, F.lit(4.0)), F.lit(0.25))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
     """``source``, ``source_size``, ``target`` of one row per source (``source``, ``source_size``).
 
@@ -217,10 +224,15 @@ def _cut(live: DataFrame, refinements: int = 3) -> DataFrame:
             (F.col("b.rest") - F.coalesce("l.m.run", "b.base")).alias("gap")), "mix-cut")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 5, **options) -> DataFrame:
-    """The documents, each as often as the mix takes it; columns as they came.  Copies repeat the row."""
-    plan, repeated = cuts(docs, seed=seed, **options)
+def mixed_documents(docs: DataFrame, seed: int = 5, odds: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """The documents, each as often as the mix takes it; columns as they came.  Copies repeat the row.
+
+    ``odds`` gives the preference of a document from its number of words.
+    """
+    odds = odds or (lambda size: F.lit(1.0))
+    plan, repeated = cuts(docs, seed=seed, preference=odds(word_count()), **options)
     columns = docs.columns
-    rows = taken(docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "doc_id", "source"), plan, repeated, word_count("_row.text"), seed)
+    rows = taken(docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "doc_id", "source"), plan, repeated, word_count("_row.text"), seed,
+                 odds(word_count("_row.text")))
     repeated = rows.select("_row", F.explode(F.expr("if(copies > 0, sequence(1, copies), cast(array() as array<bigint>))")).alias("_copy"))
     return repeated.select("_row.*")

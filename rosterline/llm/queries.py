@@ -34,7 +34,8 @@ def op2_embedding_near_duplicates(spark, sf_dir):
 
 @query
 def op3_source_mix(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    odds = mixing.by_length(mixing.word_count())
+    return mixing.mix(table(spark, sf_dir, "documents"), preference=odds).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 @query

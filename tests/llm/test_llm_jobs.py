@@ -137,6 +137,33 @@ def test_unequal_odds(spark):
     assert (drawn < 2000).mean() > 0.6
 
 
+@pytest.mark.parametrize("share", [0.3, 1.5])
+def test_mix_draws_a_plain_pareto_sample(spark, share):
+    """Whole copies, then documents by random odds over inclusion odds, stepping over those that do not fit."""
+    rng = random.Random(14)
+    rows = [(i, rng.choice("aaab") if i % 20 else None, 5000 if i % 90 == 0 else int(rng.lognormvariate(4, 1.3)) + 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = {r["doc_id"]: r for r in mixing.mix(df.repartition(3), size=F.col("size"), share=share, preference=mixing.by_length(F.col("size"))).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(5), "doc_id", "source").alias("h")).collect()}
+    drawn = 0
+    for source in ("a", "b", None):
+        docs = [(i, n) for i, s, n in rows if s == source]
+        total, target = sum(n for _, n in docs), got[docs[0][0]]["target"]
+        whole = int(target / total)
+        p, gap = target / total - whole, target - whole * total
+
+        def rank(doc):
+            u = ((hashes[doc[0]] % (1 << 64) >> 12) + 0.5) / (1 << 52)
+            return u / (1 - u) / (p / (1 - p) * min(max(doc[1] / 128, 0.25), 4)), doc[0]
+
+        for i, n in sorted(docs, key=rank) if p else docs:
+            more = p > 0 and n <= gap
+            gap -= n * more
+            drawn += more
+            assert got[i]["copies"] == whole + more, (source, i)
+    assert drawn
+
+
 def test_pack(odd, none):
     enc = common.encoder(None)
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
