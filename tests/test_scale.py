@@ -15,3 +15,14 @@ def below_first_shuffle(df):
 def test_scans_run_after_the_mails_are_dealt(spark, sf, name, scan):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().lower()
     assert scan in plan and scan not in below_first_shuffle(catalog.QUERIES[name](spark, sf)).lower()
+
+
+def test_stream_deals_the_mails_of_one_file(spark, sf):
+    assert len(catalog.QUERIES["mail_stream"](spark, sf).inputFiles()) > 1
+
+
+@pytest.mark.parametrize("name, scan", [("header_field_map", "levenshtein"), ("attachment_header_map", "array_intersect")])
+def test_headers_are_mapped_after_they_are_distinct(spark, sf, name, scan):
+    df = catalog.QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString().lower()
+    assert scan in plan and scan not in below_first_shuffle(df).lower()
