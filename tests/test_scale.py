@@ -2,7 +2,10 @@
 
 import pytest
 
+from rosterline.functions import similarity
+from rosterline.operators import entities
 from rosterline.plans import catalog
+from rosterline.vocab import specialties as sp
 
 
 def below_first_shuffle(df):
@@ -26,3 +29,29 @@ def test_headers_are_mapped_after_they_are_distinct(spark, sf, name, scan):
     df = catalog.QUERIES[name](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString().lower()
     assert scan in plan and scan not in below_first_shuffle(df).lower()
+
+
+def test_synonyms_of_one_piece_share_a_test():
+    names = ["cardiology", "urology", "neurology", "im", "pediatric surgery"]
+    groups = entities.shared_pieces(names)
+    assert sorted(n for _, members in groups for n in members) == list(range(5)) and ("rology", [1, 2]) not in groups
+    assert groups[0] == ("ology", [0, 1, 2]) and all(piece in names[n] for piece, members in groups for n in members)
+    assert len(entities.shared_pieces(list(sp.reverse_map()))) < len(sp.reverse_map()) / 3
+
+
+def test_texts_without_dates_in_words_are_not_scanned(spark):
+    texts = ["NPI 1234567890 Suite 12", "May I call at 5 or in 2025", "on 3 March  2025", "JUNE 5, 2024", "dec\t2023", "", "Mar.2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    row = df.selectExpr("t", f"{entities._word_dates_likely('t')} AS likely", f"size({entities._word_dates('t')}) AS found",
+                        f"size({entities.word_dates('t')}) AS kept", f"size({entities.word_dates_in_context('t')}) AS dated").collect()
+    assert [r.likely for r in row] == [False, False, True, True, True, False, False]
+    assert all(r.found == r.kept == r.dated and (r.likely or not r.found) for r in row) and sum(r.found for r in row) >= 3
+
+
+def test_short_phrases_are_compared_with_names_that_share_a_piece(spark):
+    """Equal results, without windows for names that share nothing with the phrase."""
+    table = similarity.pattern_rows([("a", "cardiology"), ("b", "sports medicine")], 85.0)
+    sql = similarity.best_partial_ratio("t", table, 85.0)
+    assert "exists(hp" in sql and ".edge" not in sql
+    got = spark.createDataFrame([("cardiolgy",), ("medicine",), ("license",), ("the rdiology",)], "t string").selectExpr(f"{sql} AS b").collect()
+    assert [r.b and r.b.label for r in got] == ["a", "b", None, "a"]
