@@ -5,6 +5,7 @@ import pytest
 from rosterline.functions import similarity
 from rosterline.operators import entities
 from rosterline.plans import catalog
+from rosterline.sources import mail
 from rosterline.vocab import specialties as sp
 
 
@@ -55,3 +56,11 @@ def test_short_phrases_are_compared_with_names_that_share_a_piece(spark):
     assert "exists(hp" in sql and ".edge" not in sql
     got = spark.createDataFrame([("cardiolgy",), ("medicine",), ("license",), ("the rdiology",)], "t string").selectExpr(f"{sql} AS b").collect()
     assert [r.b and r.b.label for r in got] == ["a", "b", None, "a"]
+
+
+def test_mail_files_are_read_by_a_bounded_number_of_tasks(spark, tmp_path):
+    for i in range(70):
+        (tmp_path / f"{i}.eml").write_text(f"Message-ID: <{i}@x>\n\nbody {i}")
+    files = mail.read_mail_files(spark, str(tmp_path), tasks=2)
+    assert files.rdd.getNumPartitions() == 2 < mail.read_mail_files(spark, str(tmp_path)).rdd.getNumPartitions()
+    assert sorted(files.toPandas().content.map(bytes)) == sorted(p.read_bytes() for p in tmp_path.glob("*.eml"))
