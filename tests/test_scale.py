@@ -3,9 +3,9 @@
 import pytest
 
 from rosterline.functions import similarity
-from rosterline.operators import entities
+from rosterline.operators import entities, gazetteer
 from rosterline.plans import catalog
-from rosterline.sources import mail
+from rosterline.sources import dictionaries, mail
 from rosterline.vocab import specialties as sp
 
 
@@ -64,3 +64,21 @@ def test_mail_files_are_read_by_a_bounded_number_of_tasks(spark, tmp_path):
     files = mail.read_mail_files(spark, str(tmp_path), tasks=2)
     assert files.rdd.getNumPartitions() == 2 < mail.read_mail_files(spark, str(tmp_path)).rdd.getNumPartitions()
     assert sorted(files.toPandas().content.map(bytes)) == sorted(p.read_bytes() for p in tmp_path.glob("*.eml"))
+
+
+def test_a_text_is_read_once_whatever_the_size_of_the_dictionary(spark):
+    """A dictionary of many automata is joined: equal rows, one scan of the texts."""
+    words = spark.range(2000).selectExpr("id AS ord", "concat(if(id % 3 = 0, 'No. ', 'é'), cast(id % 900 as string), repeat('x', id % 4)) AS synonym", "cast(id % 70 as string) AS canonical")
+    table = dictionaries.synonym_table(words)
+    texts = spark.range(500).selectExpr("id AS k", "concat('no. ', id, if(id % 2 = 0, 'é', ' x'), id + 1, 'x, No. ', id * 3, if(id % 5 = 0, 's', '.')) AS text")
+    one, joined = (gazetteer.synonym_hits(texts, ["k"], table, constant=0, shard=n).drop("row_id") for n in (10_000, 50))
+    assert sorted(one.collect()) == sorted(joined.collect()) and one.count() > 150
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_the_filter_of_a_dictionary_misses_no_synonym(spark):
+    names = ["ab", "heart surgery", "é" * 40, "(x", "no. 12", "\U0001F600 ward"]
+    bits, held = gazetteer._filter(spark.createDataFrame([(n,) for n in names], "synonym string"), len(names))
+    sizes = sorted({len(n) for n in names})
+    found = gazetteer.likely_synonyms([f"Q {n.upper() if n.isascii() else n}, q" for n in names] + [""], sizes, bits, held)
+    assert all(n in f for n, f in zip(names, found)) and found[-1] == [] and len(held) * 8 == 1 << bits
