@@ -82,3 +82,8 @@ def test_the_filter_of_a_dictionary_misses_no_synonym(spark):
     sizes = sorted({len(n) for n in names})
     found = gazetteer.likely_synonyms([f"Q {n.upper() if n.isascii() else n}, q" for n in names] + [""], sizes, bits, held)
     assert all(n in f for n, f in zip(names, found)) and found[-1] == [] and len(held) * 8 == 1 << bits
+
+
+def test_mails_of_an_archive_are_dealt_before_they_are_decoded(spark, sf):
+    plan = catalog.QUERIES["mailbox_roster"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow"):]
