@@ -2,7 +2,9 @@
 
 import os
 from email.message import EmailMessage
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,71 @@ def test_bad_message_keeps_a_row(spark):
     assert rows["b"].parse_error is None and rows["b"].text_content == "hello"
 
 
+TEXTS = ["Subject: a\n\nb", "Subject: a\n\nb", "größe\r\n", "", None, *(f"Subject: {i}\n\n{i}" for i in range(40))]
+
+
+def files_below(folder):
+    return [os.path.join(at, name) for at, _, names in os.walk(folder) for name in names]
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_one_file_a_mail(spark, tmp_path, monkeypatch, local):
+    """Equal and empty mails too; on a local folder nothing but the mails is written."""
+    folder = f"file://{tmp_path}/mails"
+    if not local:
+        monkeypatch.setattr(mail, "local_path", lambda folder, default: None)
+    mail.write_mail_files(spark.createDataFrame([(t,) for t in TEXTS], "value string").repartition(3), folder)
+    if local:
+        assert len(files_below(tmp_path)) == len(TEXTS) and len(os.listdir(tmp_path / "mails")) == 3
+    files = mail.read_mail_files(spark, folder, "*.txt", subfolders=True)
+    assert sorted(bytes(r.content) for r in files.collect()) == sorted((t or "").encode() + b"\n" for t in TEXTS)
+    assert files.select("msg_id").distinct().count() == len(TEXTS)
+    with pytest.raises(Exception, match="(?i)exists"):
+        mail.write_mail_files(spark.createDataFrame([("x",)], "value string"), folder)
+
+
+def test_no_mails_make_an_empty_folder(spark, tmp_path):
+    folder = str(tmp_path / "mails")
+    mail.write_mail_files(spark.createDataFrame([], "value string"), folder)
+    assert mail.read_mail_files(spark, folder, "*.txt", subfolders=True).collect() == []
+
+
+def test_attempts_of_a_task_leave_its_mails_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mail.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 7))
+    batch = pa.RecordBatch.from_pydict({"value": pa.array([b"x", b"y"], pa.binary())})
+
+    def broken():
+        yield batch
+        raise OSError("lost")
+
+    write = mail._file_writer(str(tmp_path))
+    with pytest.raises(OSError, match="lost"):
+        list(write(broken()))
+    assert files_below(tmp_path) == []
+    counts = [list(write(iter([batch, batch])))[0].column(0).to_pylist() for _ in range(2)]
+    assert counts == [[4], [4]] and os.listdir(tmp_path) == ["part-00007"] and len(files_below(tmp_path)) == 4
+    os.mkdir(tmp_path / "_killed")
+    (tmp_path / "_killed" / "mail-00000000.txt").write_bytes(b"x")
+    assert mail.read_mail_files(spark, str(tmp_path), "*.txt", subfolders=True).count() == 4
+
+
+@pytest.mark.parametrize("folder, default, path", [
+    ("/a/b", "file:///", "/a/b"), ("/a/b", "hdfs://n:8020", None), ("file:///a b/c%20d", "hdfs://n", "/a b/c%20d"), ("file:/a", "hdfs://n", "/a"),
+    ("s3a://bucket/a", "file:///", None), ("hdfs:///a", "file:///", None), ("a/b:c", "file:///", "a/b:c"),
+])
+def test_local_folders(folder, default, path):
+    assert mail.local_path(folder, default) == path
+
+
+def test_mail_files_query_writes_nothing_but_mails(spark, sf):
+    from rosterline.plans import catalog
+
+    files = [f.removeprefix("file://") for f in catalog.QUERIES["mail_files_roster"](spark, sf).inputFiles()]
+    assert len(files) == len(set(files)) == spark.read.parquet(f"{sf}/customer.parquet").count()
+    folders = {os.path.dirname(f) for f in files}
+    assert len(folders) > 1 and sorted(files) == sorted(files_below(os.path.dirname(folders.pop())))
+
+
 def test_mail_stream_resumes(spark, tmp_path):
     folder, base = str(tmp_path / "mails"), shared_folder(spark, "test")
     write_mails(folder)
